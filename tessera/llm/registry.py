@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from tessera.llm import line_dedup, mixing
+from tessera.llm import compression, language_id, line_dedup, mixing, quality_rank
 
 
 def queries() -> dict:
     import corpus_pipeline
 
     return {
+        "op2_compression_bands": compression.op2_compression_bands,
         "op3_weighted_fair_mix": mixing.op3_weighted_fair_mix,
+        "op5_hierarchical_language_id": language_id.op5_hierarchical_language_id,
+        "op9_bradley_terry_quality": quality_rank.op9_bradley_terry_quality,
         "op10_line_dedup": line_dedup.op10_line_dedup,
         "pipeline": corpus_pipeline.run,
     }
