@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import compression, language_id, line_dedup, mixing, quality_rank
+from tessera.llm import compression, language_id, line_dedup, minhash, mixing, quality_rank
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op2_compression_bands": compression.op2_compression_bands,
         "op3_weighted_fair_mix": mixing.op3_weighted_fair_mix,
         "op5_hierarchical_language_id": language_id.op5_hierarchical_language_id,
+        "op6_minhash_fingerprints": minhash.op6_minhash_fingerprints,
         "op9_bradley_terry_quality": quality_rank.op9_bradley_terry_quality,
         "op10_line_dedup": line_dedup.op10_line_dedup,
         "pipeline": corpus_pipeline.run,
