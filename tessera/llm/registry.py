@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tessera.llm import compression, language_id, line_dedup, minhash, mixing, quality_rank
+from tessera.llm import compression, language_id, line_dedup, minhash, mixing, quality_rank, toxicity
 
 
 def queries() -> dict:
     import corpus_pipeline
 
     return {
+        "op1_string_kernel_toxicity": toxicity.op1_string_kernel_toxicity,
         "op2_compression_bands": compression.op2_compression_bands,
         "op3_weighted_fair_mix": mixing.op3_weighted_fair_mix,
         "op5_hierarchical_language_id": language_id.op5_hierarchical_language_id,
