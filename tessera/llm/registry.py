@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import compression, language_id, line_dedup, minhash, mixing, quality_rank, toxicity
+from tessera.llm import bpe, compression, language_id, line_dedup, minhash, mixing, quality_rank, toxicity
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op1_string_kernel_toxicity": toxicity.op1_string_kernel_toxicity,
         "op2_compression_bands": compression.op2_compression_bands,
         "op3_weighted_fair_mix": mixing.op3_weighted_fair_mix,
+        "op4_transducer_bpe": bpe.op4_transducer_bpe,
         "op5_hierarchical_language_id": language_id.op5_hierarchical_language_id,
         "op6_minhash_fingerprints": minhash.op6_minhash_fingerprints,
         "op9_bradley_terry_quality": quality_rank.op9_bradley_terry_quality,
