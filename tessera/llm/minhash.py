@@ -158,7 +158,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 own, following = (concatenated([batch.column(k)[i].as_py()]) for k in (1, 2))
                 yield pa.RecordBatch.from_arrays(_emit(batch.column(0).slice(i, 1), pair_rows(own, following), signatures(following)), names)
 
-    ordered = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).repartitionByRange(n, "doc_id", "text").sortWithinPartitions("doc_id", "text")
+    ordered = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
     table = cut(ordered.mapInArrow(stream, schema), "fingerprints")
     waiting = table.filter(F.col("part").isNotNull())
     turns = waiting.select("part").withColumn("follows", F.coalesce(F.lead("part").over(W.orderBy("part")), F.min("part").over(W.partitionBy())))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe, compression, language_id, line_dedup, minhash, mixing, quality_rank, toxicity
+from tessera.llm import bpe, compression, jaccard_join, language_id, line_dedup, minhash, mixing, quality_rank, toxicity
 
 
 def queries() -> dict:
@@ -15,6 +15,7 @@ def queries() -> dict:
         "op4_transducer_bpe": bpe.op4_transducer_bpe,
         "op5_hierarchical_language_id": language_id.op5_hierarchical_language_id,
         "op6_minhash_fingerprints": minhash.op6_minhash_fingerprints,
+        "op8_set_relation_join": jaccard_join.op8_set_relation_join,
         "op9_bradley_terry_quality": quality_rank.op9_bradley_terry_quality,
         "op10_line_dedup": line_dedup.op10_line_dedup,
         "pipeline": corpus_pipeline.run,
@@ -24,5 +25,6 @@ def queries() -> dict:
 def oracle_sql() -> dict:
     return {
         "op3_weighted_fair_mix": mixing.SQL,
+        "op8_set_relation_join": jaccard_join.SQL,
         "op10_line_dedup": line_dedup.SQL,
     }
