@@ -20,6 +20,7 @@ import base64
 import codecs
 import hashlib
 from array import array
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -30,9 +31,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: A worker keeps at most so many states and so many encoded pieces.
-MOST_STATES, MOST_PIECES, LONG_PIECE = 150_000, 300_000, 48
+MOST_STATES, MOST_PIECES, LONG_PIECE = 150_000, 200_000, 48
 #: Rows are encoded and handed on so many at a time.
 ROWS = 256
+#: No rank; and tokens with a common start that are tried one by one.
+NEVER, MANY = 1 << 30, 32
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -64,42 +67,86 @@ class Transducer:
         self.ids = {t: i for i, t in enumerate(tokens)}
         self.longest = max(map(len, tokens))
         self.starts = {t[:k] for t in tokens for k in range(len(t))}
+        self.ordered = sorted(tokens)
         self.fits: dict[int, bool] = {}
+        self.follows: dict[tuple[int, bytes], int] = {}
+        self.spans: dict[bytes, tuple[int, int]] = {}
+        self.edges: dict[int, list] = {}
         self.reset()
 
     def reset(self) -> None:
-        self.states: dict[tuple[int, bytes], State] = {}
+        self.states: dict[tuple, State] = {}
         self.first = self.state(-1, b"", ((0, -1, 0),), (0,))
 
     def state(self, last: int, rest: bytes, back: tuple, live: tuple) -> State:
-        key = (last, rest)
+        # what came before matters only by the tokens that it lets follow
+        key = (self.followers(last, rest) if live[0] == 0 else 0, rest, back)
         found = self.states.get(key)
         if found is None:
             found = self.states[key] = State()
             found.last, found.rest, found.back, found.live, found.tail = last, rest, back, live, None
         return found
 
-    def merged(self, data: bytes) -> list[bytes]:
+    def merged(self, data: bytes, trace: list | None = None) -> list[bytes]:
         """The merges carried out as they are defined: the adjacent pair of lowest rank first."""
         parts, ids = [data[i : i + 1] for i in range(len(data))], self.ids
         while len(parts) > 1:
-            rank, at = min((ids.get(parts[i] + parts[i + 1], 1 << 30), i) for i in range(len(parts) - 1))
-            if rank == 1 << 30:
+            rank, at = min((ids.get(parts[i] + parts[i + 1], NEVER), i) for i in range(len(parts) - 1))
+            if rank == NEVER:
                 break
+            if trace is not None:
+                trace.append((rank, at, parts[0], parts[-1], len(parts)))
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
+    def edge(self, token: int, right: bool) -> list[tuple[bytes, int, int]]:
+        """The parts that stand at an end of the token while it is merged: (part, rank that makes it, rank that uses it up)."""
+        key = token << 1 | right
+        found = self.edges.get(key)
+        if found is None:
+            trace: list = []
+            self.merged(self.tokens[token], trace)
+            found, made = [], -1
+            for rank, at, first, last, n in trace:
+                if right and at == n - 2 or not right and at == 0:
+                    found.append((last if right else first, made, rank))
+                    made = rank
+            found.append((self.tokens[token], made, NEVER))
+            self.edges[key] = found
+        return found
+
     def fit(self, a: int, b: int) -> bool:
-        """Whether tokens a and b, side by side, stay as they are."""
+        """Whether tokens a and b, side by side, stay as they are: no merge across the border comes before those within."""
         if a < 0:
             return True
         key = a << 20 | b
         found = self.fits.get(key)
         if found is None:
-            if len(self.fits) > 2_000_000:
+            if len(self.fits) > 300_000:
                 self.fits.clear()
-            x, y = self.tokens[a], self.tokens[b]
-            found = self.fits[key] = self.merged(x + y) == [x, y]
+            found = True
+            for x, x_made, x_used in self.edge(a, True):
+                for y, y_made, y_used in self.edge(b, False):
+                    if x_made < y_used and y_made < x_used:
+                        rank = self.ids.get(x + y, NEVER)
+                        if rank < x_used and rank <= y_used and rank < NEVER:
+                            found = False
+            self.fits[key] = found
+        return found
+
+    def followers(self, last: int, start: bytes) -> int:
+        """Which tokens that begin with start, and are longer, may stand after last: a bit for each, 0 for none; -2 - last if there are too many to try."""
+        if start not in self.starts:
+            return 0
+        lo, hi = self.spans.get(start) or self.spans.setdefault(start, (bisect_right(self.ordered, start), bisect_left(self.ordered, start + b"\xff" * self.longest)))
+        if last < 0 or hi - lo > MANY:
+            return -2 - last
+        key = (last, start)
+        found = self.follows.get(key)
+        if found is None:
+            if len(self.follows) > 300_000:
+                self.follows.clear()
+            found = self.follows[key] = sum(1 << k for k in range(hi - lo) if self.fit(last, self.ids[self.ordered[lo + k]]))
         return found
 
     def step(self, state: State, byte: int) -> tuple[State, tuple[int, ...]]:
@@ -112,7 +159,7 @@ class Transducer:
                 break
         else:
             raise ValueError(f"no token for the byte {byte:#x}")
-        live = (*(j for j in live if rest[j:] in self.starts), n)
+        live = (*(j for j in live if self.followers(back[j][1] if j else last, rest[j:])), n)
         common = -1
         for j in live:  # boundaries that the encodings up to all these places have
             common &= back[j][2]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe, compression, jaccard_join, language_id, line_dedup, minhash, mixing, quality_rank, toxicity
+from tessera.llm import bpe, compression, jaccard_join, language_id, line_dedup, minhash, mixing, quality_rank, suffix_dedup, toxicity
 
 
 def queries() -> dict:
@@ -15,6 +15,7 @@ def queries() -> dict:
         "op4_transducer_bpe": bpe.op4_transducer_bpe,
         "op5_hierarchical_language_id": language_id.op5_hierarchical_language_id,
         "op6_minhash_fingerprints": minhash.op6_minhash_fingerprints,
+        "op7_difference_cover_dedup": suffix_dedup.op7_difference_cover_dedup,
         "op8_set_relation_join": jaccard_join.op8_set_relation_join,
         "op9_bradley_terry_quality": quality_rank.op9_bradley_terry_quality,
         "op10_line_dedup": line_dedup.op10_line_dedup,
