@@ -42,7 +42,7 @@ def water_level(sources: DataFrame, max_copies: int) -> DataFrame:
         .withColumn("__rest", F.sum("__weight").over(by_ratio.rowsBetween(W.currentRow, W.unboundedFollowing)))
         .withColumn("__level", (F.col("__total") - F.col("__before")) / F.col("__rest"))
     )
-    level = F.min(F.when(F.col("__level") <= F.col("__ratio"), F.col("__level"))).over(everything)
+    level = F.max("__level").over(everything)  # too few capped sources give a lower level, and so do too many
     return capped.withColumn("target", F.coalesce(F.least("__cap", level * F.col("__weight")), F.lit(0.0)))
 
 
@@ -110,7 +110,7 @@ lev2 AS (
   SELECT *, (total - coalesce(sum(cap) OVER (ORDER BY ratio, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0))
          / sum(w) OVER (ORDER BY ratio, k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lv FROM lev),
 tgt AS (
-  SELECT k, source_size, total, least(cap, (SELECT min(lv) FROM lev2 WHERE lv <= ratio) * w) AS target FROM lev2),
+  SELECT k, source_size, total, least(cap, (SELECT max(lv) FROM lev2) * w) AS target FROM lev2),
 run AS (
   SELECT s.*, t.source_size, t.target, t.total,
          sum(size) OVER (PARTITION BY s.k ORDER BY h % 1024, h, doc_id, size ROWS UNBOUNDED PRECEDING) AS c
