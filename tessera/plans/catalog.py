@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from tessera.plans import base, retrieval_queries  # noqa: F401  (importing registers the queries)
+
 
 def queries() -> dict:
-    return {}
+    return dict(base.QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(base.SQL)
 
 
 def flagship(spark, sf_dir):
-    return queries()["rrf_hybrid_topk"](spark, sf_dir)
+    """Hybrid retrieval: BM25 and cosine fused by reciprocal ranks."""
+    return retrieval_queries.rrf_hybrid_topk(spark, sf_dir)
