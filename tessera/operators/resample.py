@@ -56,7 +56,7 @@ def _per_group(per_cluster: DataFrame, group: list[str], estimate) -> DataFrame:
         out = estimate(rows)
         return pd.DataFrame([{**{g: rows[g].iloc[0] for g in group}, **out}])
 
-    return (per_cluster.groupBy(*group) if group else per_cluster.groupBy(F.lit(1))).applyInPandas(run, fields)
+    return (per_cluster.groupBy(*group) if group else per_cluster.groupBy(F.lit("all").alias("__all"))).applyInPandas(run, fields)
 
 
 def python_equal_clusters(per_cluster: DataFrame, group: list[str], draws: int = 10000, seed: int = 20261025) -> DataFrame:
