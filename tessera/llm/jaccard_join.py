@@ -26,6 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.llm.components import connected
@@ -35,11 +36,13 @@ from tessera.llm.vector import Chunk, chunks
 SHINGLE = 3
 THRESHOLD = (90, 100)
 #: Shingles' frequencies are estimated in 2**SKETCH_BITS counters, a fixed size whatever the input.
-SKETCH_BITS = 22
-#: Id sets up to this many rows are sent to every executor, larger ones are joined.
-SMALL_IDS = 500_000
+SKETCH_BITS, BLOCK = 22, 1 << 16
+#: Tables of pairs up to this many rows are sent to every executor, larger ones are joined.
+SMALL_ROWS = 500_000
+#: Counters of a set's shingles by hash, which bound what two sets have in common.
+BINS = 64
 
-NODE = "__node long, __size long, __set binary, __tokens array<long>"
+NODE = "__node long, __size long, __set binary, __bins binary, __tokens array<long>"
 
 
 def sets_of(c: Chunk, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -56,25 +59,36 @@ def sets_of(c: Chunk, size: int) -> tuple[np.ndarray, np.ndarray]:
 def sketch(docs: DataFrame, text_col: str, size: int, bits: int = SKETCH_BITS) -> np.ndarray:
     """Levels (0 to 255, logarithmic) of how many sets have a shingle of each of 2**bits buckets.
 
-    A task reports the buckets that stand out among its own; the rest stays 0. Any levels give
-    right results, as long as all sets are ordered by the same ones.
+    A task counts up to 255 in each bucket and hands its counters on in blocks, which are added up
+    as they come. The levels only set an order, so an estimate is as good as a count for right results.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count, total = np.zeros(1 << bits, np.int32), 0
+        count, some = np.zeros(1 << bits, np.int32), False
         for batch in batches:
             for c in chunks(batch.column(0)):
-                hashes, _ = sets_of(c, size)
-                total += len(hashes)
-                np.add.at(count, (hashes >> np.uint64(64 - bits)).astype(np.int64), 1)
-        at = np.flatnonzero(count >= 4 + 3 * total / len(count))
-        for lo in range(0, len(at), 1 << 16):
-            some = at[lo : lo + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(count[some], pa.int64())], ["bucket", "n"])
-
-    found = docs.select(text_col).mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+                some = True
+                np.add.at(count, (sets_of(c, size)[0] >> np.uint64(64 - bits)).astype(np.int64), 1)
+        if some:
+            small = np.minimum(count, 255).astype(np.uint8).reshape(-1, min(BLOCK, len(count)))
+            for k, row in enumerate(small):
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([row.tobytes()], pa.binary())], ["block", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                row = np.frombuffer(counts, np.uint8)
+                total[k] = total[k] + row if k in total else row.astype(np.int64)
+        for k, row in total.items():
+            level = np.minimum(255, 4 * np.log2(1 + row)).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([level.tobytes()], pa.binary())], ["block", "counts"])
+
+    schema = "block int, counts binary"
+    rows = docs.select(text_col).mapInArrow(run, schema).repartition(8, "block").mapInArrow(add, schema).collect()
     out = np.zeros(1 << bits, np.uint8)
-    out[found["bucket"]] = np.minimum(255, 4 * np.log2(1 + found["n"].to_numpy(float))).astype(np.uint8)
+    for r in rows:
+        out[r["block"] * BLOCK : r["block"] * BLOCK + len(r["counts"])] = np.frombuffer(r["counts"], np.uint8)
     return out
 
 
@@ -104,39 +118,61 @@ def index_rows(docs: DataFrame, id_col: str, text_col: str, size: int, threshold
                 places = np.concatenate([[0], np.cumsum(first)]).astype(np.int32)
                 take = np.arange(places[-1]) + np.repeat(at[:-1] - places[:-1], first)
                 tokens = pa.ListArray.from_arrays(pa.array(places), pa.array(ordered[take], pa.int64()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(c.lo, c.n), pa.array(sizes, pa.int64()), pa.array(digest, pa.binary()), tokens], ["__node", "__size", "__set", "__tokens"])
+                bins = np.bincount(doc * BINS + (hashes >> np.uint64(20)).astype(np.int64) % BINS, minlength=c.n * BINS).reshape(c.n, BINS)
+                bins = [b.tobytes() for b in np.minimum(bins, 255).astype(np.uint8)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(c.lo, c.n), pa.array(sizes, pa.int64()), pa.array(digest, pa.binary()), pa.array(bins, pa.binary()), tokens], ["__node", "__size", "__set", "__bins", "__tokens"])
 
     return docs.select(F.col(id_col).cast("long").alias("__node"), text_col).mapInArrow(run, NODE)
 
 
-def whole_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """(node, items) of the documents in ids (node)."""
-    n = ids.count()
-    ids = F.broadcast(ids) if n <= SMALL_IDS else ids
+def plausible(pairs: DataFrame, nodes: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """pairs (a, b) whose sets may link: the sum over BINS of the smaller count bounds what two sets have in common."""
+    num, den = threshold
+    bins = nodes.select("__node", "__size", "__bins")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for c in chunks(batch.column(1)):
-                hashes, at = sets_of(c, size)
-                items = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(hashes.astype(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(c.lo, c.n), items], ["__node", "__items"])
+            n, m = (batch.column(k).to_numpy() for k in (2, 3))
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, BINS) for k in (4, 5))
+            # a count of 255 stands for any larger one
+            full = (x == 255).any(axis=1) | (y == 255).any(axis=1)
+            most = np.minimum(np.minimum(x, y).sum(axis=1, dtype=np.int64), np.minimum(n, m))
+            keep = pa.array(full & (den * np.minimum(n, m) >= num * np.maximum(n, m)) | ((num + den) * most >= num * (n + m)))
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
 
-    some = docs.select(F.col(id_col).cast("long").alias("__node"), text_col).join(ids, "__node", "left_semi")
-    return cut(some.mapInArrow(run, "__node long, __items array<long>"), "sets")
+    first = bins.select(F.col("__node").alias("a"), F.col("__size").alias("__n"), F.col("__bins").alias("__x"))
+    second = bins.select(F.col("__node").alias("b"), F.col("__size").alias("__m"), F.col("__bins").alias("__y"))
+    return pairs.join(first, "a").join(second, "b").select("a", "b", "__n", "__m", "__x", "__y").mapInArrow(run, "a long, b long")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
-    """Those of pairs (a, b) whose sets link."""
+def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int, threshold: tuple[int, int]) -> DataFrame:
+    """Those of pairs (a, b) whose sets link. Sets are made anew from the texts that take part and meet at a."""
     num, den = threshold
+    parts = pairs.select(F.col("b").alias("__node"), F.struct(F.col("a").alias("key"), F.col("b").alias("other")).alias("__part"))
+    parts = parts.unionByName(pairs.select("a").distinct().select(F.col("a").alias("__node"), F.struct(F.col("a").alias("key"), F.lit(None).cast("long").alias("other")).alias("__part")))
+    parts = cut(parts.groupBy("__node").agg(F.collect_list("__part").alias("__parts"), F.count("*").alias("__n")), "parts")
+    total = parts.agg(F.sum("__n")).first()[0] or 0
+    parts = parts.drop("__n")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column(1).to_pylist()
+            for c in chunks(batch.column(0)):
+                hashes, at = sets_of(c, size)
+                hashes = hashes.astype(np.int64)
+                for i in range(c.n):
+                    own, wanted = hashes[at[i] : at[i + 1]], keys[c.lo + i]
+                    for lo in range(0, len(wanted), 256):
+                        some = wanted[lo : lo + 256]
+                        items = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1) * len(own), pa.int32()), pa.array(np.tile(own, len(some))))
+                        yield pa.RecordBatch.from_arrays([pa.array([x["key"] for x in some], pa.int64()), pa.array([x["other"] for x in some], pa.int64()), items], ["a", "b", "__items"])
+
+    some = docs.select(F.col(id_col).cast("long").alias("__node"), text_col).join(F.broadcast(parts) if total <= SMALL_ROWS else parts, "__node")
+    sets = cut(some.select(text_col, "__parts").mapInArrow(run, "a long, b long, __items array<long>"), "sets")
+    centres = sets.filter("b IS NULL").select("a", F.col("__items").alias("__other"))
     common = F.size(F.array_intersect("__items", "__other")).cast("long")
     union = F.size("__items") + F.size("__other") - common
-    return (
-        pairs.join(sets.withColumnRenamed("__node", "a"), "a")
-        .join(sets.select(F.col("__node").alias("b"), F.col("__items").alias("__other")), "b")
-        .filter((den * common >= num * union) & (common > 0))
-        .select("a", "b")
-        .distinct()
-    )
+    return sets.filter("b IS NOT NULL").join(centres, "a").filter((den * common >= num * union) & (common > 0)).select("a", "b").distinct()
 
 
 def possible(n: str, p: str, m: str, q: str, threshold: tuple[int, int]) -> F.Column:
@@ -161,29 +197,32 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     same = known.groupBy("__set").agg(F.min("__node").alias("__low")).withColumnRenamed("__set", "__same")
     twins = known.join(same, F.col("__set") == F.col("__same")).filter("__node <> __low").select(F.col("__low").alias("a"), F.col("__node").alias("b"))
 
-    lists = known.select("__node", "__size", F.posexplode("__tokens").alias("__place", "__token"))
-    block = F.floor(F.log(F.col("__size").cast("double")) / float(np.log(den / num))).cast("int")
-    lists = lists.withColumn("__block", block)
-    centre = lists.groupBy("__token", "__block").agg(F.min(F.struct("__place", "__node", "__size")).alias("__c"), F.count("*").alias("__n")).filter("__n > 1").select("__token", "__block", F.col("__c.__place").alias("__cp"), F.col("__c.__node").alias("__cn"), F.col("__c.__size").alias("__cs"))
-    stars = lists.join(centre, ["__token", "__block"]).filter("__node <> __cn").filter(possible("__size", "__place", "__cs", "__cp", threshold))
-    stars = cut(stars.select(F.col("__cn").alias("a"), F.col("__node").alias("b")).distinct(), "stars")
-    ends = lambda pairs: pairs.select(F.col("a").alias("__node")).union(pairs.select("b")).distinct()
-    sets = whole_sets(docs, ends(stars), id_col, text_col, size)
-    links = cut(verified(stars, sets, threshold).unionByName(twins), "links")
+    # index lists of two sets or more, in order of block and place, each row with its block's centre
+    lists = known.select("__node", F.col("__size").cast("int").alias("__size"), F.posexplode("__tokens").alias("__place", "__token")).repartition("__token")
+    lists = lists.withColumn("__block", F.floor(F.log(F.col("__size").cast("double")) / float(np.log(den / num))).cast("int"))
+    in_block = W.partitionBy("__token", "__block").orderBy("__place", "__node").rowsBetween(W.unboundedPreceding, W.currentRow)
+    lists = lists.withColumn("__centre", F.first(F.struct("__node", "__size", "__place")).over(in_block)).withColumn("__n", F.count("*").over(W.partitionBy("__token"))).filter("__n > 1").drop("__n")
+    lists = cut(lists, "lists")
+    stars = lists.select("__node", "__size", "__place", F.col("__centre.__node").alias("a"), F.col("__centre.__size").alias("__cs"), F.col("__centre.__place").alias("__cp"))
+    stars = stars.filter("__node <> a").filter(possible("__size", "__place", "__cs", "__cp", threshold)).select("a", F.col("__node").alias("b")).distinct()
+    stars = cut(plausible(stars, known, threshold), "pairs")
+    links = cut(verified(stars, docs, id_col, text_col, size, threshold).unionByName(twins), "links")
     first = cut(connected(links), "components")
 
     # what still may link: sets of different components that meet in a list
-    joined = lists.join(first.select(F.col("id").alias("__node"), F.col("component").alias("__comp")), "__node", "left").withColumn("__comp", F.coalesce("__comp", "__node"))
-    mixed = joined.groupBy("__token").agg(F.min("__comp").alias("__a"), F.max("__comp").alias("__b")).filter("__a <> __b").select("__token")
-    rest = cut(joined.join(mixed, "__token").select("__token", "__node", "__size", "__place", "__comp", "__block"), "mixed")
-    other = rest.select("__token", *(F.col(c).alias(f"{c}2") for c in ("__node", "__size", "__place", "__comp", "__block")))
-    near = other.withColumn("__block", F.explode(F.array(F.col("__block2") - 1, F.col("__block2"), F.col("__block2") + 1)))
-    pairs = rest.join(near, ["__token", "__block"]).filter("__comp < __comp2").filter(possible("__size", "__place", "__size2", "__place2", threshold))
-    pairs = cut(pairs.select(F.col("__node").alias("a"), F.col("__node2").alias("b")).distinct(), "pairs")
-    more = whole_sets(docs, ends(pairs), id_col, text_col, size)
-    found = cut(verified(pairs, more, threshold), "more")
-    final = connected(cut(links.unionByName(found), "all"))
-    labels = final.select(F.col("id").alias("__node"), "component")
+    first = first.select(F.col("id").alias("__node"), F.col("component").alias("__comp"))
+    placed = lists.drop("__centre").join(F.broadcast(first) if first.count() <= SMALL_ROWS else first, "__node", "left")
+    placed = cut(placed.withColumn("__comp", F.coalesce("__comp", "__node")), "placed")
+    mixed = placed.groupBy("__token").agg(F.min("__comp").alias("__a"), F.max("__comp").alias("__b")).filter("__a <> __b").select("__token")
+    rest = placed.join(mixed, "__token")
+    # a set meets those of its size or more, in its block and the next one
+    other = rest.select("__token", *(F.col(c).alias(f"{c}2") for c in ("__node", "__size", "__place", "__comp")), F.explode(F.array("__block", F.col("__block") - 1)).alias("__block"))
+    later = (F.col("__size") < F.col("__size2")) | (F.col("__size") == F.col("__size2")) & (F.col("__node") < F.col("__node2"))
+    pairs = rest.join(other, ["__token", "__block"]).filter(later & (F.col("__comp") != F.col("__comp2"))).filter(possible("__size", "__place", "__size2", "__place2", threshold))
+    pairs = pairs.select(F.col("__node").alias("a"), F.col("__node2").alias("b")).distinct().join(stars, ["a", "b"], "left_anti").join(stars.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
+    pairs = cut(plausible(pairs, known, threshold), "pairs")
+    found = verified(pairs, docs, id_col, text_col, size, threshold)
+    labels = connected(cut(links.unionByName(found), "links")).select(F.col("id").alias("__node"), "component")
     return nodes.join(labels, "__node", "left").select(F.col("__node").alias(id_col), F.col("__size").alias("n_shingles"), F.coalesce("component", "__node").alias("component_id"))
 
 
