@@ -50,10 +50,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, token_ids, and whether decoding the ids gives the text's bytes back."""
-    tokens, pattern = bpe.vocabulary()
-    ids = bpe.encode(docs.select("doc_id", "text"), tokens, pattern).withColumn("__ids", F.col("token_ids"))
-    whole = bpe.decode(ids, tokens, "__ids").withColumn("round_trip", F.col("decoded") == F.encode(F.coalesce("text", F.lit("")), "UTF-8"))
-    return whole.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids", "round_trip")
+    ids = bpe.encode(docs.select("doc_id", "text"), *bpe.vocabulary(), check=True)
+    return ids.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids", "round_trip")
 
 
 STAGES = [

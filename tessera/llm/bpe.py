@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: A worker keeps at most so many states and so many encoded pieces.
-MOST_STATES, MOST_PIECES, LONG_PIECE = 150_000, 200_000, 48
+MOST_STATES, MOST_PIECES, LONG_PIECE = 100_000, 150_000, 48
 #: Rows are encoded and handed on so many at a time.
 ROWS = 256
 #: No rank; and tokens with a common start that are tried one by one.
@@ -122,7 +122,7 @@ class Transducer:
         key = a << 20 | b
         found = self.fits.get(key)
         if found is None:
-            if len(self.fits) > 300_000:
+            if len(self.fits) > 200_000:
                 self.fits.clear()
             found = True
             for x, x_made, x_used in self.edge(a, True):
@@ -144,7 +144,7 @@ class Transducer:
         key = (last, start)
         found = self.follows.get(key)
         if found is None:
-            if len(self.follows) > 300_000:
+            if len(self.follows) > 150_000:
                 self.follows.clear()
             found = self.follows[key] = sum(1 << k for k in range(hi - lo) if self.fit(last, self.ids[self.ordered[lo + k]]))
         return found
@@ -243,23 +243,45 @@ class StreamDecoder:
         return self.machine.decode(b"".join(map(self.tokens.__getitem__, ids)), final)
 
 
-def encode(docs: DataFrame, tokens: list[bytes], pattern: str, text_col: str = "text") -> DataFrame:
-    """docs with token_ids array<int>: each match of pattern encoded by itself, without special tokens. A null text is an empty one. A column of that name is replaced."""
-    rest = [c for c in docs.columns if c not in (text_col, "token_ids")]
-    schema = T.StructType([*docs.select(*rest, text_col).schema, T.StructField("token_ids", T.ArrayType(T.IntegerType(), False))])
+class ByteTable:
+    """The bytes of all tokens side by side, for decoding arrays of ids without a loop."""
+
+    def __init__(self, tokens: list[bytes]) -> None:
+        self.data = np.frombuffer(b"".join(tokens), np.uint8)
+        self.ends = np.cumsum([len(t) for t in tokens])
+        self.starts = np.concatenate([[0], self.ends[:-1]])
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        if not len(ids):
+            return b""
+        sizes = self.ends[ids] - self.starts[ids]
+        places = np.cumsum(sizes)
+        return self.data[np.arange(places[-1]) + np.repeat(self.starts[ids] - places + sizes, sizes)].tobytes()
+
+
+def encode(docs: DataFrame, tokens: list[bytes], pattern: str, text_col: str = "text", check: bool = False) -> DataFrame:
+    """docs with token_ids array<int>: each match of pattern encoded by itself, without special tokens. A null text is an empty one.
+
+    check: also round_trip, whether the ids decode to the text's bytes. Columns of these names are replaced.
+    """
+    rest = [c for c in docs.columns if c not in (text_col, "token_ids", *["round_trip"] * check)]
+    added = [T.StructField("token_ids", T.ArrayType(T.IntegerType(), False)), *[T.StructField("round_trip", T.BooleanType())] * check]
+    schema = T.StructType([*docs.select(*rest, text_col).schema, *added])
     packed = docs.sparkSession.sparkContext.broadcast(tokens)  # one vocabulary, fixed in size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, find = pieces_of(packed.value), regex.compile(pattern).findall
-        names = [*rest, text_col, "token_ids"]
+        table = ByteTable(packed.value) if check else None
         for batch in batches:
             for lo in range(0, batch.num_rows, ROWS):
                 part = batch.slice(lo, ROWS)
-                found = [b"".join(map(cache.__getitem__, find(x))) if x else b"" for x in part.column(len(rest)).to_pylist()]
+                texts = part.column(len(rest)).to_pylist()
+                found = [b"".join(map(cache.__getitem__, find(x))) if x else b"" for x in texts]
                 offsets = np.zeros(len(found) + 1, np.int32)
                 np.cumsum([len(x) // 4 for x in found], out=offsets[1:])
                 ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(found), np.int32)))
-                yield pa.RecordBatch.from_arrays([*part.columns, ids], names)
+                whole = [pa.array([table.decode(np.frombuffer(f, np.int32)) == (x or "").encode("utf-8") for f, x in zip(found, texts, strict=True)])] if table else []
+                yield pa.RecordBatch.from_arrays([*part.columns, ids, *whole], schema.names)
 
     return docs.select(*rest, text_col).mapInArrow(run, schema)
 
@@ -271,23 +293,12 @@ def decode(df: DataFrame, tokens: list[bytes], ids_col: str = "token_ids") -> Da
     packed = df.sparkSession.sparkContext.broadcast(tokens)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        data = np.frombuffer(b"".join(packed.value), np.uint8)
-        ends = np.cumsum([len(t) for t in packed.value])
-        starts = np.concatenate([[0], ends[:-1]])
+        table = ByteTable(packed.value)
         for batch in batches:
             for lo in range(0, batch.num_rows, ROWS):
                 part = batch.slice(lo, ROWS)
-                out = []
-                for row in part.column(len(rest)):
-                    if not row.is_valid or not len(row.values):
-                        out.append(b"")
-                        continue
-                    ids = row.values.to_numpy()
-                    sizes = ends[ids] - starts[ids]
-                    places = np.cumsum(sizes)
-                    at = np.arange(places[-1]) + np.repeat(starts[ids] - places + sizes, sizes)
-                    out.append(data[at].tobytes())
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(out, pa.binary())], [*rest, "decoded"])
+                out = [table.decode(row.values.to_numpy()) if row.is_valid else b"" for row in part.column(len(rest))]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(out, pa.binary())], schema.names)
 
     return df.select(*rest, ids_col).mapInArrow(run, schema)
 

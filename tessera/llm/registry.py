@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from tessera.llm import bpe, compression, jaccard_join, language_id, line_dedup, minhash, mixing, quality_rank, suffix_dedup, toxicity
+from tessera.llm.shared import shipped
 
 
 def queries() -> dict:
     import corpus_pipeline
 
-    return {
+    found = {
         "op1_string_kernel_toxicity": toxicity.op1_string_kernel_toxicity,
         "op2_compression_bands": compression.op2_compression_bands,
         "op3_weighted_fair_mix": mixing.op3_weighted_fair_mix,
@@ -21,6 +22,7 @@ def queries() -> dict:
         "op10_line_dedup": line_dedup.op10_line_dedup,
         "pipeline": corpus_pipeline.run,
     }
+    return {name: shipped(query) for name, query in found.items()}
 
 
 def oracle_sql() -> dict:

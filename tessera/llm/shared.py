@@ -3,7 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import os
+import shutil
+import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +29,26 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
+def shipped(query):
+    """The query, after making sure that executors can import this package, also where it is on the driver's path only."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        root = Path(__file__).resolve().parents[2]
+        seen = [Path(p or ".").resolve() for p in (*os.environ.get("PYTHONPATH", "").split(os.pathsep), os.getcwd())]
+        if root not in seen and not getattr(spark.sparkContext, "_tessera_shipped", False):
+            folder = tempfile.mkdtemp()  # the driver serves the archive to executors from here
+            atexit.register(shutil.rmtree, folder, True)
+            archive = Path(folder) / "tessera_package.zip"
+            with zipfile.ZipFile(archive, "w") as z:
+                for p in (root / "tessera").rglob("*.py"):
+                    z.write(p, p.relative_to(root))
+            spark.sparkContext.addPyFile(str(archive))
+            spark.sparkContext._tessera_shipped = True
+        return query(spark, sf_dir)
+
+    return run
+
+
 def shared_dir(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir", None) or FALLBACK_DIR
 

@@ -39,8 +39,8 @@ LENGTH, SPREAD, GRAM = 400, 192, 16
 #: Cells of SPREAD windows are cut into cells of NARROW[0], and so on where too many meet.
 NARROW = (48, 8, 1)
 MOST = 5000
-#: Tables up to this many rows are sent to every executor, larger ones are joined.
-SMALL_ROWS = 400_000
+#: Requests for texts, and removed runs, up to this many rows are sent to every executor; more of them are joined.
+SMALL_REQUESTS, SMALL_RUNS = 20_000, 400_000
 SEGMENT = 1 << 22
 
 ROW = "__doc long, __text int"
@@ -113,7 +113,7 @@ def per_row(rows: DataFrame, parts: DataFrame, columns: list[str]) -> DataFrame:
     lists = cut(parts.groupBy("__doc", "__text").agg(F.collect_list(F.struct(*columns)).alias("__parts"), F.count("*").alias("__n")), "lists")
     total = lists.agg(F.sum("__n")).first()[0] or 0
     lists = lists.drop("__n")
-    return rows.join(F.broadcast(lists) if total <= SMALL_ROWS else lists, ["__doc", "__text"])
+    return rows.join(F.broadcast(lists) if total <= SMALL_REQUESTS else lists, ["__doc", "__text"])
 
 
 def fetch(rows: DataFrame, wanted: DataFrame, length: int, spread: int) -> DataFrame:
@@ -163,9 +163,10 @@ def sorted_repeats(group: DataFrame, width: int) -> DataFrame:
     """Repeated windows of wanted cells, by the suffix array of all strings that a task holds. Strings of one core are in one task; each ends in a symbol of its own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches))
-        if not table.num_rows:
+        held = [b for b in batches if b.num_rows]
+        if not held:
             return
+        table = pa.Table.from_batches(held)
         core = table.column("__core").to_numpy()
         order = np.argsort(core, kind="stable")
         bounds = np.flatnonzero(np.append(True, core[order][1:] != core[order][:-1]))
@@ -208,7 +209,7 @@ def repeated_windows(rows: DataFrame, length: int = LENGTH, spread: int = SPREAD
     spans = ["__doc", "__text", "__low", "__high"]
     all_cells = cut(cells(rows, length, spread, gram), "cells")
     cores = all_cells.groupBy("__core").agg(F.count("*").alias("__n"), F.min("__span").alias("__a"), F.max("__span").alias("__b")).filter("__n > 1").select("__core", (F.col("__a") == F.col("__b")).alias("__one"))
-    repeated = cut(all_cells.join(cores, "__core"), "repeated")
+    repeated = cut(all_cells.join(cut(cores, "cores"), "__core"), "repeated")
     found = [repeated.filter("__one").select(*spans)]
     several = repeated.filter("NOT __one").drop("__one")
     kinds = several.groupBy("__core", "__span").agg(F.count("*").alias("__n"), F.min(F.struct("__doc", "__text", "__at", "__low", "__high")).alias("__first"))
@@ -285,7 +286,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     full = docs.select(F.col(id_col), *[F.col(c) for c in (text_col,)])
     full = full.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__body"))
     full = full.withColumns({"__doc": F.coalesce(F.col("__id").cast("long"), F.lit(-(1 << 63))), "__text": F.hash("__body")})
-    joined = full.join(F.broadcast(lists) if total <= SMALL_ROWS else lists, ["__doc", "__text"], "left").select("__id", "__body", "__spans")
+    joined = full.join(F.broadcast(lists) if total <= SMALL_RUNS else lists, ["__doc", "__text"], "left").select("__id", "__body", "__spans")
     return joined.mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
 
 

@@ -30,10 +30,12 @@ from tessera.llm.vector import Chunk, chunks, concatenated, mix64, powers, rando
 ORDER, DECAY = 4, 0.7
 LANDMARKS, BACKGROUND = 48, 2
 #: Learnt from at most so many labelled documents of either kind.
-TOXIC_SAMPLE, CLEAN_SAMPLE = 900, 1800
+TOXIC_SAMPLE, CLEAN_SAMPLE = 450, 1300
 #: Words longer than this are read in overlapping windows of this length.
 WIDTH = 24
 LONGEST, SHORTEST = 9, 4
+#: A landmark comes from so many toxic documents at least.
+FEWEST = 4
 ROUNDS = 3
 #: Of the sampled documents with a landmark, so many are toxic.
 SHARE = 0.93
@@ -245,12 +247,10 @@ def _strings(word: str) -> set[str]:
     return {word[i : i + k] for k in range(SHORTEST, LONGEST + 1) for i in range(len(word) - k + 1)}
 
 
-def _vocabularies(texts: list[str]) -> list[set[str]]:
-    out = []
+def _vocabularies(texts: list[str]) -> Iterator[set[str]]:
     for text in texts:
         w = split_words(concatenated([text.encode("utf-8", "replace")]))
-        out.append({w.code[a:b].tobytes().decode("utf-16-le", "replace") for a, b in zip(w.starts, w.ends, strict=True)})
-    return out
+        yield {w.code[a:b].tobytes().decode("utf-16-le", "replace") for a, b in zip(w.starts, w.ends, strict=True)}
 
 
 def pick_landmarks(toxic: list[str], clean: list[str], most: int = LANDMARKS, background: int = BACKGROUND) -> list[str]:
@@ -260,30 +260,37 @@ def pick_landmarks(toxic: list[str], clean: list[str], most: int = LANDMARKS, ba
     ones, given how many strings were tried. Documents that share their smallest words' hashes are
     copies and count once. Strings in, around or always beside a better one are left out.
     """
-    bad: dict[str, set[int]] = {}
+    # counters by hash first, so that only strings that may be frequent are ever kept
+    counters, tried = np.zeros(1 << 22, np.int16), 0
+    for words in _vocabularies(toxic):
+        found = {hash(s) & (1 << 22) - 1 for x in words for s in _strings(x)}
+        counters[list(found)] += 1
+        tried += len(found)
     copies: dict[frozenset, int] = {}
+    frequent: dict[str, int] = {}  # a bit for each group of copies
     for words in _vocabularies(toxic):
         group = copies.setdefault(frozenset(sorted(words, key=lambda x: (-len(x), x))[:3]), len(copies))
-        for s in set().union(*map(_strings, words)) if words else ():
-            bad.setdefault(s, set()).add(group)
-    frequent = {s: v for s, v in bad.items() if len(v) >= 4}
+        for s in {s for x in words for s in _strings(x) if counters[hash(s) & (1 << 22) - 1] >= FEWEST}:
+            frequent[s] = frequent.get(s, 0) | 1 << group
+    frequent = {s: v for s, v in frequent.items() if v.bit_count() >= FEWEST}
     good = dict.fromkeys(frequent, 0)
-    known: dict[str, set[str]] = {}
+    known: dict[str, frozenset[str]] = {}
+    none: frozenset[str] = frozenset()
     common: dict[str, int] = {}
     for words in _vocabularies(clean):
         found: set[str] = set()
         for x in words:
             if x not in known:
-                known[x] = _strings(x) & good.keys()
+                known[x] = frozenset(_strings(x) & good.keys()) or none
             found |= known[x]
             common[x] = common.get(x, 0) + 1
         for s in found:
             good[s] += 1
     base = len(copies) / max(1, len(copies) + len(clean))
-    tried = np.log(max(10, len(bad))) + 2
+    tried = np.log(max(10, tried)) + 2
 
     def evidence(s: str) -> float:
-        a, b = len(frequent[s]), good[s]
+        a, b = frequent[s].bit_count(), good[s]
         share = a / (a + b)
         return a * np.log(share / base) + (b * np.log((1 - share) / (1 - base)) if b else 0.0) - tried if share > max(base, SHARE) else 0.0
 
@@ -291,7 +298,7 @@ def pick_landmarks(toxic: list[str], clean: list[str], most: int = LANDMARKS, ba
     for value, _, s in sorted(((evidence(s), len(s), s) for s in frequent), reverse=True):
         if value <= 0 or len(out) == most - background:
             break
-        beside = lambda x: len(frequent[x] & frequent[s]) > 0.9 * len(frequent[s])  # noqa: B023, E731
+        beside = lambda x: (frequent[x] & frequent[s]).bit_count() > 0.9 * frequent[s].bit_count()  # noqa: B023, E731
         if not any(s in x or x in s or beside(x) and len(set(_strings(x)) & set(_strings(s))) for x in out):
             out.append(s)
     ordinary = sorted((x for x in common if len(x) >= 7), key=lambda x: (-common[x], x))
