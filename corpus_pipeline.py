@@ -50,8 +50,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, token_ids, and whether decoding the ids gives the text's bytes back."""
-    ids = bpe.encode(docs.select("doc_id", "text"), *bpe.vocabulary(), check=True)
-    return ids.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids", "round_trip")
+    ids = bpe.encode(docs.select("doc_id", "text"), *bpe.vocabulary(), decoded=True)
+    whole = F.col("decoded") == F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+    return ids.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids", whole.alias("round_trip"))
 
 
 STAGES = [

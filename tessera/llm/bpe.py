@@ -29,13 +29,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from tessera.llm.shared import emptiers, map_arrow
 
 #: A worker keeps at most so many states and so many encoded pieces.
-MOST_STATES, MOST_PIECES, LONG_PIECE = 100_000, 150_000, 48
+MOST_STATES, MOST_PIECES, LONG_PIECE = 160_000, 200_000, 48
 #: Rows are encoded and handed on so many at a time.
 ROWS = 256
 #: No rank; and tokens with a common start that are tried one by one.
-NEVER, MANY = 1 << 30, 32
+NEVER, MANY = 1 << 30, 6
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -221,6 +222,7 @@ class Pieces(dict):
 
 
 _pieces: dict[bytes, Pieces] = {}
+emptiers.append(_pieces.clear)
 
 
 def pieces_of(tokens: list[bytes]) -> Pieces:
@@ -259,31 +261,30 @@ class ByteTable:
         return self.data[np.arange(places[-1]) + np.repeat(self.starts[ids] - places + sizes, sizes)].tobytes()
 
 
-def encode(docs: DataFrame, tokens: list[bytes], pattern: str, text_col: str = "text", check: bool = False) -> DataFrame:
+def encode(docs: DataFrame, tokens: list[bytes], pattern: str, text_col: str = "text", decoded: bool = False) -> DataFrame:
     """docs with token_ids array<int>: each match of pattern encoded by itself, without special tokens. A null text is an empty one.
 
-    check: also round_trip, whether the ids decode to the text's bytes. Columns of these names are replaced.
+    decoded: also decoded binary, what the ids alone decode to. Columns of these names are replaced.
     """
-    rest = [c for c in docs.columns if c not in (text_col, "token_ids", *["round_trip"] * check)]
-    added = [T.StructField("token_ids", T.ArrayType(T.IntegerType(), False)), *[T.StructField("round_trip", T.BooleanType())] * check]
+    rest = [c for c in docs.columns if c not in (text_col, "token_ids", *["decoded"] * decoded)]
+    added = [T.StructField("token_ids", T.ArrayType(T.IntegerType(), False)), *[T.StructField("decoded", T.BinaryType())] * decoded]
     schema = T.StructType([*docs.select(*rest, text_col).schema, *added])
     packed = docs.sparkSession.sparkContext.broadcast(tokens)  # one vocabulary, fixed in size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, find = pieces_of(packed.value), regex.compile(pattern).findall
-        table = ByteTable(packed.value) if check else None
+        table = ByteTable(packed.value) if decoded else None
         for batch in batches:
             for lo in range(0, batch.num_rows, ROWS):
                 part = batch.slice(lo, ROWS)
-                texts = part.column(len(rest)).to_pylist()
-                found = [b"".join(map(cache.__getitem__, find(x))) if x else b"" for x in texts]
+                found = [b"".join(map(cache.__getitem__, find(x))) if x else b"" for x in part.column(len(rest)).to_pylist()]
                 offsets = np.zeros(len(found) + 1, np.int32)
                 np.cumsum([len(x) // 4 for x in found], out=offsets[1:])
                 ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(found), np.int32)))
-                whole = [pa.array([table.decode(np.frombuffer(f, np.int32)) == (x or "").encode("utf-8") for f, x in zip(found, texts, strict=True)])] if table else []
+                whole = [pa.array([table.decode(np.frombuffer(f, np.int32)) for f in found], pa.binary())] if table else []
                 yield pa.RecordBatch.from_arrays([*part.columns, ids, *whole], schema.names)
 
-    return docs.select(*rest, text_col).mapInArrow(run, schema)
+    return docs.select(*rest, text_col).transform(map_arrow, run, schema, keep_caches=True)
 
 
 def decode(df: DataFrame, tokens: list[bytes], ids_col: str = "token_ids") -> DataFrame:
@@ -300,14 +301,13 @@ def decode(df: DataFrame, tokens: list[bytes], ids_col: str = "token_ids") -> Da
                 out = [table.decode(row.values.to_numpy()) if row.is_valid else b"" for row in part.column(len(rest))]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(out, pa.binary())], schema.names)
 
-    return df.select(*rest, ids_col).mapInArrow(run, schema)
+    return df.select(*rest, ids_col).transform(map_arrow, run, schema, keep_caches=True)
 
 
 def digest(docs: DataFrame, tokens: list[bytes], pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256) of every row: encoded, then decoded from the ids alone."""
-    ids = encode(docs.select(id_col, text_col), tokens, pattern, text_col).drop(text_col)
-    ids = ids.withColumn("n_tokens", F.size("token_ids").cast("long")).withColumn("ids_sha256", F.sha2(F.array_join("token_ids", " "), 256))
-    return decode(ids, tokens).select(id_col, "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    ids = encode(docs.select(id_col, text_col), tokens, pattern, text_col, decoded=True)
+    return ids.select(id_col, F.size("token_ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("token_ids", " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def vocabulary() -> tuple[list[bytes], str]:

@@ -15,6 +15,7 @@ import zstandard
 from pyspark.sql import DataFrame
 
 from tessera.llm.vector import IS_START, Chunk, chunks, shingle
+from tessera.llm.shared import map_arrow
 
 LEVEL, CHUNK = 3, 4096
 #: (bytes, lowest ratio, highest ratio) of whole documents: raw size over compressed size.
@@ -109,7 +110,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands
                 yield pa.RecordBatch.from_arrays(columns, [id_col, *names, "base_failed", "kept", "ratio", "odd_chunks"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, {SCHEMA}")
+    return docs.select(id_col, text_col).transform(map_arrow, run, f"`{id_col}` {kind}, {SCHEMA}")
 
 
 def op2_compression_bands(spark, sf_dir):

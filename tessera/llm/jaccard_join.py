@@ -30,7 +30,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.llm.components import connected
-from tessera.llm.shared import cut
+from tessera.llm.shared import counted_join, cut, map_arrow
 from tessera.llm.vector import Chunk, chunks
 
 SHINGLE = 3
@@ -85,7 +85,7 @@ def sketch(docs: DataFrame, text_col: str, size: int, bits: int = SKETCH_BITS) -
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([level.tobytes()], pa.binary())], ["block", "counts"])
 
     schema = "block int, counts binary"
-    rows = docs.select(text_col).mapInArrow(run, schema).repartition(8, "block").mapInArrow(add, schema).collect()
+    rows = docs.select(text_col).transform(map_arrow, run, schema).repartition(8, "block").transform(map_arrow, add, schema).collect()
     out = np.zeros(1 << bits, np.uint8)
     for r in rows:
         out[r["block"] * BLOCK : r["block"] * BLOCK + len(r["counts"])] = np.frombuffer(r["counts"], np.uint8)
@@ -122,7 +122,7 @@ def index_rows(docs: DataFrame, id_col: str, text_col: str, size: int, threshold
                 bins = [b.tobytes() for b in np.minimum(bins, 255).astype(np.uint8)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(c.lo, c.n), pa.array(sizes, pa.int64()), pa.array(digest, pa.binary()), pa.array(bins, pa.binary()), tokens], ["__node", "__size", "__set", "__bins", "__tokens"])
 
-    return docs.select(F.col(id_col).cast("long").alias("__node"), text_col).mapInArrow(run, NODE)
+    return docs.select(F.col(id_col).cast("long").alias("__node"), text_col).transform(map_arrow, run, NODE)
 
 
 def plausible(pairs: DataFrame, nodes: DataFrame, threshold: tuple[int, int]) -> DataFrame:
@@ -142,7 +142,7 @@ def plausible(pairs: DataFrame, nodes: DataFrame, threshold: tuple[int, int]) ->
 
     first = bins.select(F.col("__node").alias("a"), F.col("__size").alias("__n"), F.col("__bins").alias("__x"))
     second = bins.select(F.col("__node").alias("b"), F.col("__size").alias("__m"), F.col("__bins").alias("__y"))
-    return pairs.join(first, "a").join(second, "b").select("a", "b", "__n", "__m", "__x", "__y").mapInArrow(run, "a long, b long")
+    return pairs.join(first, "a").join(second, "b").select("a", "b", "__n", "__m", "__x", "__y").transform(map_arrow, run, "a long, b long")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int, threshold: tuple[int, int]) -> DataFrame:
@@ -168,7 +168,7 @@ def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, size
                         yield pa.RecordBatch.from_arrays([pa.array([x["key"] for x in some], pa.int64()), pa.array([x["other"] for x in some], pa.int64()), items], ["a", "b", "__items"])
 
     some = docs.select(F.col(id_col).cast("long").alias("__node"), text_col).join(F.broadcast(parts) if total <= SMALL_ROWS else parts, "__node")
-    sets = cut(some.select(text_col, "__parts").mapInArrow(run, "a long, b long, __items array<long>"), "sets")
+    sets = cut(some.select(text_col, "__parts").transform(map_arrow, run, "a long, b long, __items array<long>"), "sets")
     centres = sets.filter("b IS NULL").select("a", F.col("__items").alias("__other"))
     common = F.size(F.array_intersect("__items", "__other")).cast("long")
     union = F.size("__items") + F.size("__other") - common
@@ -194,8 +194,8 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     levels = sketch(docs, text_col, size)
     nodes = cut(index_rows(docs, id_col, text_col, size, threshold, levels), "nodes")
     known = nodes.filter(F.col("__node").isNotNull() & (F.col("__size") > 0))
-    same = known.groupBy("__set").agg(F.min("__node").alias("__low")).withColumnRenamed("__set", "__same")
-    twins = known.join(same, F.col("__set") == F.col("__same")).filter("__node <> __low").select(F.col("__low").alias("a"), F.col("__node").alias("b"))
+    same = known.groupBy("__set").agg(F.min("__node").alias("__low"), F.count("*").alias("__n")).filter("__n > 1")
+    twins = counted_join(known.select("__node", "__set"), same, ["__set"], known.count()).filter("__node <> __low").select(F.col("__low").alias("a"), F.col("__node").alias("b"))
 
     # index lists of two sets or more, in order of block and place, each row with its block's centre
     lists = known.select("__node", F.col("__size").cast("int").alias("__size"), F.posexplode("__tokens").alias("__place", "__token")).repartition("__token")

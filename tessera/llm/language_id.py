@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.linear import fit_svm, sigmoid
 from tessera.llm.vector import LOWER, Chunk, chunks
+from tessera.llm.shared import map_arrow
 
 #: Language codes by family. A code that isn't here is a family of its own.
 FAMILIES = {
@@ -130,7 +131,7 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, id_col: str = "doc_
     for name, n in counts.items():
         share = F.when(F.col(lang_col) == name, F.lit(min(1.0, per_language / n))).otherwise(share)
     picked = known.filter((F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("lid")), F.lit(1 << 30)) / float(1 << 30)) < share)
-    sample = picked.select(text_col, lang_col).mapInArrow(_hashed, f"lang string, x binary").toPandas()
+    sample = picked.select(text_col, lang_col).transform(map_arrow, _hashed, f"lang string, x binary").toPandas()
     if not len(sample):
         return Model({}, [], {})
     return fit(np.stack([np.frombuffer(v, np.float16) for v in sample["x"]]).astype(np.float32), sample["lang"].to_numpy(object))
@@ -157,7 +158,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
                 lang[~letters], score = UNDETERMINED, np.where(letters, score, 0.0)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(c.lo, c.n), pa.array(lang, pa.string()), pa.array(score, pa.float64())], [id_col, "lang_pred", "score"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, lang_pred string, score double")
+    return docs.select(id_col, text_col).transform(map_arrow, run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, lang_pred string, score double")
 
 
 def op5_hierarchical_language_id(spark, sf_dir):

@@ -5,11 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import ascii_lower, cut, strip_blanks
+from tessera.llm.shared import ascii_lower, counted_join, cut, strip_blanks
 
 MIN_CHARS, MIN_DOCS = 10, 2
-#: No more keys than this can each hold a HOT-th of all lines.
-HOT = 500
 
 
 def line_hash(line: Column, min_chars: int) -> Column:
@@ -22,21 +20,15 @@ def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int =
     """(id, hash) of each line that its document loses: the key is in min_docs documents at least and the document isn't the smallest of them.
 
     Lines are hashed once, into a table. A key's documents are counted with partial sums, so a
-    line of a third of all documents costs one row per task. Keys of more than a HOT-th of all
-    lines, HOT at most, are looked up by broadcast, the rest by a join.
+    line of a third of all documents costs one row per task.
     """
     hashes = F.array_distinct(F.filter(F.transform(F.split(F.col(text_col), "\n", -1), lambda x: line_hash(x, min_chars)), lambda h: h.isNotNull()))
     lines = docs.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("__doc"), F.explode(hashes).alias("__hash"))
     lines = cut(lines, "lines")
     seen = lines if min_docs == 2 else lines.distinct()
-    spread = seen.groupBy("__hash").agg(F.min("__doc").alias("__first"), F.max("__doc").alias("__last"), F.count("*").alias("__docs"))
-    spread = spread.filter("__first <> __last" if min_docs == 2 else F.col("__docs") >= min_docs).drop("__last")
-    most = lines.count() // HOT + 1
-    hot = F.broadcast(spread.filter(F.col("__docs") >= most).select("__hash", F.col("__first").alias("__hot")))
-    tagged = lines.join(hot, "__hash", "left")
-    rare = tagged.filter(F.col("__hot").isNull()).drop("__hot").join(spread.filter(F.col("__docs") < most).drop("__docs"), "__hash")
-    frequent = tagged.filter("__hot IS NOT NULL").withColumnRenamed("__hot", "__first")
-    return frequent.unionByName(rare).filter("__doc <> __first").select("__doc", "__hash")
+    spread = seen.groupBy("__hash").agg(F.min("__doc").alias("__first"), F.max("__doc").alias("__last"), F.count("*").alias("__n"))
+    spread = spread.filter("__first <> __last" if min_docs == 2 else F.col("__n") >= min_docs).drop("__last")
+    return counted_join(lines, spread, ["__hash"], lines.count()).filter("__doc <> __first").select("__doc", "__hash")
 
 
 def drop_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.llm.components import connected
-from tessera.llm.shared import cut
+from tessera.llm.shared import cut, map_arrow
 from tessera.llm.vector import IS_START, Chunk, chunks, concatenated, random_words, shingle
 
 PERMUTATIONS, SHINGLE, BANDS, LIKENESS = 128, 5, 16, 0.8
@@ -159,11 +159,11 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 yield pa.RecordBatch.from_arrays(_emit(batch.column(0).slice(i, 1), pair_rows(own, following), signatures(following)), names)
 
     ordered = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
-    table = cut(ordered.mapInArrow(stream, schema), "fingerprints")
+    table = cut(ordered.transform(map_arrow, stream, schema), "fingerprints")
     waiting = table.filter(F.col("part").isNotNull())
     turns = waiting.select("part").withColumn("follows", F.coalesce(F.lead("part").over(W.orderBy("part")), F.min("part").over(W.partitionBy())))
     heads = waiting.select(F.col("part").alias("follows"), F.col("first").alias("next"))
-    closed = waiting.join(turns, "part").join(heads, "follows").select("doc_id", "text", "next").mapInArrow(close, schema)
+    closed = waiting.join(turns, "part").join(heads, "follows").select("doc_id", "text", "next").transform(map_arrow, close, schema)
     done = table.filter(F.col("part").isNull()).unionByName(closed)
     return done.drop("part", "first", "text")
 
@@ -193,7 +193,7 @@ def near_duplicates(docs: DataFrame, threshold: float = LIKENESS, bands: int = B
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(c.lo, c.n), pa.array(whole, pa.binary()), pa.array(sets, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.string()))], ["__id", "__set", "__items", "__bands"])
 
     known = docs.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("__id"), text_col)
-    table = cut(known.mapInArrow(run, "__id long, __set binary, __items array<long>, __bands array<string>").filter(F.size("__items") > 0), "bands")
+    table = cut(known.transform(map_arrow, run, "__id long, __set binary, __items array<long>, __bands array<string>").filter(F.size("__items") > 0), "bands")
     members = table.groupBy("__set").agg(F.min("__id").alias("__rep"))
     first = table.join(members, "__set").filter("__id = __rep").dropDuplicates(["__rep"]).select("__rep", "__items", "__bands")
     buckets = first.select("__rep", F.explode("__bands").alias("__band"))

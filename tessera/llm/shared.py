@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +22,9 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x20\x09-\x0D]+"
 #: The directory that is used where the session names none, as in tests.
 FALLBACK_DIR = "/tmp/checkpoints"
+BATCH_ROWS = 2000
+#: No more keys than this can each hold a HOT-th of all rows.
+HOT = 500
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +35,47 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Rows go to Python in batches of BATCH_ROWS at most for the rest of the session; long documents make even these large."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
+def release_memory() -> None:
+    """Give freed memory back to the system: workers live on between tasks, and several share an executor."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+#: What empties the caches that a worker keeps from task to task.
+emptiers: list[Callable[[], None]] = []
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], keep_caches: bool = False) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, giving memory back at the end of each task, and at its start the caches of operators that the worker served before."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            if not keep_caches and emptiers:
+                for empty in emptiers:
+                    empty()
+                release_memory()
+            yield from run(batches)
+        finally:
+            release_memory()
+
+    return tidied
+
+
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema, keep_caches: bool = False) -> DataFrame:
+    """df.mapInArrow in small batches, tidied."""
+    small_batches(df.sparkSession)
+    return df.mapInArrow(tidy(run, keep_caches), schema)
+
+
 def shipped(query):
     """The query, after making sure that executors can import this package, also where it is on the driver's path only."""
 
@@ -73,6 +120,18 @@ def _remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def counted_join(left: DataFrame, right: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """left joined with right, one row a key, whose __n says how many of left's total rows have the key; without __n.
+
+    Keys of at least a HOT-th of left's rows, HOT at most, are looked up by broadcast where the rows
+    are, so that none of them meets in one task. The others are joined.
+    """
+    most = total // HOT + 1
+    hot = F.broadcast(right.filter(F.col("__n") >= most).drop("__n"))
+    rare = right.filter(F.col("__n") < most).drop("__n")
+    return left.join(hot, keys).unionByName(left.join(hot.select(*keys), keys, "left_anti").join(rare, keys))
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z and nothing else; plain lower() where the text is ASCII, which is faster."""
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

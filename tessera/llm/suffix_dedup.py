@@ -32,7 +32,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.llm.difference_cover import repeats
-from tessera.llm.shared import cut
+from tessera.llm.shared import counted_join, cut, map_arrow
 from tessera.llm.vector import Chunk, chunks
 
 LENGTH, SPREAD, GRAM = 400, 192, 16
@@ -105,7 +105,7 @@ def cells(rows: DataFrame, length: int, spread: int, gram: int) -> DataFrame:
                 keys = [batch.column(k).slice(c.lo, c.n).take(pa.array(f["doc"])) for k in (0, 1)]
                 yield pa.RecordBatch.from_arrays([*keys, pa.array(f["core"].astype(np.int64)), pa.array(f["span"].astype(np.int64)), *(pa.array((f[k] - base).astype(np.int32)) for k in ("at", "low", "high"))], names)
 
-    return rows.mapInArrow(run, CELL)
+    return rows.transform(map_arrow, run, CELL)
 
 
 def per_row(rows: DataFrame, parts: DataFrame, columns: list[str]) -> DataFrame:
@@ -129,7 +129,7 @@ def fetch(rows: DataFrame, wanted: DataFrame, length: int, spread: int) -> DataF
                 types = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.bool_())
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out, strict=True), types, strict=True)], names)
 
-    return per_row(rows, wanted, ["__core", "__at", "__low", "__high", "__wanted"]).select("__doc", "__text", "__body", "__parts").mapInArrow(run, OPEN)
+    return per_row(rows, wanted, ["__core", "__at", "__low", "__high", "__wanted"]).select("__doc", "__text", "__body", "__parts").transform(map_arrow, run, OPEN)
 
 
 def narrower(open_cells: DataFrame, spread: int, width: int) -> DataFrame:
@@ -156,7 +156,7 @@ def narrower(open_cells: DataFrame, spread: int, width: int) -> DataFrame:
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out, strict=True), types, strict=True)], names)
 
-    return open_cells.mapInArrow(run, OPEN)
+    return open_cells.transform(map_arrow, run, OPEN)
 
 
 def sorted_repeats(group: DataFrame, width: int) -> DataFrame:
@@ -201,20 +201,21 @@ def sorted_repeats(group: DataFrame, width: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(t, pa.int32()), pa.array(a, pa.int32()), pa.array(b, pa.int32())], ["__doc", "__text", "__low", "__high"])
             lo = hi
 
-    return group.repartition("__core").mapInArrow(run, f"{ROW}, __low int, __high int")
+    n = int(group.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, much work: not to be coalesced
+    return group.repartition(n, "__core").transform(map_arrow, run, f"{ROW}, __low int, __high int")
 
 
 def repeated_windows(rows: DataFrame, length: int = LENGTH, spread: int = SPREAD, gram: int = GRAM, narrow: tuple[int, ...] = NARROW, most: int = MOST) -> DataFrame:
     """(row key, low, high): runs of places where a string of length bytes starts that also starts elsewhere. A place may be in several runs."""
     spans = ["__doc", "__text", "__low", "__high"]
     all_cells = cut(cells(rows, length, spread, gram), "cells")
-    cores = all_cells.groupBy("__core").agg(F.count("*").alias("__n"), F.min("__span").alias("__a"), F.max("__span").alias("__b")).filter("__n > 1").select("__core", (F.col("__a") == F.col("__b")).alias("__one"))
-    repeated = cut(all_cells.join(cut(cores, "cores"), "__core"), "repeated")
+    cores = all_cells.groupBy("__core").agg(F.count("*").alias("__n"), F.min("__span").alias("__a"), F.max("__span").alias("__b")).filter("__n > 1").select("__core", "__n", (F.col("__a") == F.col("__b")).alias("__one"))
+    repeated = cut(counted_join(all_cells, cut(cores, "cores"), ["__core"], all_cells.count()), "repeated")
     found = [repeated.filter("__one").select(*spans)]
     several = repeated.filter("NOT __one").drop("__one")
     kinds = several.groupBy("__core", "__span").agg(F.count("*").alias("__n"), F.min(F.struct("__doc", "__text", "__at", "__low", "__high")).alias("__first"))
     kinds = cut(kinds, "kinds")
-    found.append(several.join(kinds.filter("__n > 1").select("__core", "__span"), ["__core", "__span"]).select(*spans))
+    found.append(counted_join(several, kinds.filter("__n > 1").select("__core", "__span", "__n"), ["__core", "__span"], several.count()).select(*spans))
     lone = kinds.groupBy("__core").agg(F.min("__n").alias("__least")).filter("__least = 1").select("__core")
     wanted = kinds.join(lone, "__core").select("__core", "__first.*", (F.col("__n") == 1).alias("__wanted"))
     here = cut(fetch(rows, wanted, length, spread), "open")
@@ -287,7 +288,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     full = full.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__body"))
     full = full.withColumns({"__doc": F.coalesce(F.col("__id").cast("long"), F.lit(-(1 << 63))), "__text": F.hash("__body")})
     joined = full.join(F.broadcast(lists) if total <= SMALL_RUNS else lists, ["__doc", "__text"], "left").select("__id", "__body", "__spans")
-    return joined.mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
+    return joined.transform(map_arrow, run, f"`{id_col}` {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def op7_difference_cover_dedup(spark, sf_dir):

@@ -26,6 +26,7 @@ from pyspark.sql import types as T
 
 from tessera.llm.linear import fit_logistic, fit_svm, sigmoid
 from tessera.llm.vector import Chunk, chunks, concatenated, mix64, powers, random_words
+from tessera.llm.shared import map_arrow
 
 ORDER, DECAY = 4, 0.7
 LANDMARKS, BACKGROUND = 48, 2
@@ -43,7 +44,7 @@ SHARE = 0.93
 GAPPED_WEIGHT = 0.2
 #: A worker remembers up to 2**SEEN_BITS words that are like no landmark; likenesses up to LEAST count as none.
 SEEN_BITS, LEAST = 20, 0.05
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 
 
 def _letters() -> np.ndarray:
@@ -398,7 +399,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 columns = [batch.column(i).slice(c.lo, c.n) for i in range(len(rest) + 1)]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(found, pa.float64()), pa.array((found >= 0.5).astype(np.int32))], [*rest, text_col, "score", "predicted"])
 
-    return docs.select(*rest, text_col).mapInArrow(run, shape)
+    return docs.select(*rest, text_col).transform(map_arrow, run, shape)
 
 
 def op1_string_kernel_toxicity(spark, sf_dir):

@@ -292,7 +292,8 @@ def test_round_trip_and_digest(docs, empty, vocabulary):
         ids = library.encode_ordinary(t)
         assert (got[i]["n_tokens"], got[i]["ids_sha256"]) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
         assert got[i]["decoded_sha256"] == hashlib.sha256(t.encode()).hexdigest()
-    assert bpe.encode(docs, tokens, pattern, check=True).filter("not round_trip").count() == 0
+    ids = bpe.encode(docs, tokens, pattern)
+    assert bpe.decode(ids, tokens).filter("decoded <> encode(coalesce(text, ''), 'UTF-8')").count() == 0 and "decoded" not in ids.columns
     assert bpe.digest(docs, tokens, pattern).count() == docs.count() and bpe.digest(empty, tokens, pattern).count() == 0
 
 
