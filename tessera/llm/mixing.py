@@ -46,6 +46,12 @@ def water_level(sources: DataFrame, max_copies: int) -> DataFrame:
     return capped.withColumn("target", F.coalesce(F.least("__cap", level * F.col("__weight")), F.lit(0.0)))
 
 
+def time_bucket(finish: Column) -> Column:
+    """TIME_BUCKETS to a unit of virtual time up to 2, then as many to each doubling: the mix is full near 1, and what comes late still is dealt out."""
+    late = 2 * TIME_BUCKETS + F.floor(F.log2(F.greatest(finish, F.lit(2.0)) / 2) * TIME_BUCKETS)
+    return F.when(finish <= 2, F.floor(finish * TIME_BUCKETS)).otherwise(late)
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_copies: int = MAX_COPIES, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """docs without the text, with size, source_size, target and taken.
 
@@ -70,7 +76,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_copies: int = M
         queued.filter((F.col("size") > 0) & (F.col("target") > 0))
         .select("__key", "__slot", "__run", "__rank", "size", "source_size", "target", "__offset", "__total", id_col, F.explode(F.sequence(F.lit(1), F.lit(max_copies))).alias("__copy"))
         .withColumn("__finish", finish)
-        .withColumn("__time", F.least(F.floor(F.col("__finish") * TIME_BUCKETS), F.lit(4 * TIME_BUCKETS)))
+        .withColumn("__time", time_bucket(F.col("__finish")))
     )
     times = copies.groupBy("__time").agg(F.sum("size").alias("__time_size"))
     times = times.select("__time", (F.sum("__time_size").over(W.orderBy("__time")) - F.col("__time_size")).alias("__earlier"))
