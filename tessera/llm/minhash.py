@@ -18,10 +18,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.llm.components import connected
-from tessera.llm.shared import cut, map_arrow
-from tessera.llm.vector import IS_START, Chunk, chunks, concatenated, random_words, shingle
+from tessera.llm.jaccard_join import sets_of, verified
+from tessera.llm.shared import counted_join, cut, map_arrow
+from tessera.llm.vector import IS_START, Chunk, chunks, concatenated, mix64, random_words, shingle
 
-PERMUTATIONS, SHINGLE, BANDS, LIKENESS = 128, 5, 16, 0.8
+PERMUTATIONS, SHINGLE, BANDS, LIKENESS = 128, 5, 16, (80, 100)
 CHUNK_BYTES = 1 << 18
 #: Signatures keep the top 16 bits of each minimum.
 EMPTY = np.uint16(0xFFFF)
@@ -65,6 +66,13 @@ def hexed(signature: np.ndarray) -> list[str]:
     return [r.tobytes().hex() for r in signature.astype(">u2")]
 
 
+def band_keys(signature: np.ndarray, bands: int) -> np.ndarray:
+    """n x bands hashes of the bands' places, the band's number with them. A band's places fill whole 64-bit words."""
+    words = np.ascontiguousarray(signature).view(np.uint64).reshape(len(signature), bands, -1)
+    factors = random_words(words.shape[2] + bands, 17) | np.uint64(1)
+    return mix64((words * factors[: words.shape[2]]).sum(axis=2, dtype=np.uint64) + factors[words.shape[2] :]).astype(np.int64)
+
+
 def edited(c: Chunk, following: Chunk) -> tuple[list[bytes], list[bytes], np.ndarray, np.ndarray]:
     """Each text with its last quarter replaced by the head of the text that follows.
 
@@ -173,38 +181,40 @@ def _neighbours(c: Chunk) -> tuple[Chunk, Chunk]:
     return Chunk(0, c.n - 1, c.data[: c.offsets[-2]], c.offsets[:-1]), Chunk(0, c.n - 1, c.data[c.offsets[1] :], c.offsets[1:] - c.offsets[1])
 
 
-def near_duplicates(docs: DataFrame, threshold: float = LIKENESS, bands: int = BANDS, permutations: int = PERMUTATIONS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, class_id) of every row: near-duplicate classes by bands, each link verified by exact Jaccard.
+def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = LIKENESS, bands: int = BANDS, permutations: int = PERMUTATIONS, size: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, class_id) of every row: near-duplicate classes, the smallest id of each. Links are pairs that agree in a band and whose lower-cased shingle sets have a Jaccard likeness of threshold, verified exactly.
 
-    Texts with one set of shingles stand for each other, so copies make no pairs. In each bucket of
-    a band every member is verified against the bucket's smallest id, which costs one pair a row
-    however large the bucket is. Null texts and ids, and texts without words, are classes of their own.
+    In each bucket of a band all members are verified against the bucket's smallest id, so copies
+    cost one pair a row; then pairs of a bucket that are still in different classes are verified
+    too. Null texts and ids, and texts without words, are classes of their own.
     """
-    rows = permutations // bands
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for c in chunks(batch.column(1), CHUNK_BYTES):
-                hashes, at = places(c, SHINGLE)
+                hashes, at = sets_of(c, size)
                 sig = (minima(hashes, at[:-1], at[1:], permutations) >> np.uint64(48)).astype(np.uint16).T
-                sets = [np.unique(hashes[a:b]).astype(np.int64) for a, b in zip(at[:-1], at[1:], strict=True)]
-                keys = [[f"{k}:{s[k * rows : (k + 1) * rows].tobytes().hex()}" for k in range(bands)] for s in sig]
-                whole = [hashlib.md5(s.tobytes()).digest() for s in sets]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(c.lo, c.n), pa.array(whole, pa.binary()), pa.array(sets, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.string()))], ["__id", "__set", "__items", "__bands"])
-
-    known = docs.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("__id"), text_col)
-    table = cut(known.transform(map_arrow, run, "__id long, __set binary, __items array<long>, __bands array<string>").filter(F.size("__items") > 0), "bands")
-    members = table.groupBy("__set").agg(F.min("__id").alias("__rep"))
-    first = table.join(members, "__set").filter("__id = __rep").dropDuplicates(["__rep"]).select("__rep", "__items", "__bands")
-    buckets = first.select("__rep", F.explode("__bands").alias("__band"))
-    smallest = buckets.groupBy("__band").agg(F.min("__rep").alias("__low"))
-    pairs = buckets.join(smallest, "__band").filter("__rep <> __low").select("__rep", "__low").distinct()
-    sets = first.select("__rep", "__items")
-    common = F.size(F.array_intersect("__items", "__other"))
-    links = pairs.join(sets, "__rep").join(sets.select(F.col("__rep").alias("__low"), F.col("__items").alias("__other")), "__low").filter(common >= threshold * (F.size("__items") + F.size("__other") - common))
-    classes = connected(cut(links.select(F.col("__low").alias("a"), F.col("__rep").alias("b")), "links"))
-    label = table.select("__id", "__set").join(members, "__set").join(classes.withColumnRenamed("id", "__rep"), "__rep", "left").groupBy("__id").agg(F.min(F.coalesce("component", "__rep")).alias("class_id"))
-    return docs.select(id_col).join(label, F.col(id_col).cast("long") == F.col("__id"), "left").select(id_col, F.coalesce("class_id", F.col(id_col)).alias("class_id"))
+                keys = [k if b > a else [] for k, a, b in zip(band_keys(sig, bands), at[:-1], at[1:], strict=True)]
+                whole = [hashlib.md5(hashes[a:b].tobytes()).digest() for a, b in zip(at[:-1], at[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(c.lo, c.n), pa.array(whole, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["__node", "__set", "__bands"])
+
+    nodes = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("__node"), text_col)
+    known = cut(nodes.transform(map_arrow, run, "__node long, __set binary, __bands array<long>").filter(F.size("__bands") > 0), "bands")
+    same = known.groupBy("__set").agg(F.min("__node").alias("__low"), F.count("*").alias("__n"))
+    twins = counted_join(known.select("__node", "__set"), same.filter("__n > 1"), ["__set"], known.count()).filter("__node <> __low").select(F.col("__low").alias("a"), F.col("__node").alias("b"))
+    # one text stands for each set
+    firsts = known.join(same.select(F.col("__low").alias("__node")), "__node", "left_semi").dropDuplicates(["__node"])
+    buckets = cut(firsts.select("__node", F.explode("__bands").alias("__band")), "buckets")
+    lowest = buckets.groupBy("__band").agg(F.min("__node").alias("a"), F.count("*").alias("__n")).filter("__n > 1")
+    stars = cut(counted_join(buckets, lowest, ["__band"], buckets.count()).filter("__node <> a").select("a", F.col("__node").alias("b")).distinct(), "pairs")
+    links = cut(verified(stars, docs, id_col, text_col, size, threshold).unionByName(twins), "links")
+    classes = connected(links).select(F.col("id").alias("__node"), F.col("component").alias("__class"))
+    placed = cut(buckets.join(lowest.select("__band"), "__band", "left_semi").join(classes, "__node", "left").withColumn("__class", F.coalesce("__class", "__node")), "placed")
+    mixed = placed.join(placed.groupBy("__band").agg(F.min("__class").alias("x"), F.max("__class").alias("y")).filter("x <> y").select("__band"), "__band")
+    other = mixed.select("__band", F.col("__node").alias("b"), F.col("__class").alias("__other"))
+    rest = mixed.join(other, "__band").filter("__class < __other").select(F.col("__node").alias("a"), "b").distinct().join(stars, ["a", "b"], "left_anti")
+    found = verified(cut(rest, "pairs"), docs, id_col, text_col, size, threshold)
+    final = connected(cut(links.unionByName(found), "links")).withColumnRenamed("component", "class_id")
+    return docs.select(id_col).join(final, F.col(id_col).cast("long") == F.col("id"), "left").select(id_col, F.coalesce("class_id", F.col(id_col)).alias("class_id"))
 
 
 def op6_minhash_fingerprints(spark, sf_dir):

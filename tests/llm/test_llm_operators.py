@@ -388,3 +388,15 @@ def test_chunks_cut_by_size_and_take_nulls():
     column = pa.array(["ab", None, "", "x" * 50, "é"])
     got = [(c.lo, c.hi, c.data.tobytes().decode()) for c in chunks(column.slice(1), 10)]
     assert [x for c in got for x in range(c[0], c[1])] == [0, 1, 2, 3] and "".join(c[2] for c in got) == "x" * 50 + "é"
+
+
+def test_near_duplicates_match_all_pairs(spark):
+    base, random, rows = [prose(s, 150) for s in (50, 51, 52)], np.random.default_rng(8), []
+    for i in range(60):
+        words = base[i % 3].split()
+        for _ in range(int(random.integers(0, 3))):
+            words[int(random.integers(0, len(words)))] = f"edit{random.integers(0, 9)}"
+        rows.append((i * 11 % 60, " ".join(words)))
+    expected = brute_components(rows, 5, lambda c, u: c >= 0.8 * u)
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    assert {r["doc_id"]: r["class_id"] for r in got.collect()} == expected
