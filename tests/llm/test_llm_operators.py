@@ -6,7 +6,6 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from tessera.llm import bpe, compression, jaccard_join, language_id, line_dedup, minhash, mixing, quality_rank, suffix_dedup, toxicity
 from tessera.llm.components import connected
@@ -282,6 +281,18 @@ def test_transducer_encodes_as_the_library(vocabulary):
         assert machine.encode(piece) == (library._core_bpe.encode_single_piece(piece) if piece else []), piece
 
 
+def test_both_engines_split_alike(vocabulary):
+    import regex
+
+    _, pattern = vocabulary
+    assert pattern in bpe.PLAIN
+    split, general = bpe.splitter(pattern), regex.compile(pattern).findall
+    for place in [*range(0x600), 0x2003, 0x3000, 0x4E00, 0x1F600]:
+        ch = chr(place)
+        for text in (f"a {ch}b{ch} 1{ch}  {ch}{ch} ", f"{ch}_{ch}'ll {ch}\n\n{ch}", ch):
+            assert split(text) == general(text), hex(place)
+
+
 def test_round_trip_and_digest(docs, empty, vocabulary):
     tiktoken = pytest.importorskip("tiktoken")
     tokens, pattern = vocabulary
