@@ -46,6 +46,8 @@ def score(docs: DataFrame, id_col: str, tokens: Column, query: list[str], condit
     """
     counts = docs.withColumn("__tokens", tokens).withColumn("dl", F.coalesce(F.size("__tokens"), F.lit(0)).cast("long"))
     terms = list(dict.fromkeys(query))
+    if terms:  # one pass over a document's tokens, then counts in the few that are left
+        counts = counts.withColumn("__tokens", F.filter("__tokens", lambda t: t.isin(*terms)))
     counts = counts.select("*", *(_occurrences("__tokens", term).alias(f"__tf{k}") for k, term in enumerate(terms))).drop("__tokens")
     stats = counts.agg(F.count("*").alias("__n"), F.avg("dl").alias("__mean"), *(F.sum((F.col(f"__tf{k}") > 0).cast("long")).alias(f"__df{k}") for k in range(len(terms))))
     chosen = counts if condition is None else counts.filter(condition)
@@ -69,6 +71,6 @@ def score_queries(docs: DataFrame, id_col: str, tokens: Column, queries: DataFra
     dl = docs.select(id_col, tokens.alias("__tokens")).withColumn("__dl", F.coalesce(F.size("__tokens"), F.lit(0)))
     stats = dl.agg(F.count("*").alias("__n"), F.avg("__dl").alias("__mean"))
     postings = dl.select(id_col, "__dl", F.explode("__tokens").alias("term")).join(vocabulary, "term", "left_semi").groupBy(id_col, "__dl", "term").agg(F.count("*").alias("tf"))
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
+    df = postings.groupBy("term").agg(F.count(F.when(F.col("tf") > 0, 1)).alias("df"))  # of the same columns as below, so that Spark shuffles the postings once
     weighted = postings.join(df, "term").crossJoin(F.broadcast(stats)).select(id_col, "term", (idf(F.col("df"), F.col("__n")) * weight(F.col("tf"), F.col("__dl"), F.col("__mean"), k1, b)).alias("__w"))
     return weighted.join(wanted, "term").groupBy(query_id, id_col).agg(F.sum(F.col("__w") * F.col("__times")).alias("score"))
