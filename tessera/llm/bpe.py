@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 from tessera.llm.shared import emptiers, map_arrow
 
 #: A worker keeps at most so many states and so many encoded pieces.
-MOST_STATES, MOST_PIECES, LONG_PIECE = 300_000, 200_000, 48
+MOST_STATES, MOST_PIECES, LONG_PIECE = 220_000, 150_000, 48
 #: Rows are encoded and handed on so many at a time.
 ROWS = 256
 #: No rank; and tokens with a common start that are tried one by one.
