@@ -24,7 +24,7 @@ from tessera.llm.vector import IS_START, Chunk, chunks, concatenated, mix64, ran
 
 PERMUTATIONS, SHINGLE, BANDS, LIKENESS = 128, 5, 16, (80, 100)
 CHUNK_BYTES = 1 << 18
-#: Signatures keep the top 16 bits of each minimum.
+#: Signatures keep 16 bits of a hash of each minimum: the minimum itself falls towards 0 as sets grow, its top bits with it.
 EMPTY = np.uint16(0xFFFF)
 TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -47,6 +47,11 @@ def minima(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray, permutation
     return out
 
 
+def small(least: np.ndarray) -> np.ndarray:
+    """minima as segments x permutations of 16 bits. Places of different minima agree with a chance of 2**-16, whatever the sets' sizes; empty sets' are all ones."""
+    return np.where(least == TOP, EMPTY, (mix64(least) >> np.uint64(48)).astype(np.uint16)).T
+
+
 def places(c: Chunk, size: int) -> tuple[np.ndarray, np.ndarray]:
     return shingle(c.hashes(*c.words), c.word_offsets, size)
 
@@ -54,7 +59,7 @@ def places(c: Chunk, size: int) -> tuple[np.ndarray, np.ndarray]:
 def signatures(c: Chunk, permutations: int = PERMUTATIONS, size: int = SHINGLE) -> np.ndarray:
     """n x permutations of 16 bits."""
     hashes, at = places(c, size)
-    return (minima(hashes, at[:-1], at[1:], permutations) >> np.uint64(48)).astype(np.uint16).T
+    return small(minima(hashes, at[:-1], at[1:], permutations))
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -110,7 +115,6 @@ def pair_rows(c: Chunk, following: Chunk) -> dict[str, np.ndarray | list]:
     more, more_at = places(t, SHINGLE)
     short = (kept > 0) & (np.diff(t.word_offsets) < SHINGLE)  # no shingle of its own
     changed = minima(more, more_at[:-1], np.where(short, more_at[:-1], more_at[1:]))
-    small = lambda x: (x >> np.uint64(48)).astype(np.uint16).T
     return {"n_chars": n_chars, "edited_sha256": [hashlib.sha256(x).hexdigest() for x in texts], "own": small(np.minimum(common, rest)), "changed": small(np.minimum(common, changed))}
 
 
@@ -192,7 +196,7 @@ def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = LIKENESS, band
         for batch in batches:
             for c in chunks(batch.column(1), CHUNK_BYTES):
                 hashes, at = sets_of(c, size)
-                sig = (minima(hashes, at[:-1], at[1:], permutations) >> np.uint64(48)).astype(np.uint16).T
+                sig = small(minima(hashes, at[:-1], at[1:], permutations))
                 keys = [k if b > a else [] for k, a, b in zip(band_keys(sig, bands), at[:-1], at[1:], strict=True)]
                 whole = [hashlib.md5(hashes[a:b].tobytes()).digest() for a, b in zip(at[:-1], at[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(c.lo, c.n), pa.array(whole, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["__node", "__set", "__bands"])

@@ -212,6 +212,15 @@ def test_fingerprints_estimate_likeness(spark, docs, empty):
     assert minhash.fingerprints(docs).count() == docs.count() and minhash.fingerprints(empty).count() == 0
 
 
+def test_fingerprints_tell_long_texts_apart():
+    random = np.random.default_rng(6)
+    texts = [b" ".join(b"%d" % w for w in random.integers(0, 1 << 40, 100_000)) for _ in range(2)]
+    own = minhash.signatures(concatenated([*texts, texts[0][: len(texts[0]) // 2], b"", b" "]))
+    assert (own[0] == own[1]).mean() < 0.03 and abs((own[0] == own[2]).mean() - 0.5) < 0.2
+    assert (own[3:] == minhash.EMPTY).all() and (own[:3] == minhash.EMPTY).mean() < 0.02
+    assert not (minhash.band_keys(own[:1], 16) == minhash.band_keys(own[1:2], 16)).any()
+
+
 def test_near_duplicates_are_verified(docs, empty):
     got = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(docs).collect()}
     assert got[1] == 0 and got[6] == 5 and got[2] == 2 and got[9] == 9
