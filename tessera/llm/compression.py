@@ -1,4 +1,4 @@
-"""Quality rules: zstandard ratios of whole documents and of fixed chunks, held against limits for the document's length.
+"""Quality rules: zstandard ratios of whole documents and of fixed chunks, held against limits for their length.
 
 Text that repeats itself compresses far better than prose of its length, and noise or
 ciphertext far worse. Short texts have little for a compressor to find, so the limits are
@@ -20,8 +20,8 @@ from tessera.llm.shared import map_arrow
 LEVEL, CHUNK = 3, 4096
 #: (bytes, lowest ratio, highest ratio) of whole documents: raw size over compressed size.
 BANDS = ((50, 0.60, 1.45), (200, 1.10, 1.80), (500, 1.25, 2.05), (1000, 1.35, 2.20), (2000, 1.45, 2.35), (4096, 1.50, 2.50), (16384, 1.50, 2.75), (131072, 1.50, 3.10))
-#: (lowest, highest) ratio of a full chunk, and the share of a document's chunks that may lie outside.
-CHUNK_BAND, CHUNK_SHARE = (1.40, 2.90), 0.34
+#: (lowest, highest) ratio of a full chunk, and the share of a document's bytes that may lie in chunks outside. The rest behind the last full chunk is held to BANDS.
+CHUNK_BAND, CHUNK_SHARE = (1.40, 2.90), 0.05
 SYMBOLS = b"#*$%&|<>"
 MIN_WORDS, REPEAT_PERCENT, WINDOW = 10, 20, 5
 
@@ -75,8 +75,12 @@ def band(size: np.ndarray, bands=BANDS) -> tuple[np.ndarray, np.ndarray]:
     return np.interp(x, np.log(at), low), np.interp(x, np.log(at), high)
 
 
-def ratios(c: Chunk, level: int, chunk: int, chunk_band: tuple[float, float]) -> tuple[np.ndarray, np.ndarray]:
-    """Of each document: the ratio of the whole, and the share of its full chunks outside chunk_band. Every byte is compressed."""
+def ratios(c: Chunk, level: int, chunk: int, chunk_band: tuple[float, float], bands=BANDS) -> tuple[np.ndarray, np.ndarray]:
+    """Of each document: the ratio of the whole, and the share of its bytes in chunks outside their limits.
+
+    Full chunks are held to chunk_band, the rest behind them to the limits of its length; a rest
+    shorter than bands start with is part of the chunk before it. Shorter documents are one whole.
+    """
     press = zstandard.ZstdCompressor(level=level, write_content_size=False, write_checksum=False).compress
     view = memoryview(np.ascontiguousarray(c.data))
     whole, odd = np.ones(c.n), np.zeros(c.n)
@@ -85,14 +89,20 @@ def ratios(c: Chunk, level: int, chunk: int, chunk_band: tuple[float, float]) ->
         if a == b:
             continue
         whole[i] = (b - a) / len(press(view[a:b]))
-        if b - a >= 2 * chunk:
-            parts = np.array([chunk / len(press(view[k : k + chunk])) for k in range(a, b - chunk + 1, chunk)])
-            odd[i] = np.mean((parts < chunk_band[0]) | (parts > chunk_band[1]))
+        if b - a >= chunk:
+            cuts = [*range(a, b, chunk), b]
+            if len(cuts) > 2 and b - cuts[-2] < bands[0][0]:
+                del cuts[-2]
+            sizes = np.diff(cuts)
+            parts = sizes / np.array([len(press(view[x:y])) for x, y in zip(cuts[:-1], cuts[1:], strict=True)])
+            low, high = band(sizes, bands)
+            low[sizes >= chunk], high[sizes >= chunk] = chunk_band
+            odd[i] = sizes[(parts < low) | (parts > high)].sum() / (b - a)
     return whole, odd
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands=BANDS, level: int = LEVEL, chunk: int = CHUNK, chunk_band: tuple[float, float] = CHUNK_BAND, chunk_share: float = CHUNK_SHARE) -> DataFrame:
-    """One row per row of docs: the id, base figures, verdict (kept), whole ratio and share of odd chunks.
+    """One row per row of docs: the id, base figures, verdict (kept), whole ratio and share of bytes in odd chunks.
 
     A null or empty text has no words and fails the base rule. Other columns of docs are left out.
     """
@@ -102,7 +112,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands
             for c in chunks(batch.column(1)):
                 f = base_figures(c)
                 failed = (f["n_words"] < MIN_WORDS) | (100 * f["n_repeat_words"] > REPEAT_PERCENT * f["n_words"])
-                whole, odd = ratios(c, level, chunk, chunk_band)
+                whole, odd = ratios(c, level, chunk, chunk_band, bands)
                 low, high = band(np.diff(c.offsets), bands)
                 kept = ~failed & (whole >= low) & (whole <= high) & (odd <= chunk_share)
                 names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]

@@ -78,6 +78,22 @@ def test_compression_keeps_prose_and_drops_repeats_and_noise(spark, docs, empty)
     assert compression.judge(empty).count() == 0
 
 
+def test_every_chunk_is_held_to_its_limits():
+    import base64
+
+    random = np.random.default_rng(4)
+    letters, often = list("etaoinshrdlucmfwypvbgk"), np.array([12, 9, 8, 8, 7, 7, 6, 6, 6, 4, 4, 3, 3, 2, 2, 2, 2, 2, 1, 1, 2, 1], float)
+    words = ["".join(random.choice(letters, int(n), p=often / often.sum())) for n in random.integers(2, 9, 600)]
+    text = " ".join(words[int(600 * x**2)] for x in random.random(12000)).encode()
+    noise = base64.b64encode(random.bytes(4096))
+    clean = [text[:4096], text[:4126], text[:7000], text[: 8192 + 40], text[: 10 * 4096]]
+    foul = [text[:4300] + noise[:3800], text[:4096] + noise[:4095], noise[:4096] + text[:3000], text[:8192] + noise[:1500], text[: 5 * 4096] + noise[:4096] + text[: 9 * 4096]]
+    _, odd = compression.ratios(concatenated([*clean, *foul]), compression.LEVEL, compression.CHUNK, compression.CHUNK_BAND)
+    assert odd[:5].tolist() == [0] * 5 and (odd[5:] > compression.CHUNK_SHARE).all()
+    assert odd[8] == 1500 / 9692 and odd[9] == 1 / 15
+    assert len(foul[0]) < 2 * compression.CHUNK and compression.ratios(concatenated([text[:4000]]), compression.LEVEL, compression.CHUNK, compression.CHUNK_BAND)[1] == 0
+
+
 # mixing
 
 
