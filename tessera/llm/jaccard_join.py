@@ -93,7 +93,7 @@ def sketch(docs: DataFrame, text_col: str, size: int, bits: int = SKETCH_BITS) -
 
 
 def index_rows(docs: DataFrame, id_col: str, text_col: str, size: int, threshold: tuple[int, int], levels: np.ndarray) -> DataFrame:
-    """Of each row: its id, the size and hash of its set, and its first shingles in order. Repeats of a set in one task have no shingles: the hash links them."""
+    """Of each row: its id, the size and hash of its set, and its first shingles in order. Repeats of a set in one task have no shingles: the hash links them. Nor have rows without an id, which link with nothing."""
     bits = int(levels.size).bit_length() - 1
     shared = docs.sparkSession.sparkContext.broadcast(levels)
     num, den = threshold
@@ -110,8 +110,9 @@ def index_rows(docs: DataFrame, id_col: str, text_col: str, size: int, threshold
                 sizes = np.diff(at)
                 first = np.where(sizes > 0, sizes - -(-sizes * num // den) + 1, 0)
                 digest = [hashlib.md5(hashes[a:b].tobytes()).digest() for a, b in zip(at[:-1], at[1:], strict=True)]
+                known = batch.column(0).slice(c.lo, c.n).is_valid().to_pylist()
                 for i, d in enumerate(digest):
-                    if d in seen:
+                    if not known[i] or d in seen:
                         first[i] = 0
                     elif len(seen) < 1_000_000:
                         seen.add(d)

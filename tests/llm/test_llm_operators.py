@@ -199,6 +199,15 @@ def test_join_on_awkward_tables(docs, empty):
     assert all(r["component_id"] is None for r in got if r["doc_id"] is None)
 
 
+def test_join_links_copies_of_a_row_without_an_id(spark):
+    text = prose(1, 120)
+    near = text.replace(text.split()[60], "changed", 1)
+    rows = [(None, text), (None, text), (5, text), (3, near), (9, prose(2, 120)), (None, near)]
+    got = jaccard_join.components(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got if r["doc_id"] is not None} == {5: 3, 3: 3, 9: 9}
+    assert [(r["n_shingles"], r["component_id"]) for r in got if r["doc_id"] is None] == [(len(shingles(t, 3)), None) for i, t in rows if i is None]
+
+
 def test_components_of_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(10, 40)] + [(100, 100 + k) for k in range(1, 20)] + [(7, 39)]
     got = {r["id"]: r["component"] for r in connected(spark.createDataFrame(links, "a long, b long")).collect()}
