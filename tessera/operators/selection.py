@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -92,12 +94,21 @@ def diverse_order(df: DataFrame, group: list[str], facets: str, score: str, seco
     schema = T.StructType([*df.schema, T.StructField("position", T.IntegerType())])
 
     def order(rows: pd.DataFrame) -> pd.DataFrame:
-        left, seen, out = list(range(len(rows))), set(), []
+        seen, out = set(), []
         sets = [set(x) if x is not None else set() for x in rows[facets]]
         values = list(zip(rows[score], rows[second], rows[key], strict=True))
-        while left:
-            best = max(left, key=lambda i: (len(sets[i] - seen), *values[i]))
-            left.remove(best)
+        ranked = sorted(range(len(rows)), key=values.__getitem__, reverse=True)
+        # what a row adds never grows, so an older figure bounds it
+        heap = [(-len(sets[i]), place) for place, i in enumerate(ranked)]
+        heapq.heapify(heap)
+        while heap:
+            bound, place = heap[0]
+            best = ranked[place]
+            sets[best] = sets[best] - seen
+            if -len(sets[best]) > bound:
+                heapq.heapreplace(heap, (-len(sets[best]), place))
+                continue
+            heapq.heappop(heap)
             seen |= sets[best]
             out.append(best)
         return rows.iloc[out].assign(position=range(1, len(out) + 1))
@@ -109,6 +120,7 @@ def set_cover(df: DataFrame, group: list[str], covers: str, value: str, key: str
     """Of each group up to k rows whose covers, arrays of small numbers from 0, reach most of them: then fewest rows, highest total value, and the keys highest in order.
 
     A table of the best choice for each reached set of numbers, one row after the other; a row of the result has its place.
+    Of rows that cover the same, a best choice takes only the first by value and key, so the others aren't gathered.
     """
     schema = T.StructType([*df.schema, T.StructField("place", T.IntegerType())])
 
@@ -129,7 +141,9 @@ def set_cover(df: DataFrame, group: list[str], covers: str, value: str, key: str
         most = max(best, key=lambda m: (m.bit_count(), merit(best[m])))
         return rows.iloc[list(best[most])].assign(place=range(1, len(best[most]) + 1))
 
-    return df.groupBy(*group).applyInPandas(choose, schema)
+    same = F.sort_array(F.array_distinct(F.coalesce(covers, F.array().cast(df.schema[covers].dataType))))
+    firsts = keep_first(df.withColumn("__same", same), [*group, "__same"], [F.desc(value), F.desc(key)]).drop("__same")
+    return firsts.groupBy(*group).applyInPandas(choose, schema)
 
 
 def guidance_score(text: Column, ranges: Column, facets: dict[str, tuple[str, ...]], actions: tuple[str, ...], strong: tuple[str, ...], negative: tuple[str, ...]) -> Column:

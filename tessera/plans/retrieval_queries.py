@@ -248,9 +248,8 @@ def concept_coverage(spark, sf_dir):
 
 @query()
 def facet_greedy_order(spark, sf_dir):
-    d = Tables(spark, sf_dir).documents.select("doc_id", "source", F.col("n_chars").cast("double").alias("score"), F.array_distinct(F.slice(X.tokens(F.col("text")), 1, 12)).alias("facets"))
-    some = ranking.top_k(d, ["source"], [F.desc("score"), F.col("doc_id")], 12)
-    return selection.diverse_order(some.withColumn("second", F.lit(0.0)), ["source"], "facets", "score", "second", "doc_id").select("source", "doc_id", "position")
+    d = Tables(spark, sf_dir).documents.select("doc_id", "source", F.col("n_chars").cast("double").alias("score"), F.array_distinct(X.tokens(F.col("text"))).alias("facets"))
+    return selection.diverse_order(d.withColumn("second", F.lit(0.0)), ["source"], "facets", "score", "second", "doc_id").select("source", "doc_id", "position")
 
 
 @query()
@@ -258,8 +257,8 @@ def setcover_select(spark, sf_dir):
     d = Tables(spark, sf_dir).documents
     groups = F.filter(F.transform(F.array(*map(F.lit, ["the", "of", "de", "que", "und", "with"])), lambda t: F.when(F.array_contains(X.tokens(F.col("text")), t), t)), lambda x: x.isNotNull())
     numbered = F.transform(groups, lambda t: F.array_position(F.array(*map(F.lit, ["the", "of", "de", "que", "und", "with"])), t).cast("int") - 1)
-    some = ranking.top_k(d.select("doc_id", "source", F.col("n_chars").cast("double").alias("value"), numbered.alias("covers")), ["source"], [F.desc("value"), F.col("doc_id")], 16)
-    return selection.set_cover(some, ["source"], "covers", "value", "doc_id", 3).select("source", "doc_id", "place")
+    rows = d.select("doc_id", "source", F.col("n_chars").cast("double").alias("value"), numbered.alias("covers"))
+    return selection.set_cover(rows, ["source"], "covers", "value", "doc_id", 3).select("source", "doc_id", "place")
 
 
 @query("""WITH d AS (SELECT doc_id, lang, source, list_sort(list_distinct([n_chars % 4, n_chars % 3])) AS ids FROM documents WHERE n_chars < 900)

@@ -1,11 +1,14 @@
 import random
+import re
 
+import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tessera.operators import constraints, intervals, lexical, lineage, metrics, ranking, resample, screening, selection
+from tessera.plans import catalog
 
 FEW = settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
 
@@ -124,6 +127,29 @@ def test_diverse_order_breaks_ties_downwards(spark):
     assert [r["id"] for r in got] == ["c", "d", "b", "a"]
 
 
+def test_order_and_cover_queries_take_all_rows(spark, tmp_path):
+    from itertools import combinations
+
+    draw, words = np.random.default_rng(3), ["the", "of", "de", "que", "und", "with", *(f"w{i}x" for i in range(60))]
+    texts = [" ".join(f"long{'abc'[i % 3]}" for _ in range(30)) + (" the" if i % 2 else " de") for i in range(30)]
+    texts += [" ".join(words[k] for k in draw.integers(0, len(words), 25)) for _ in range(30)] + ["que und", "of with"]
+    docs = [(i, t, f"s{i % 2}", len(t)) for i, t in enumerate(texts)]
+    spark.createDataFrame(docs, "doc_id long, text string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    order, cover = (catalog.queries()[q](spark, str(tmp_path)).collect() for q in ("facet_greedy_order", "setcover_select"))
+    for s in ("s0", "s1"):
+        left, seen, expected = [(set(re.findall("[0-9]+|[a-z]+", t)), n, i) for i, t, x, n in docs if x == s], set(), []
+        mine = [(set(t.split()) & set(words[:6]), n, i) for i, t, x, n in docs if x == s]
+        while left:
+            best = max(left, key=lambda r: (len(r[0] - seen), *r[1:]))
+            left.remove(best)
+            seen |= best[0]
+            expected.append(best[2])
+        assert [r["doc_id"] for r in sorted((r for r in order if r["source"] == s), key=lambda r: r["position"])] == expected
+        merit = lambda c: (len(set().union(*(r[0] for r in c))), -len(c), sum(r[1] for r in c), [r[2] for r in sorted(c, key=lambda r: (-r[1], -r[2]))])
+        best = max((c for k in (1, 2, 3) for c in combinations(mine, k)), key=merit)
+        assert [r["doc_id"] for r in sorted((r for r in cover if r["source"] == s), key=lambda r: r["place"])] == merit(best)[3]
+
+
 def test_set_cover_prefers_few_then_value(spark):
     df = spark.createDataFrame([(0, "a", [0], 1.0), (0, "b", [1], 1.0), (0, "c", [0, 1], 0.1), (0, "d", [2], 0.2), (0, "e", [2], 0.3)], "q int, id string, c array<int>, v double")
     assert rows(selection.set_cover(df, ["q"], "c", "v", "id", 2), "id") == [("c",), ("e",)]
