@@ -34,8 +34,8 @@ from tessera.llm.shared import emptiers, map_arrow
 
 #: A worker keeps at most so many states and so many encoded pieces.
 MOST_STATES, MOST_PIECES, LONG_PIECE = 220_000, 150_000, 48
-#: Rows are encoded and handed on so many at a time.
-ROWS = 256
+#: Rows are encoded and handed on so many at a time, and ids decoded.
+ROWS, STEP = 256, 4096
 #: No rank; and tokens with a common start that are tried one by one.
 NEVER, MANY = 1 << 30, 6
 
@@ -246,6 +246,13 @@ class StreamDecoder:
         return self.machine.decode(b"".join(map(self.tokens.__getitem__, ids)), final)
 
 
+def streamed(tokens: list[bytes], ids: np.ndarray, step: int = STEP) -> bytes:
+    """The UTF-8 bytes of the text that ids decode to, step of them at a time."""
+    stream = StreamDecoder(tokens)
+    parts = [stream.feed(ids[k : k + step].tolist()) for k in range(0, len(ids), step)]
+    return "".join([*parts, stream.feed((), final=True)]).encode()
+
+
 class ByteTable:
     """The bytes of all tokens side by side, for decoding arrays of ids without a loop."""
 
@@ -281,7 +288,7 @@ def splitter(pattern: str) -> Callable[[str], list[str]]:
 def encode(docs: DataFrame, tokens: list[bytes], pattern: str, text_col: str = "text", decoded: bool = False) -> DataFrame:
     """docs with token_ids array<int>: each match of pattern encoded by itself, without special tokens. A null text is an empty one.
 
-    decoded: also decoded binary, what the ids alone decode to. Columns of these names are replaced.
+    decoded: also decoded binary, what the ids alone decode to, streamed through StreamDecoder. Columns of these names are replaced.
     """
     rest = [c for c in docs.columns if c not in (text_col, "token_ids", *["decoded"] * decoded)]
     added = [T.StructField("token_ids", T.ArrayType(T.IntegerType(), False)), *[T.StructField("decoded", T.BinaryType())] * decoded]
@@ -290,7 +297,6 @@ def encode(docs: DataFrame, tokens: list[bytes], pattern: str, text_col: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, find = pieces_of(packed.value), splitter(pattern)
-        table = ByteTable(packed.value) if decoded else None
         for batch in batches:
             for lo in range(0, batch.num_rows, ROWS):
                 part = batch.slice(lo, ROWS)
@@ -298,7 +304,7 @@ def encode(docs: DataFrame, tokens: list[bytes], pattern: str, text_col: str = "
                 offsets = np.zeros(len(found) + 1, np.int32)
                 np.cumsum([len(x) // 4 for x in found], out=offsets[1:])
                 ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(found), np.int32)))
-                whole = [pa.array([table.decode(np.frombuffer(f, np.int32)) for f in found], pa.binary())] if table else []
+                whole = [pa.array([streamed(packed.value, np.frombuffer(f, np.int32)) for f in found], pa.binary())] if decoded else []
                 yield pa.RecordBatch.from_arrays([*part.columns, ids, *whole], schema.names)
 
     return docs.select(*rest, text_col).transform(map_arrow, run, schema, keep_caches=True)

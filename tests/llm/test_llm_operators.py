@@ -350,6 +350,27 @@ def test_stream_decoding_waits_for_whole_characters(vocabulary):
     assert bpe.StreamDecoder(tokens).feed(ids[:2], final=True) == "a�"
 
 
+def test_query_decodes_through_the_stream(spark, docs, vocabulary, monkeypatch):
+    import pyarrow as pa
+
+    fed, tokens = [], vocabulary[0]
+
+    class Watched(bpe.StreamDecoder):
+        def feed(self, ids, final=False):
+            fed.extend(ids)
+            return super().feed(ids, final)
+
+    here = lambda df, run, schema, **_: spark.createDataFrame(pa.Table.from_batches(run(iter(df.toArrow().to_batches()))))
+    monkeypatch.setattr(bpe, "StreamDecoder", Watched)
+    monkeypatch.setattr(bpe, "map_arrow", here)
+    rows = bpe.digest(docs.filter("doc_id in (9, 11)"), *vocabulary).collect()
+    assert rows and sum(r["n_tokens"] for r in rows) == len(fed)
+    text = "héé 日本語 ñandú"
+    ids = np.array([tokens.index(bytes([b])) for b in text.encode()])
+    assert {bpe.streamed(tokens, ids, step) for step in (1, 2, 3, 100)} == {text.encode()}
+    assert bpe.streamed(tokens, ids[:2], 1) == "h�".encode() and bpe.streamed(tokens, ids[:0]) == b""
+
+
 # classifiers
 
 
