@@ -54,10 +54,10 @@ def outcome_transitions(spark, sf_dir):
     return metrics.transitions(o, ["user_id", "h"], "event_id", "outcome")
 
 
-@query(f"""WITH {OUTCOME_SQL}, c AS (SELECT user_id, count(*) AS n, count(DISTINCT outcome) AS k, count(DISTINCT outcome || '|' || (event_id % 2)::VARCHAR) AS a FROM o WHERE event_id % 40 < 3 GROUP BY user_id)
+@query(f"""WITH {OUTCOME_SQL}, c AS (SELECT user_id, count(*) AS n, count(DISTINCT outcome) AS k, count(DISTINCT outcome || '|' || (event_id % 2)::VARCHAR) AS a FROM o GROUP BY user_id)
 SELECT count(*) FILTER (WHERE n > 1) AS cases, count(*) FILTER (WHERE n > 1 AND k = 1) AS identical_outcomes, count(*) FILTER (WHERE n > 1 AND a = 1) AS identical_answers_and_outcomes, count(*) FILTER (WHERE n = 1) AS unpaired_cases FROM c""")
 def repeat_agreement(spark, sf_dir):
-    return metrics.agreement(_outcomes(spark, sf_dir).filter("event_id % 40 < 3"), ["user_id"], F.col("outcome"), F.col("event_id") % 2)
+    return metrics.agreement(_outcomes(spark, sf_dir), ["user_id"], F.col("outcome"), F.col("event_id") % 2)
 
 
 @query(f"""WITH {OUTCOME_SQL}, f AS (SELECT user_id, arg_min(outcome, event_id) AS before, arg_max(outcome, event_id) AS after FROM o GROUP BY user_id) SELECT before, after, count(*) AS n FROM f GROUP BY ALL""")

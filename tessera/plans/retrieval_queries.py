@@ -72,27 +72,31 @@ def bm25_query_table(spark, sf_dir):
 
 
 @query(f"""
-WITH f AS (SELECT doc_id, unnest(list_slice({TOKENS_SQL}, 1, 5)) AS token FROM documents),
+WITH f AS (SELECT doc_id, unnest({TOKENS_SQL}) AS token FROM documents),
 g AS (SELECT doc_id, token, 2 AS n, unnest(range(1, greatest(length(token) - 1, 0) + CASE WHEN length(token) > 2 THEN 1 ELSE 0 END)) AS i FROM f WHERE length(token) > 2
       UNION ALL SELECT doc_id, token, 3, unnest(range(1, length(token) - 1)) FROM f WHERE length(token) > 3)
 SELECT doc_id, substr(token, i::BIGINT, n) AS gram, count(*) AS n FROM g GROUP BY ALL""")
 def char_ngram_variants(spark, sf_dir):
-    first = Tables(spark, sf_dir).documents.select("doc_id", F.explode(F.slice(X.tokens(F.col("text")), 1, 5)).alias("token"))
-    return first.select("doc_id", F.explode(F.concat(X.grams(F.col("token"), 2), X.grams(F.col("token"), 3))).alias("gram")).groupBy("doc_id", "gram").agg(F.count("*").alias("n"))
+    words = Tables(spark, sf_dir).documents.select("doc_id", F.explode(X.tokens(F.col("text"))).alias("token"))
+    return words.select("doc_id", F.explode(F.concat(X.grams(F.col("token"), 2), X.grams(F.col("token"), 3))).alias("gram")).groupBy("doc_id", "gram").agg(F.count("*").alias("n"))
 
 
 UNIT_SQL = """
 e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),
 u AS (SELECT vec_id, label, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM e),
-c AS (SELECT q.vec_id AS query_id, q.label AS query_label, d.vec_id, d.label, round(list_dot_product(q.v, d.v), 6) AS score FROM u q, u d WHERE q.vec_id < 10 AND d.vec_id <> q.vec_id)"""
+c AS (SELECT q.vec_id AS query_id, q.label AS query_label, d.vec_id, d.label, round(list_dot_product(q.v, d.v), 6) AS score FROM u q, u d WHERE q.vec_id % 50 = 0 AND d.vec_id <> q.vec_id)"""
+
+
+#: Every vector whose id this divides is a query, held against all vectors.
+AS_QUERY = "vec_id % 50 = 0"
 
 
 def _cosine(spark, sf_dir):
     e = Tables(spark, sf_dir).embeddings
     labels = e.select("vec_id", "label")
-    scores = ranking.cosine(e.filter("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector")), e, "query_id", "vec_id", "query_vector", "embedding")
+    scores = ranking.cosine(e.filter(AS_QUERY).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector")), e, "query_id", "vec_id", "query_vector", "embedding")
     scores = scores.filter("query_id <> vec_id").withColumn("score", SIX("score"))
-    queries = labels.filter("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("label").alias("query_label"))
+    queries = labels.filter(AS_QUERY).select(F.col("vec_id").alias("query_id"), F.col("label").alias("query_label"))
     return scores.join(labels, "vec_id").join(F.broadcast(queries), "query_id")
 
 
@@ -234,7 +238,7 @@ def max_alias_filter(spark, sf_dir):
     return selection.keep_best(d, ["source"], "alias", F.col("lang") == "en").select("doc_id", "source", SIX("alias").alias("alias"))
 
 
-CONCEPTS_SQL = f"d AS (SELECT doc_id, list_distinct(list_slice({TOKENS_SQL}, 1, 60)) AS c FROM documents)"
+CONCEPTS_SQL = f"d AS (SELECT doc_id, list_distinct({TOKENS_SQL}) AS c FROM documents)"
 
 
 @query(f"""WITH {CONCEPTS_SQL}, q AS (SELECT unnest(['thand', 'entre', 'with', 'es']) AS c),
@@ -242,7 +246,7 @@ m AS (SELECT d.doc_id, q.c, list_contains(d.c, q.c) OR (length(q.c) >= 4 AND len
 SELECT doc_id, bool_and(hit) AS all_covered, round(avg(hit::INT), 6) AS coverage FROM m GROUP BY doc_id""")
 def concept_coverage(spark, sf_dir):
     wanted = F.array(*map(F.lit, ["thand", "entre", "with", "es"]))
-    known = F.array_distinct(F.slice(X.tokens(F.col("text")), 1, 60))
+    known = F.array_distinct(X.tokens(F.col("text")))
     return Tables(spark, sf_dir).documents.select("doc_id", X.all_covered(wanted, known).alias("all_covered"), SIX(X.coverage(wanted, known)).alias("coverage"))
 
 
@@ -261,10 +265,10 @@ def setcover_select(spark, sf_dir):
     return selection.set_cover(rows, ["source"], "covers", "value", "doc_id", 3).select("source", "doc_id", "place")
 
 
-@query("""WITH d AS (SELECT doc_id, lang, source, list_sort(list_distinct([n_chars % 4, n_chars % 3])) AS ids FROM documents WHERE n_chars < 900)
+@query("""WITH d AS (SELECT doc_id, lang, source, list_sort(list_distinct([n_chars % 4, n_chars % 3])) AS ids FROM documents)
 SELECT a.doc_id, b.doc_id AS sibling FROM d a JOIN d b ON a.ids = b.ids AND a.lang = b.lang AND a.source = b.source AND a.doc_id <> b.doc_id""")
 def source_siblings(spark, sf_dir):
-    d = Tables(spark, sf_dir).documents.filter("n_chars < 900").select("doc_id", "lang", "source", F.array(F.col("n_chars") % 4, F.col("n_chars") % 3).alias("ids"))
+    d = Tables(spark, sf_dir).documents.select("doc_id", "lang", "source", F.array(F.col("n_chars") % 4, F.col("n_chars") % 3).alias("ids"))
     return selection.siblings(d, "doc_id", "ids", ["lang", "source"])
 
 

@@ -8,16 +8,16 @@ from tessera.functions import ranges as R
 from tessera.functions import text as X
 from tessera.operators import lineage, questions, ranking, review
 from tessera.plans.base import Tables, query
-from tessera.plans.retrieval_queries import UNIT_SQL, _cosine, by_score
+from tessera.plans.retrieval_queries import AS_QUERY, UNIT_SQL, _cosine, by_score
 
 FOUND_SQL = f"""{UNIT_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM c QUALIFY rank <= 10),
-x AS (SELECT q.vec_id AS query_id, q.label AS g, d.vec_id FROM embeddings q JOIN embeddings d ON q.label = d.label AND q.vec_id <> d.vec_id WHERE q.vec_id < 10 AND d.vec_id % 5 = 0)"""
+x AS (SELECT q.vec_id AS query_id, q.label AS g, d.vec_id FROM embeddings q JOIN embeddings d ON q.label = d.label AND q.vec_id <> d.vec_id WHERE q.vec_id % 50 = 0)"""
 
 
 def _expected(spark, sf_dir):
     e = Tables(spark, sf_dir).embeddings.select("vec_id", "label")
-    q = e.filter("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("label"))
-    expected = F.broadcast(q).join(e.filter("vec_id % 5 = 0"), "label").filter("query_id <> vec_id").select("query_id", "vec_id", F.col("label").cast("string").alias("g"))
+    q = e.filter(AS_QUERY).select(F.col("vec_id").alias("query_id"), F.col("label"))
+    expected = F.broadcast(q).join(e, "label").filter("query_id <> vec_id").select("query_id", "vec_id", F.col("label").cast("string").alias("g"))
     return expected, ranking.top_k(_cosine(spark, sf_dir), ["query_id"], by_score(), 10)
 
 
