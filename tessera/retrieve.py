@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera import guidance
 from tessera.functions import ranges as R
 from tessera.functions import text as X
 from tessera.operators import lexical, questions, ranking, screening, selection
@@ -25,7 +26,7 @@ REASONS = ("rejected_question", "measure_contract", "no_corpus_evidence", "gener
 
 @dataclass(frozen=True)
 class Request:
-    """A literal question with its selected ranges and filters."""
+    """A literal question with its selected ranges and filters. anchors: words for what it intends beyond its own, each of which some record has to have."""
 
     question: str
     ranges: tuple[tuple[int, int], ...] = ()
@@ -33,6 +34,7 @@ class Request:
     topic: str | None = None
     top_k: int = 8
     titles: tuple[str, ...] = ()
+    anchors: tuple[str, ...] = ()
     scaffold: tuple[str, ...] = ()
     stop: tuple[str, ...] = ()
     forms: dict[str, str] = field(default_factory=dict)
@@ -63,64 +65,170 @@ def split_lineages(records: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]
     return records.filter(~kind.isin(SEPARATE_LINEAGE, DIRECT_LINEAGE)), records.filter(kind == SEPARATE_LINEAGE), records.filter(kind == DIRECT_LINEAGE)
 
 
-def scored(records: DataFrame, request: Request) -> DataFrame:
-    """Candidates with all scores. Statistics are those of all records; the text that ranks is retrieval_text, the one that admits relevance_text."""
-    spark = records.sparkSession
+@dataclass(frozen=True)
+class Asked:
+    """What a request's question comes down to: groups of token variants (its own, then the anchors'), concepts, the relation it asks for, and whether it asks for guidance in general."""
+
+    groups: list[list[str]]
+    n_own: int
+    concepts: list[str]
+    relation: str | None
+    broad: bool
+    terms: list[str]
+    facets: list[str]
+
+
+def understood(spark, request: Request) -> Asked:
     plain = questions.without_measures(questions.without_titles(F.col("q"), list(request.titles)))
-    row = spark.createDataFrame([(request.question,)], "q string").select(X.query_tokens(plain, request.scaffold).alias("g"), questions.concepts(plain, request.forms, request.stop, scaffold=request.scaffold).alias("c")).first()
-    groups, wanted = row["g"] or [], row["c"] or []
-    terms = list(dict.fromkeys(t for g in groups for t in g))
+    concepts = questions.concepts(plain, request.forms, request.stop, scaffold=request.scaffold)
+    asked = spark.createDataFrame([(request.question,)], "q string").select("q", X.query_tokens(plain, request.scaffold).alias("g"), concepts.alias("c"))
+    anchors = [X.variants(F.lit(x)) for x in request.anchors]
+    row = asked.select(
+        "g", "c", F.array(*anchors).alias("a") if anchors else F.array().cast("array<array<string>>").alias("a"), questions.asked_relation(F.col("q"), F.col("c")).alias("r"),
+        guidance.asks_broadly(F.col("q"), F.col("c"), request.titles).alias("b"), guidance.asked_terms(F.col("q")).alias("t"), guidance.asked_facets(F.col("q")).alias("f"),
+    ).first()
+    own = row["g"] or []
+    return Asked([*own, *(row["a"] or [])], len(own), row["c"] or [], row["r"], bool(row["b"] and request.piece and not request.ranges), row["t"] or [], row["f"] or [])
+
+
+def _strings(values: list[str]) -> Column:
+    return F.array(*map(F.lit, values)) if values else F.array().cast("array<string>")
+
+
+def _aliases(records: DataFrame, request: Request, wanted: Column) -> Column:
+    aliases = F.coalesce(F.col("retrieval_aliases"), _strings([])) if "retrieval_aliases" in records.columns else _strings([])
+    return X.alias_score(wanted, F.transform(aliases, lambda a: questions.concepts(a, request.forms, request.stop)))
+
+
+def scored(records: DataFrame, request: Request, asked: Asked | None = None) -> DataFrame:
+    """Candidates with all scores and the groups that they cover.
+
+    Statistics are those of all records; the text that ranks is retrieval_text, the one that admits
+    relevance_text. Where the question has concepts, a candidate has them all. Where it has none,
+    it shares a token with the question or an anchor.
+    """
+    asked = understood(records.sparkSession, request) if asked is None else asked
+    terms = list(dict.fromkeys(t for g in asked.groups for t in g))
     text = lexical.score(records, "id", X.document_tokens(F.coalesce(F.col("retrieval_text"), F.col("answer"), F.lit(""))), terms, eligible(records, request)).withColumnRenamed("score", "text_score")
-    asked = F.array(*map(F.lit, wanted)) if wanted else F.array().cast("array<string>")
-    known = questions.concepts(F.coalesce(F.col("relevance_text"), F.col("answer"), F.lit("")), request.forms, request.stop)
+    wanted = _strings(asked.concepts)
+    required = [c for c in asked.concepts if c != asked.relation]
+    relevance = F.coalesce(F.col("relevance_text"), F.col("answer"), F.lit(""))
+    in_answer = questions.concepts(F.coalesce(F.col("answer"), F.lit("")), request.forms, request.stop)
+    relation = questions.states_relation(F.col("answer"), F.col("__content"), _strings(required)) if asked.relation else F.lit(False)
+    groups = F.array(*map(_strings, asked.groups)) if asked.groups else F.array().cast("array<array<string>>")
+    own = F.lit(bool(asked.concepts))
     q = request.range_column()
-    aliases = F.coalesce(F.col("retrieval_aliases"), F.array().cast("array<string>")) if "retrieval_aliases" in records.columns else F.array().cast("array<string>")
-    label = R.scope_label(F.col("measure_range"), F.col("measure_status"), q)
     final = F.col("evidence_type") == FINAL_LINEAGE
     out = (
-        text.withColumn("__known", known)
-        .withColumn("scope_match", label)
-        .filter(F.lit(not request.ranges) | (F.col("scope_match") != "unspecified_context"))
-        .withColumn("alias_score", X.alias_score(asked, F.transform(aliases, lambda a: questions.concepts(a, request.forms, request.stop))))
-        .withColumn("concept_coverage", X.coverage(asked, F.col("__known")))
+        text.withColumn("__known", questions.concepts(relevance, request.forms, request.stop))
+        .withColumn("__content", in_answer)
+        .withColumn("__tokens", X.document_tokens(relevance))
+        .withColumn("scope_match", R.scope_label(F.col("measure_range"), F.col("measure_status"), q))
+        .filter("scope_match <> 'unspecified_context'")
+        .withColumn("concept_coverage", X.coverage(wanted, F.col("__known")))
+        .filter((F.lit(not asked.concepts)) | (F.col("concept_coverage") >= 1.0))
+        .withColumn("covers", F.filter(F.transform(groups, lambda g, i: F.when((own & (i < asked.n_own)) | F.arrays_overlap(g, F.col("__tokens")), i)), lambda i: i.isNotNull()))
+        .filter(F.size("covers") > 0)
+        .withColumn("alias_score", _aliases(records, request, wanted))
+        .withColumn("content_coverage", X.coverage(_strings(required), F.col("__content")))
+        .withColumn("relation_score", F.coalesce(relation, F.lit(False)).cast("double"))
         .withColumn("measure_score", R.scope_boost(F.col("measure_range"), F.col("measure_status"), F.col("measure_scope"), final, q))
         .withColumn("scope_priority", R.scope_priority(F.col("scope_match"), q))
-        .withColumn("covers", F.filter(F.sequence(F.lit(0), F.lit(len(wanted) - 1)), lambda i: X.concept_matches(F.get(asked, i), F.col("__known"))) if wanted else F.array().cast("array<int>"))
-        .withColumn("wanted", F.lit(len(wanted)))
+        .withColumn("score", F.col("text_score") + F.col("measure_score") + ALIAS_WEIGHT * F.col("alias_score"))
     )
-    return out.withColumn("score", F.col("text_score") + F.col("measure_score") + ALIAS_WEIGHT * F.col("alias_score")).drop("__known")
+    return out.drop("__known", "__content", "__tokens")
+
+
+#: What tells candidates apart, the weightiest first, all descending; the id ends every tie.
+MERITS = ("scope_priority", "alias_score", "relation_score", "content_coverage", "concept_coverage", "score", "text_score")
 
 
 def strict_order() -> list[Column]:
-    """All keys descending, the id too."""
-    return [F.desc("scope_priority"), (F.col("alias_score") > 0).desc(), F.desc("alias_score"), F.desc("concept_coverage"), F.desc("score"), F.desc("text_score"), F.desc("id")]
+    """Nine keys, all descending, the id too: merits, with whether an alias fits at all before how well."""
+    return [F.desc("scope_priority"), (F.col("alias_score") > 0).desc(), *(F.desc(c) for c in MERITS[1:]), F.desc("id")]
+
+
+def covering(candidates: DataFrame, groups: int, k: int) -> list | None:
+    """Ids of the best k rows at most that cover all groups together, or null.
+
+    Best: the highest scope, the fewest rows, then the sums of merits in turn, then the earliest in
+    strict order. Of the rows that cover the same groups the first in strict order has every merit,
+    so one row a set of groups, however many candidates there are, comes to the driver.
+    """
+    firsts = candidates.withColumn("__n", F.row_number().over(W.partitionBy("covers").orderBy(*strict_order()))).filter("__n = 1").orderBy(*strict_order())
+    rows = firsts.select("id", "covers", *MERITS).collect()
+    full = (1 << groups) - 1
+    masks = [sum(1 << i for i in r["covers"]) for r in rows]
+    merits = [[float(r[m]) for m in MERITS] for r in rows]
+
+    def quality(chosen: tuple[int, ...]) -> tuple:
+        sums = [sum(merits[i][m] for i in chosen) for m in range(len(MERITS))]
+        return (max((merits[i][0] for i in chosen), default=0.0), -len(chosen), *sums, tuple(-i for i in chosen))
+
+    held: dict[int, tuple[int, ...]] = {0: ()}
+    for i, mask in enumerate(masks):
+        for reached, chosen in list(held.items()):
+            if len(chosen) < k:
+                known, now = held.get(reached | mask), (*chosen, i)
+                if known is None or quality(now) > quality(known):
+                    held[reached | mask] = now
+    return [rows[i]["id"] for i in held[full]] if full in held else None
+
+
+def broad_search(records: DataFrame, request: Request, asked: Asked) -> DataFrame:
+    """The answer to a question for guidance in general: a balanced set of the piece's expert records. Columns as search() gives them."""
+    empty = F.array().cast(R.RANGES)
+    final = F.col("evidence_type") == FINAL_LINEAGE
+    pools = F.create_map(*(F.lit(x) for kv in guidance.POOLS.items() for x in kv))
+    found = (
+        records.filter(eligible(records, request) & F.col("evidence_type").isin(*guidance.LINEAGES))
+        .withColumn("__found", guidance.profile(F.col("answer"), F.col("measure_range")))
+        .filter((F.col("__found.score") > 0) & guidance.answers_request(F.col("__found"), asked.terms))
+        .withColumn("scope_match", R.scope_label(F.col("measure_range"), F.col("measure_status"), empty))
+        .withColumn("pool", F.element_at(pools, F.col("scope_match")))
+        .filter("pool IS NOT NULL")
+        .withColumn("facets", F.col("__found.facets"))
+    )
+    named = guidance.FACET_WEIGHT * F.size(F.array_intersect("facets", _strings(asked.facets))) + guidance.TERM_WEIGHT * F.size(F.array_intersect(F.col("__found.terms"), _strings(asked.terms)))
+    found = (
+        found.withColumn("text_score", F.col("__found.score") + named)
+        .withColumn("measure_score", R.scope_boost(F.col("measure_range"), F.col("measure_status"), F.col("measure_scope"), final, empty))
+        .withColumn("scope_priority", R.scope_priority(F.col("scope_match"), empty))
+        .withColumn("alias_score", _aliases(records, request, _strings(asked.concepts)))
+        .withColumns({c: F.lit(1.0) for c in ("concept_coverage", "content_coverage")})
+        .withColumn("relation_score", F.lit(0.0))
+        .withColumn("covers", F.array().cast("array<int>"))
+        .withColumn("score", F.col("text_score") + F.col("measure_score"))
+        .drop("__found")
+    )
+    return guidance.choose(found, request.top_k).drop("pool", "facets")
 
 
 def search(records: DataFrame, request: Request) -> DataFrame:
     """The request's best records with rank, or none rather than a weak match.
 
-    Records that cover every concept come first. If none does, records that do so together are
-    chosen, fewest first. If a record overlaps the selected range but none was chosen, nothing is.
+    The fewest records that cover the question together come first in their order, then the other
+    candidates up to top_k. If a candidate overlaps the selected range but none of the covering ones
+    does, nothing is found. A question for guidance in general takes another way.
     """
-    if request.top_k < 1:
-        return scored(records, request).withColumn("rank", F.lit(0)).limit(0)
-    found = scored(records, request)
-    one = W.partitionBy()
-    whole = found.withColumn("__full", (F.size("covers") == F.col("wanted")) & (F.col("wanted") > 0) | (F.col("alias_score") > 0))
-    strict = whole.filter("__full").withColumn("__overlaps", F.lit(0))
-    picked = ranking.top_k(strict.withColumn("__one", F.lit(0)), ["__one"], strict_order(), request.top_k).drop("__one", "__overlaps")
-    if not picked.head(1):
-        reached = whole.filter(F.size("covers") > 0).agg(F.array_distinct(F.flatten(F.collect_set("covers"))).alias("all"), F.max("wanted").alias("n")).first()
-        if not reached["n"] or len(reached["all"] or []) < reached["n"]:
-            return picked
-        pool = ranking.top_k(whole.filter(F.size("covers") > 0).withColumn("__one", F.lit(0)), ["__one"], strict_order(), OVER_FETCH, "__n")
-        together = selection.set_cover(pool, ["__one"], "covers", "score", "id", request.top_k)
-        picked = together.withColumn("rank", F.row_number().over(W.partitionBy("__one").orderBy(*strict_order()))).drop("__one", "__n", "place")
+    asked = understood(records.sparkSession, request)
+    if asked.broad and request.top_k > 0:
+        return broad_search(records, request, asked)
+    found = scored(records, request, asked)
+    nothing = found.withColumn("rank", F.lit(0)).limit(0)
+    if request.top_k < 1 or not asked.groups:
+        return nothing
+    chosen = covering(found, len(asked.groups), request.top_k)
+    if chosen is None:
+        return nothing
+    picked = F.col("id").isin(chosen)
     if request.ranges:
-        overlapping = whole.filter("__full AND scope_match = 'overlaps_query_range'").limit(1).count()
-        chosen = picked.withColumn("__hit", F.max((F.col("scope_match") == "overlaps_query_range").cast("int")).over(one))
-        picked = chosen.filter((F.col("__hit") == 1) | F.lit(overlapping == 0)).drop("__hit")
-    return picked.drop("__full")
+        hits = found.filter("scope_match = 'overlaps_query_range'").agg(F.count("*").alias("n"), F.count(F.when(picked, 1)).alias("own")).first()
+        if hits["n"] and not hits["own"]:
+            return nothing
+    order = [F.desc("__picked"), *strict_order()]
+    best = found.withColumn("__picked", picked.cast("int")).orderBy(*order).limit(request.top_k)
+    return best.withColumn("rank", F.row_number().over(W.orderBy(*order))).drop("__picked")
 
 
 def search_fused(records: DataFrame, request: Request, vectors: DataFrame, query_vector: list[float]) -> DataFrame:

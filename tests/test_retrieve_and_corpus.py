@@ -32,9 +32,113 @@ def test_no_weak_matches(spark, records):
     assert retrieve.retrieve(records, retrieve.Request("What about measures 3-5?"))[0] == "measure_contract"
 
 
-def test_records_may_cover_a_question_together(spark, records):
-    found = retrieve.search(records, retrieve.Request("trout moderate", piece="die-forelle"))
-    assert sorted(r["id"] for r in found.collect()) == ["e2", "w1"]
+def test_every_candidate_has_all_concepts(spark, records):
+    assert retrieve.search(records, retrieve.Request("trout moderate", piece="die-forelle")).count() == 0
+    found = retrieve.search(records, retrieve.Request("brook tempo", piece="die-forelle", top_k=2)).orderBy("rank").collect()
+    assert [r["id"] for r in found] == ["e1", "w1"] and found[0]["alias_score"] == 1.0  # the alias leads, the rest fills up
+
+
+def test_records_cover_anchors_together(spark, records):
+    request = retrieve.Request("brook", piece="die-forelle", anchors=("breathe", "trout"), top_k=3)
+    assert retrieve.search(records, request).count() == 0  # only the candidates with the concept count, and none has the trout
+    request = retrieve.Request("brook", piece="die-forelle", anchors=("breathe", "moderate"), top_k=2)
+    assert sorted(r["id"] for r in retrieve.search(records, request).collect()) == ["d1", "w1"]
+
+
+def brute_covering(rows, groups, k):
+    """The reference order of preference over all subsets of rows: (id, covers, merits)."""
+    from itertools import combinations
+
+    rows = sorted(rows, key=lambda r: (r[2][0], r[2][1] > 0, *r[2][1:], r[0]), reverse=True)
+    best = None
+    for n in range(1, k + 1):
+        for some in combinations(range(len(rows)), n):
+            if set().union(*(rows[i][1] for i in some)) == set(range(groups)):
+                value = (max(rows[i][2][0] for i in some), -n, *(sum(rows[i][2][m] for i in some) for m in range(7)), tuple(-i for i in some))
+                best = max(best, (value, some)) if best else (value, some)
+    return [rows[i][0] for i in best[1]] if best else None
+
+
+def test_covering_is_the_best_subset(spark):
+    import random
+
+    draw = random.Random(5)
+    for _ in range(4):
+        rows = [(f"r{i}", sorted(draw.sample(range(4), draw.randint(1, 2))), [1, 0.0, 0.0, 0.0, 0.0, draw.randint(0, 9) / 2, draw.randint(0, 3) / 2]) for i in range(12)]
+        df = spark.createDataFrame([(i, c, *m) for i, c, m in rows], "id string, covers array<int>, " + ", ".join(f"{m} {'int' if m == 'scope_priority' else 'double'}" for m in retrieve.MERITS))
+        assert retrieve.covering(df, 4, 4) == brute_covering(rows, 4, 4)
+
+
+def brute_broad(rows, k):
+    """Step by step: greedy orders of the pools, turns, siblings, aliases first."""
+
+    def greedy(some):
+        some, out, seen = list(some), [], set()
+        while some:
+            best = max(some, key=lambda r: (len(r["facets"] - seen), r["score"], r["text_score"], r["id"]))
+            some.remove(best)
+            out.append(best)
+            seen |= best["facets"]
+        return out
+
+    whole, local, other = (greedy(r for r in rows if r["pool"] == p) for p in (0, 1, 2))
+    if whole and local:
+        local, taken = local[: min(3, (k + 1) // 2)], []
+        for i in range(max(len(whole), len(local))):
+            taken += whole[i : i + 1] + local[i : i + 1]
+        taken = taken[:k]
+    else:
+        taken = whole or local[: min(3, k)]
+    if taken:
+        out = []
+        for r in taken:
+            for x in [r, *([s for s in [*whole, *local] if s["family"] == r["family"]] if r["family"] else [])]:
+                if x not in out:
+                    out.append(x)
+        out = out[:k]
+    else:
+        out = other
+    top = max((r["alias"] for r in rows), default=0)
+    direct = sorted((r for r in rows if r["alias"] == top), key=lambda r: (-r["n"], -r["score"], r["id"])) if top > 0 else []
+    return [r["id"] for r in [*direct, *(r for r in out if r not in direct)][:k]]
+
+
+@pytest.mark.parametrize("pools", [(0, 1, 2), (1, 2), (2,), (0,)])
+def test_broad_choice_is_the_step_by_step_one(spark, pools):
+    import random
+
+    from tessera import guidance
+
+    draw = random.Random(len(pools))
+    for alias in (0.0, 0.5):
+        rows = []
+        for i in range(30):
+            pool, ids = draw.choice(pools), draw.sample(["a", "b", "c", "d"], draw.randint(0, 2))
+            facets = set(draw.sample(list(guidance.FACETS), draw.randint(1, 3)))
+            rows.append({"id": f"r{i:02}", "pool": pool, "facets": facets, "score": draw.randint(1, 12) / 2, "text_score": draw.randint(1, 4) / 2, "alias": alias if i % 9 == 0 else 0.0, "ids": ids, "n": len(ids), "family": (pool, *sorted(ids)) if ids else None})
+        df = spark.createDataFrame([(r["id"], r["pool"], sorted(r["facets"]), r["score"], r["text_score"], r["alias"], str(r["pool"]), r["ids"]) for r in rows], "id string, pool int, facets array<string>, score double, text_score double, alias_score double, scope_match string, source_ids array<string>")
+        for k in (1, 6):
+            assert [r["id"] for r in guidance.choose(df, k).orderBy("rank").collect()] == brute_broad(rows, k)
+
+
+def test_broad_questions(spark):
+    from tessera import guidance
+
+    cases = [("이 곡을 노래할 때 주의할 점은?", ["노래", "주의", "점"], True), ("고음을 어떻게 해야 하나요?", ["고음"], False), ("How should I sing this piece?", ["sing", "piece"], True), ("이 노래에서 가사는 어떻게 발음해야 하나요?", ["노래", "가사", "발음"], False), ("이 노래에서 호흡과 발음에 대해 조언해줘", ["노래", "호흡", "발음", "조언"], True)]
+    df = spark.createDataFrame(cases, "q string, c array<string>, e boolean")
+    assert [r[0] for r in df.select(guidance.asks_broadly(F.col("q"), F.col("c"), ()) == F.col("e")).collect()] == [True] * len(cases)
+
+
+def test_broad_search_end_to_end(spark):
+    rows = [
+        ("g1", "expert_annotation", "p", "t", None, "밝은 음색으로 노래해야 한다.", None, None, ["s1"], [], "whole_piece", "global"),
+        ("g2", "expert_annotation", "p", "t", None, "발음을 정확하게 연습한다.", None, None, ["s2"], [], "whole_piece", "global"),
+        ("l1", "expert_annotation", "p", "t", None, "호흡에 주의한다.", None, None, ["s3"], [(3, 4)], "specific", "local"),
+        ("b1", "expert_annotation", "p", "t", None, "작곡가는 빈에서 출생했다.", None, None, ["s4"], [], "whole_piece", "global"),
+    ]
+    records = corpus.texts(spark.createDataFrame(rows, corpus.RECORD))
+    found = retrieve.search(records, retrieve.Request("이 곡을 노래할 때 주의할 점은?", piece="p", top_k=3)).orderBy("rank").collect()
+    assert [r["id"] for r in found][1] == "l1" and {r["id"] for r in found} == {"g1", "g2", "l1"}
 
 
 def test_fused_and_direct(spark, records):
