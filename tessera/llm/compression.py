@@ -1,8 +1,11 @@
 """Quality rules: zstandard ratios of whole documents and of fixed chunks, held against limits for their length.
 
-Text that repeats itself compresses far better than prose of its length, and noise or
-ciphertext far worse. Short texts have little for a compressor to find, so the limits are
-given by length; between two lengths they are interpolated over the logarithm of the length.
+Text that repeats itself, or is built from few characters, compresses better than prose of its
+length, and noise or ciphertext worse. The longer a text, the better it compresses and the less
+prose varies, so limits go by length: for each half doubling of the length, the median of all
+documents' ratios less or plus so many times their quartiles' distance from it, interpolated
+between lengths. The quartiles hardly heed the odd texts as long as these are fewer than a
+quarter. Lengths with too few documents to tell fall back on fixed bands.
 """
 
 from __future__ import annotations
@@ -12,20 +15,25 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from tessera.llm.vector import IS_START, Chunk, chunks, shingle
-from tessera.llm.shared import map_arrow
+from tessera.llm.shared import cut, map_arrow
 
 LEVEL, CHUNK = 3, 4096
-#: (bytes, lowest ratio, highest ratio) of whole documents: raw size over compressed size.
+#: (bytes, lowest ratio, highest ratio) of whole documents, raw size over compressed size, where there are fewer than FEWEST of a length.
 BANDS = ((50, 0.60, 1.45), (200, 1.10, 1.80), (500, 1.25, 2.05), (1000, 1.35, 2.20), (2000, 1.45, 2.35), (4096, 1.50, 2.50), (16384, 1.50, 2.75), (131072, 1.50, 3.10))
-#: (lowest, highest) ratio of a full chunk, and the share of a document's bytes that may lie in chunks outside. The rest behind the last full chunk is held to BANDS.
+#: The same for full chunks; and the share of a document's bytes that may lie in chunks outside their limits.
 CHUNK_BAND, CHUNK_SHARE = (1.40, 2.90), 0.05
+#: Limits for each half doubling of the length: how many quartile distances (at least LEAST_SPREAD) the log of a ratio may lie below and above the median.
+STEPS, BELOW, ABOVE, LEAST_SPREAD, FEWEST = 2, 8.0, 4.0, 0.01, 30
+#: Logs of ratios are counted in cells of this width, LOWEST up; lengths up to 2**LONGEST bytes.
+CELL, LOWEST, HIGHEST, LONGEST = 0.002, -2.0, 8.0, 40
 SYMBOLS = b"#*$%&|<>"
 MIN_WORDS, REPEAT_PERCENT, WINDOW = 10, 20, 5
 
-SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, ratio double, odd_chunks double"
+SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, n_bytes long, ratio double, chunks array<struct<size:int,ratio:double>>"
 
 _IS_SYMBOL = np.isin(np.arange(256), np.frombuffer(SYMBOLS, np.uint8))
 
@@ -75,53 +83,107 @@ def band(size: np.ndarray, bands=BANDS) -> tuple[np.ndarray, np.ndarray]:
     return np.interp(x, np.log(at), low), np.interp(x, np.log(at), high)
 
 
-def ratios(c: Chunk, level: int, chunk: int, chunk_band: tuple[float, float], bands=BANDS) -> tuple[np.ndarray, np.ndarray]:
-    """Of each document: the ratio of the whole, and the share of its bytes in chunks outside their limits.
+def ratios(c: Chunk, level: int, chunk: int, least: int = BANDS[0][0]) -> tuple[np.ndarray, list[list[dict]]]:
+    """Of each document: the ratio of the whole, and sizes and ratios of its chunks, the rest behind the last full one too.
 
-    Full chunks are held to chunk_band, the rest behind them to the limits of its length; a rest
-    shorter than bands start with is part of the chunk before it. Shorter documents are one whole.
+    A rest shorter than least is part of the chunk before it. Documents shorter than a chunk are one whole, without chunks.
     """
     press = zstandard.ZstdCompressor(level=level, write_content_size=False, write_checksum=False).compress
     view = memoryview(np.ascontiguousarray(c.data))
-    whole, odd = np.ones(c.n), np.zeros(c.n)
+    whole, parts = np.ones(c.n), []
     for i in range(c.n):
         a, b = int(c.offsets[i]), int(c.offsets[i + 1])
-        if a == b:
-            continue
-        whole[i] = (b - a) / len(press(view[a:b]))
-        if b - a >= chunk:
-            cuts = [*range(a, b, chunk), b]
-            if len(cuts) > 2 and b - cuts[-2] < bands[0][0]:
-                del cuts[-2]
-            sizes = np.diff(cuts)
-            parts = sizes / np.array([len(press(view[x:y])) for x, y in zip(cuts[:-1], cuts[1:], strict=True)])
-            low, high = band(sizes, bands)
-            low[sizes >= chunk], high[sizes >= chunk] = chunk_band
-            odd[i] = sizes[(parts < low) | (parts > high)].sum() / (b - a)
-    return whole, odd
-
-
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands=BANDS, level: int = LEVEL, chunk: int = CHUNK, chunk_band: tuple[float, float] = CHUNK_BAND, chunk_share: float = CHUNK_SHARE) -> DataFrame:
-    """One row per row of docs: the id, base figures, verdict (kept), whole ratio and share of bytes in odd chunks.
+        if a < b:
+            whole[i] = (b - a) / len(press(view[a:b]))
+        cuts = [*range(a, b, chunk), b] if b - a >= chunk else []
+        if len(cuts) > 2 and b - cuts[-2] < least:
+            del cuts[-2]
+        parts.append([{"size": y - x, "ratio": (y - x) / len(press(view[x:y]))} for x, y in zip(cuts[:-1], cuts[1:], strict=True)])
+    return whole, parts
 
-    A null or empty text has no words and fails the base rule. Other columns of docs are left out.
-    """
+
+def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", level: int = LEVEL, chunk: int = CHUNK) -> DataFrame:
+    """One row per row of docs: the id, base figures, size in bytes, ratio of the whole and of the chunks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for c in chunks(batch.column(1)):
                 f = base_figures(c)
                 failed = (f["n_words"] < MIN_WORDS) | (100 * f["n_repeat_words"] > REPEAT_PERCENT * f["n_words"])
-                whole, odd = ratios(c, level, chunk, chunk_band, bands)
-                low, high = band(np.diff(c.offsets), bands)
-                kept = ~failed & (whole >= low) & (whole <= high) & (odd <= chunk_share)
+                whole, parts = ratios(c, level, chunk)
                 names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-                columns = [batch.column(0).slice(c.lo, c.n), *(pa.array(f[k], pa.int64()) for k in names), pa.array(failed), pa.array(kept), pa.array(whole), pa.array(odd)]
-                yield pa.RecordBatch.from_arrays(columns, [id_col, *names, "base_failed", "kept", "ratio", "odd_chunks"])
+                kind = pa.list_(pa.struct([("size", pa.int32()), ("ratio", pa.float64())]))
+                columns = [batch.column(0).slice(c.lo, c.n), *(pa.array(f[k], pa.int64()) for k in names), pa.array(failed), pa.array(np.diff(c.offsets), pa.int64()), pa.array(whole), pa.array(parts, kind)]
+                yield pa.RecordBatch.from_arrays(columns, [id_col, *names, "base_failed", "n_bytes", "ratio", "chunks"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, text_col).transform(map_arrow, run, f"`{id_col}` {kind}, {SCHEMA}")
 
 
+def length_step(size: Column) -> Column:
+    return F.floor(F.log2(F.greatest(size, F.lit(1)).cast("double")) * STEPS).cast("int")
+
+
+def quartiles(cells: np.ndarray, counts: np.ndarray) -> tuple[float, float, float]:
+    """Of values counted in sorted cells."""
+    total = np.cumsum(counts)
+    return tuple(LOWEST + CELL * float(cells[np.searchsorted(total, share * total[-1])] + 0.5) for share in (0.25, 0.5, 0.75))
+
+
+def learnt(counted: list, below: float, above: float) -> dict[int, tuple[float, float]]:
+    """{step: (lowest, highest ratio)} of the steps with FEWEST values. counted: (step, cell, n)."""
+    out = {}
+    for step in {r[0] for r in counted}:
+        cells, counts = np.array(sorted((r[1], r[2]) for r in counted if r[0] == step)).T
+        if counts.sum() >= FEWEST:
+            q1, q2, q3 = quartiles(cells, counts)
+            spread = max(q2 - q1, q3 - q2, LEAST_SPREAD)
+            out[step] = (float(np.exp(q2 - below * spread)), float(np.exp(q2 + above * spread)))
+    return out
+
+
+def limits(measured: DataFrame, bands=BANDS, chunk: int = CHUNK, chunk_band: tuple[float, float] = CHUNK_BAND, below: float = BELOW, above: float = ABOVE) -> tuple[list[tuple[float, float]], tuple[float, float]]:
+    """(lowest, highest) ratio for each step of the length, and for full chunks, from all documents that pass the base rule.
+
+    What comes to the driver are counts in cells of length and ratio, a fixed number of cells at most, whatever the input.
+    """
+    cell = lambda r: F.floor((F.least(F.greatest(F.log(r), F.lit(LOWEST)), F.lit(HIGHEST)) - LOWEST) / CELL).cast("int")
+    fit = measured.filter("NOT base_failed AND n_bytes > 0")
+    wholes = fit.select(length_step(F.col("n_bytes")).alias("step"), cell(F.col("ratio")).alias("cell"))
+    full = fit.select(F.explode("chunks").alias("c")).filter(F.col("c.size") == chunk).select(F.lit(-1).alias("step"), cell(F.col("c.ratio")).alias("cell"))
+    counted = [tuple(r) for r in wholes.unionByName(full).groupBy("step", "cell").agg(F.count("*").alias("n")).collect()]
+    found = learnt(counted, below, above)
+    low, high = band(2.0 ** ((np.arange(LONGEST * STEPS) + 0.5) / STEPS), bands)
+    return [found.get(k, (float(low[k]), float(high[k]))) for k in range(LONGEST * STEPS)], found.get(-1, chunk_band)
+
+
+def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands=BANDS, level: int = LEVEL, chunk: int = CHUNK, chunk_band: tuple[float, float] = CHUNK_BAND, chunk_share: float = CHUNK_SHARE, below: float = BELOW, above: float = ABOVE) -> DataFrame:
+    """One row per row of docs: the id, base figures, verdict (kept), whole ratio and share of bytes in odd chunks.
+
+    A null or empty text has no words and fails the base rule. Very long texts are compressed whole.
+    Repeated rows are judged alike. An empty table gives an empty result. Other columns of docs are left out.
+    """
+    measured = cut(measure(docs, id_col, text_col, level, chunk), "measured")
+    steps, of_chunks = limits(measured, bands, chunk, chunk_band, below, above)
+
+    def limit(size: Column, k: int) -> Column:
+        """Interpolated between the middles of steps."""
+        values = F.array(*(F.lit(s[k]) for s in steps))
+        x = F.log2(F.greatest(size, F.lit(1)).cast("double")) * STEPS - 0.5
+        at = F.least(F.greatest(F.floor(x), F.lit(0)), F.lit(len(steps) - 2)).cast("int")
+        share = F.least(F.greatest(x - at, F.lit(0.0)), F.lit(1.0))
+        return F.get(values, at) * (1 - share) + F.get(values, at + 1) * share
+
+    def odd(c: Column) -> Column:
+        is_full = c["size"] == chunk
+        return (c["ratio"] < F.when(is_full, of_chunks[0]).otherwise(limit(c["size"], 0))) | (c["ratio"] > F.when(is_full, of_chunks[1]).otherwise(limit(c["size"], 1)))
+
+    outside = F.aggregate(F.filter("chunks", odd), F.lit(0).cast("long"), lambda total, c: total + c["size"])
+    out = measured.withColumn("odd_chunks", F.when(F.size("chunks") > 0, outside / F.col("n_bytes")).otherwise(0.0))
+    within = F.col("ratio").between(limit(F.col("n_bytes"), 0), limit(F.col("n_bytes"), 1))
+    out = out.withColumn("kept", ~F.col("base_failed") & within & (F.col("odd_chunks") <= chunk_share))
+    return out.select(id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "ratio", "odd_chunks")
+
+
 def op2_compression_bands(spark, sf_dir):
     return judge(spark.read.parquet(f"{sf_dir}/documents.parquet"))
