@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.difference_cover import repeats
 from tessera.llm.shared import counted_join, cut, map_arrow
-from tessera.llm.vector import Chunk, chunks
+from tessera.llm.vector import Chunk, chunks, mix64, random_words
 
 LENGTH, SPREAD, GRAM = 400, 192, 16
 #: Cells of SPREAD windows are cut into cells of NARROW[0], and so on where too many meet.
@@ -42,6 +43,8 @@ MOST = 5000
 #: Requests for texts, and removed runs, up to this many rows are sent to every executor; more of them are joined.
 SMALL_REQUESTS, SMALL_RUNS = 20_000, 400_000
 SEGMENT = 1 << 22
+#: Passages of so many words that documents share show in strings of so many words, one in each run of PASSAGE_WORDS.
+PASSAGE_WORDS, PASSAGE_CORE = 51, 26
 
 ROW = "__doc long, __text int"
 CELL = f"{ROW}, __core long, __span long, __at int, __low int, __high int"
@@ -243,6 +246,40 @@ def repeated_windows(rows: DataFrame, length: int = LENGTH, spread: int = SPREAD
     return out
 
 
+def passage_strings(rows: DataFrame, words: int, core: int) -> DataFrame:
+    """(row key, string hash): of each words consecutive words, the string of core words in them with the smallest hash. Equal runs of words have the same one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        factors = random_words(core, 7) | np.uint64(1)
+        for batch in batches:
+            for c in chunks(batch.column(2)):
+                each = c.hashes(*c.words)
+                n = len(each) - core + 1
+                if len(each) < words:
+                    continue
+                keys = np.zeros(n, np.uint64)
+                for k in range(core):
+                    keys += each[k : k + n] * factors[k]
+                keys = mix64(keys)
+                at = smallest(keys, words - core + 1)
+                doc = np.repeat(np.arange(c.n), np.diff(c.word_offsets))[: len(at)]
+                inside = np.flatnonzero(np.arange(len(at)) + words <= c.word_offsets[1:][doc])
+                at, doc = at[inside], doc[inside]
+                new = np.append(True, at[1:] != at[:-1]) if len(at) else np.zeros(0, bool)
+                at, doc = at[new], doc[new]
+                keys_of = [batch.column(k).slice(c.lo, c.n).take(pa.array(doc)) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*keys_of, pa.array(keys[at].view(np.int64))], ["__doc", "__text", "__string"])
+
+    return rows.transform(map_arrow, run, f"{ROW}, __string long")
+
+
+def shared_passages(rows: DataFrame, words: int = PASSAGE_WORDS, core: int = PASSAGE_CORE) -> DataFrame:
+    """(row key, __shared): how many of a row's passage strings rows of other ids have too. Above 0 wherever two documents share words consecutive words, however short these are in bytes."""
+    strings = cut(passage_strings(rows, words, core), "strings")
+    spread = strings.groupBy("__string").agg(F.min("__doc").alias("__a"), F.max("__doc").alias("__b"), F.count("*").alias("__n")).filter("__a <> __b").select("__string", "__n")
+    return counted_join(strings, cut(spread, "spread"), ["__string"], strings.count()).groupBy("__doc", "__text").agg(F.count("*").alias("__shared"))
+
+
 def merged_spans(windows: DataFrame, length: int) -> DataFrame:
     """(row key, start, end): maximal runs of bytes that the windows cover; runs that touch are one."""
     spans = windows.select("__doc", "__text", F.col("__low").alias("__s"), (F.col("__high") + length).alias("__e")).groupBy("__doc", "__text", "__s").agg(F.max("__e").alias("__e"))
@@ -253,7 +290,9 @@ def merged_spans(windows: DataFrame, length: int) -> DataFrame:
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """(id, n_bytes, n_removed, n_spans, kept binary) of every row: the bytes left when each byte of a repeated string of length bytes is gone.
+    """(id, n_bytes, n_removed, n_spans, n_shared_passages, kept binary) of every row: the bytes left when each byte of a repeated string of length bytes is gone.
+
+    n_shared_passages tells of repeats that are too short for that: see shared_passages().
 
     Strings are judged on the input; matches don't cross rows. A null text is an empty one. Texts
     shorter than length lose nothing. Rows that are equal repeat each other and, from length bytes
@@ -263,7 +302,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     spans = merged_spans(repeated_windows(rows, length, **options), length)
     lists = cut(spans.groupBy("__doc", "__text").agg(F.sort_array(F.collect_list(F.struct("__start", "__end"))).alias("__spans"), F.count("*").alias("__n")), "spans")
     total = lists.agg(F.sum("__n")).first()[0] or 0
-    lists = lists.drop("__n")
+    lists = cut(lists.drop("__n").join(shared_passages(rows), ["__doc", "__text"], "full_outer"), "figures")
+    total = max(total, lists.count())
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,6 +311,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
                 sizes, removed, counts, kept = [], [], [], []
+                shared = pc.fill_null(part.column(3), 0)
                 for body, cuts in zip(part.column(1), part.column(2).to_pylist(), strict=True):
                     data = body.as_buffer().to_pybytes()
                     out, place = [], 0
@@ -282,18 +323,18 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
                     sizes.append(len(data))
                     removed.append(len(data) - len(kept[-1]))
                     counts.append(len(cuts or ()))
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(v, pa.int64()) for v in (sizes, removed, counts)), pa.array(kept, pa.binary())], [id_col, "n_bytes", "n_removed", "n_spans", "kept"])
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(v, pa.int64()) for v in (sizes, removed, counts)), shared, pa.array(kept, pa.binary())], [id_col, "n_bytes", "n_removed", "n_spans", "n_shared_passages", "kept"])
 
     full = docs.select(F.col(id_col), *[F.col(c) for c in (text_col,)])
     full = full.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__body"))
     full = full.withColumns({"__doc": F.coalesce(F.col("__id").cast("long"), F.lit(-(1 << 63))), "__text": F.hash("__body")})
-    joined = full.join(F.broadcast(lists) if total <= SMALL_RUNS else lists, ["__doc", "__text"], "left").select("__id", "__body", "__spans")
-    return joined.transform(map_arrow, run, f"`{id_col}` {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
+    joined = full.join(F.broadcast(lists) if total <= SMALL_RUNS else lists, ["__doc", "__text"], "left").select("__id", "__body", "__spans", "__shared")
+    return joined.transform(map_arrow, run, f"`{id_col}` {kind}, n_bytes long, n_removed long, n_spans long, n_shared_passages long, kept binary")
 
 
 def op7_difference_cover_dedup(spark, sf_dir):
     out = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "n_shared_passages")
 
 
 def brute_force(texts: list[bytes], length: int = LENGTH) -> list[list[tuple[int, int]]]:

@@ -78,20 +78,61 @@ def test_compression_keeps_prose_and_drops_repeats_and_noise(spark, docs, empty)
     assert compression.judge(empty).count() == 0
 
 
-def test_every_chunk_is_held_to_its_limits():
-    import base64
-
-    random = np.random.default_rng(4)
+def plain_prose(seed, n_words):
+    random = np.random.default_rng(seed)
     letters, often = list("etaoinshrdlucmfwypvbgk"), np.array([12, 9, 8, 8, 7, 7, 6, 6, 6, 4, 4, 3, 3, 2, 2, 2, 2, 2, 1, 1, 2, 1], float)
     words = ["".join(random.choice(letters, int(n), p=often / often.sum())) for n in random.integers(2, 9, 600)]
-    text = " ".join(words[int(600 * x**2)] for x in random.random(12000)).encode()
-    noise = base64.b64encode(random.bytes(4096))
-    clean = [text[:4096], text[:4126], text[:7000], text[: 8192 + 40], text[: 10 * 4096]]
-    foul = [text[:4300] + noise[:3800], text[:4096] + noise[:4095], noise[:4096] + text[:3000], text[:8192] + noise[:1500], text[: 5 * 4096] + noise[:4096] + text[: 9 * 4096]]
-    _, odd = compression.ratios(concatenated([*clean, *foul]), compression.LEVEL, compression.CHUNK, compression.CHUNK_BAND)
-    assert odd[:5].tolist() == [0] * 5 and (odd[5:] > compression.CHUNK_SHARE).all()
-    assert odd[8] == 1500 / 9692 and odd[9] == 1 / 15
-    assert len(foul[0]) < 2 * compression.CHUNK and compression.ratios(concatenated([text[:4000]]), compression.LEVEL, compression.CHUNK, compression.CHUNK_BAND)[1] == 0
+    return " ".join(words[int(600 * x**2)] for x in random.random(n_words))
+
+
+def test_every_chunk_is_measured():
+    import zstandard
+
+    text = plain_prose(4, 3000).encode()
+    texts = [b"", text[:40], text[:4095], text[:4096], text[:4126], text[:4146], text[: 2 * 4096 + 1500]]
+    whole, parts = compression.ratios(concatenated(texts), compression.LEVEL, compression.CHUNK)
+    press = zstandard.ZstdCompressor(level=compression.LEVEL, write_content_size=False, write_checksum=False).compress
+    assert [[x["size"] for x in p] for p in parts] == [[], [], [], [4096], [4126], [4096, 50], [4096, 4096, 1500]]
+    for t, w, p in zip(texts, whole, parts, strict=True):
+        assert w == (len(t) / len(press(t)) if t else 1)
+        place = 0
+        for x in p:
+            assert x["ratio"] == x["size"] / len(press(t[place : place + x["size"]]))
+            place += x["size"]
+        assert place in (0, len(t))
+
+
+def test_limits_follow_the_documents():
+    random = np.random.default_rng(6)
+    values = {3: random.normal(0.6, 0.05, 500), 5: random.normal(0.9, 0.02, 29)}
+    counted = [(k, int(c), int(n)) for k, v in values.items() for c, n in zip(*np.unique(np.floor((v - compression.LOWEST) / compression.CELL), return_counts=True), strict=True)]
+    found = compression.learnt(counted, 8.0, 4.0)
+    q1, q2, q3 = np.percentile(values[3], [25, 50, 75])
+    spread = max(q2 - q1, q3 - q2)
+    assert list(found) == [3] and np.allclose(np.log(found[3]), [q2 - 8 * spread, q2 + 4 * spread], atol=0.03)
+
+
+def test_verdicts_match_a_loop(spark):
+    import base64
+
+    noise = base64.b64encode(np.random.default_rng(1).bytes(30000)).decode()
+    texts = [plain_prose(4, 30 * (i % 40) + 100)[: 300 + 900 * (i % 12)] for i in range(160)]
+    foul = [plain_prose(4, 1500)[:4300] + " " + noise[:3800], plain_prose(4, 900)[:4096] + noise[:2000], " ".join(noise[i : i + 9] for i in range(0, 5000, 9)), "one two three four five six seven eight nine ten eleven " * 30]
+    rows = list(enumerate([*texts, *foul]))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = by_id(compression.judge(df))
+    measured = compression.measure(df)
+    steps, of_chunks = compression.limits(measured)
+
+    def limit(n, k):
+        return float(np.interp(np.log2(n) * compression.STEPS - 0.5, range(len(steps)), [x[k] for x in steps]))
+
+    for r in measured.collect():
+        inside = lambda ratio, n: limit(n, 0) <= ratio <= limit(n, 1)
+        odd = sum(c["size"] for c in r["chunks"] if not (of_chunks[0] <= c["ratio"] <= of_chunks[1] if c["size"] == compression.CHUNK else inside(c["ratio"], c["size"])))
+        expected = not r["base_failed"] and inside(r["ratio"], r["n_bytes"]) and odd <= compression.CHUNK_SHARE * r["n_bytes"]
+        assert got[r["doc_id"]]["kept"] == expected, r["doc_id"]
+    assert not any(got[len(texts) + i]["kept"] for i in range(len(foul))) and sum(got[i]["kept"] for i in range(len(texts))) >= 150
 
 
 # mixing
@@ -296,6 +337,17 @@ def test_repeats_on_awkward_tables(docs, empty):
     assert rows[0]["n_removed"] == rows[0]["n_bytes"] > 400 and rows[8]["n_removed"] == 0 and rows[2]["n_bytes"] == 0
 
 
+def test_shared_passages_are_told_at_any_length_in_bytes(spark):
+    short = " ".join(f"w{i % 7}{i}" for i in range(51))  # fewer than 400 bytes
+    texts = [prose(20 + i, 200, 4000) for i in range(8)]
+    texts[1] = texts[1][:600] + " " + short + " " + texts[1][600:]
+    texts[5] = short + "\n" + texts[5]
+    texts += [short[:100], None, ""]
+    got = by_id(suffix_dedup.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)))
+    assert len(short) < 400 and sorted(i for i in got if got[i]["n_shared_passages"]) == [1, 5]
+    assert all(r["n_removed"] == 0 for r in got.values())
+
+
 # byte-level BPE
 
 
