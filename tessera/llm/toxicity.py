@@ -15,6 +15,8 @@ looks most toxic to the machine of the round before.
 
 from __future__ import annotations
 
+import pickle
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -187,14 +189,23 @@ class Landmarks:
         for i, c in enumerate(self.codes):
             rows[i, : len(c)] = c
         self.own = np.array([kernel(rows[i : i + 1], c)[0] for i, c in enumerate(self.codes)])
-        # a word needs letters of ORDER-long subsequences of the landmark: at least this many distinct ones
+        # a word needs letters of ORDER-long subsequences of the landmark: at least this many distinct bits
         self.masks = [np.bitwise_or.reduce(_BITS[np.unique(c)]) for c in self.codes]
-        self.needed = [len(set(c[:ORDER].tolist())) if len(c) == ORDER else min(_distinct(c), 3) for c in self.codes]
+        self.needed = [_distinct(c) if len(c) == ORDER else min(_distinct(c), 3) for c in self.codes]
         gram = np.array([kernel(rows, c) / k for c, k in zip(self.codes, self.own, strict=True)]).T if self.codes else np.zeros((0, 0))
         gram = np.minimum(1.0, (gram + gram.T) / 2)
         value, vector = np.linalg.eigh(gram + 0.05 * np.eye(len(gram))) if len(gram) else (np.ones(0), np.zeros((0, 0)))
         self.whiten = vector @ np.diag(1 / np.sqrt(np.maximum(value, 0.05))) @ vector.T
-        self.unlike = np.zeros(1 << SEEN_BITS, np.uint64)
+        self._unlike: np.ndarray | None = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_unlike": None}  # what a worker remembers stays with it
+
+    @property
+    def unlike(self) -> np.ndarray:
+        if self._unlike is None:
+            self._unlike = np.zeros(1 << SEEN_BITS, np.uint64)
+        return self._unlike
 
     def similarities(self, words: np.ndarray) -> np.ndarray:
         """n x landmarks: kernel over the landmark's own kernel, at most 1."""
@@ -248,6 +259,11 @@ def _strings(word: str) -> set[str]:
     return {word[i : i + k] for k in range(SHORTEST, LONGEST + 1) for i in range(len(word) - k + 1)}
 
 
+def _slot(s: str) -> int:
+    """One of 2**22 counters, the same in every run."""
+    return zlib.crc32(s.encode("utf-8", "surrogatepass")) & (1 << 22) - 1
+
+
 def _vocabularies(texts: list[str]) -> Iterator[set[str]]:
     for text in texts:
         w = split_words(concatenated([text.encode("utf-8", "replace")]))
@@ -264,14 +280,14 @@ def pick_landmarks(toxic: list[str], clean: list[str], most: int = LANDMARKS, ba
     # counters by hash first, so that only strings that may be frequent are ever kept
     counters, tried = np.zeros(1 << 22, np.int16), 0
     for words in _vocabularies(toxic):
-        found = {hash(s) & (1 << 22) - 1 for x in words for s in _strings(x)}
+        found = {_slot(s) for x in words for s in _strings(x)}
         counters[list(found)] += 1
         tried += len(found)
     copies: dict[frozenset, int] = {}
     frequent: dict[str, int] = {}  # a bit for each group of copies
     for words in _vocabularies(toxic):
         group = copies.setdefault(frozenset(sorted(words, key=lambda x: (-len(x), x))[:3]), len(copies))
-        for s in {s for x in words for s in _strings(x) if counters[hash(s) & (1 << 22) - 1] >= FEWEST}:
+        for s in {s for x in words for s in _strings(x) if counters[_slot(s)] >= FEWEST}:
             frequent[s] = frequent.get(s, 0) | 1 << group
     frequent = {s: v for s, v in frequent.items() if v.bit_count() >= FEWEST}
     good = dict.fromkeys(frequent, 0)
@@ -378,17 +394,32 @@ def fit(toxic: list[str], clean: list[str]) -> Model:
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", toxic_sample: int = TOXIC_SAMPLE, clean_sample: int = CLEAN_SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Fit on at most toxic_sample and clean_sample labelled documents, picked by a hash of the id; whole texts. Null labels and ids teach nothing."""
+    """Fit on at most toxic_sample and clean_sample labelled documents, picked by a hash of the id; whole texts. Null labels, ids and texts teach nothing.
+
+    The sample meets in one task, which hands the driver the model alone. Rows that share an id
+    share its label, and an id with both labels teaches both; other columns don't matter.
+    """
     known = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__label"))
     order = [F.xxhash64(F.col("__id").cast("string"), F.lit("tox")), "__id"]
     picked = known.filter("__label = 1").orderBy(*order).limit(toxic_sample).unionByName(known.filter("__label = 0").orderBy(*order).limit(clean_sample))
-    rows = docs.select(id_col, text_col).join(F.broadcast(picked), F.col(id_col) == F.col("__id")).filter(F.col(text_col).isNotNull()).select(id_col, text_col, "__label").toPandas().sort_values(id_col)
-    texts, bad = rows[text_col].tolist(), rows["__label"].tolist()
-    return fit([t for t, b in zip(texts, bad, strict=True) if b], [t for t, b in zip(texts, bad, strict=True) if not b])
+    rows = docs.select(id_col, text_col).join(F.broadcast(picked), F.col(id_col) == F.col("__id")).filter(F.col(text_col).isNotNull()).select("__id", text_col, "__label")
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sample = sorted((r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True)), key=lambda r: (r[0], r[1]))
+        model = fit([t for _, t, bad in sample if bad], [t for _, t, bad in sample if not bad])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+
+    made = rows.repartition(1).transform(map_arrow, learn, "model binary").collect()
+    return pickle.loads(made[0]["model"]) if made else fit([], [])
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with score (0 to 1) and predicted (1 from 0.5 up). A null or empty text scores as one that is like no landmark. Columns of these names are replaced."""
+    """docs with score (0 to 1) and predicted (1 from 0.5 up).
+
+    A null or empty text scores as one that is like no landmark. A score depends on the text alone,
+    so rows of equal texts tie, whatever their ids; a tie at 0.5 is toxic. Very long texts are read
+    whole, a chunk at a time. An empty table gives an empty result. Columns of these names are replaced.
+    """
     rest = [c for c in docs.columns if c not in (text_col, "score", "predicted")]
     shape = T.StructType([*docs.select(*rest, text_col).schema, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
 
