@@ -13,8 +13,10 @@ from pyspark.sql import types as T
 
 # The token pattern and the particles that documents and concepts shed.
 TOKEN = r"[0-9]+|[A-Za-zÀ-ÖØ-öø-ÿ]+|[가-힣]+"
-PARTICLES = "에게서 으로는 에서는 부터는 까지는 은요 는요 이요 가요 도요 이랑 하고 으로 에서 에게 부터 까지 은 는 이 가 을 를 의 와 과 랑 에 도 만 로"
-CONCEPT_ONLY_PARTICLES = "마다"
+PARTICLES = (
+    "에게서", "으로는", "에서는", "부터는", "까지는", "은요", "는요", "이요", "가요", "도요", "이랑", "하고", "으로", "에서", "에게", "부터", "까지", "은", "는", "이", "가", "을", "를", "의", "와", "과", "랑", "에", "도", "만", "로",
+)
+CONCEPT_ONLY_PARTICLES = ("마다",)
 KEPT_LETTERS = ("p", "f")
 NORMAL_FORMS = {
     "딕션": "발음", "관할권별": "관할권", "파트": "반주", "박의": "박자", "나타내는": "나타낸", "바뀌": "변화", "바뀌는": "변화",
@@ -28,9 +30,9 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
 
 
-def strip_particles(text: Column, extra: str = "") -> Column:
+def strip_particles(text: Column, extra: tuple[str, ...] = ()) -> Column:
     """Hangul words of two syllables or more without the particle they end in."""
-    endings = "|".join(sorted((PARTICLES + " " + extra).split(), key=len, reverse=True))
+    endings = "|".join(sorted((*PARTICLES, *extra), key=len, reverse=True))
     return F.regexp_replace(text, rf"(?U)([가-힣]{{2,}}?)(?:{endings})\b", "$1")
 
 
@@ -148,17 +150,24 @@ def sentences(text: Column) -> Column:
     return F.filter(F.split(text, r"(?<=[.!?。！？])\s+|\n+"), lambda s: F.trim(s) != "")
 
 
+def folded(x: str | None) -> str | None:
+    """NFKC, invisible characters dropped, white space squeezed, case folded."""
+    if x is None:
+        return None
+    x = "".join(ch for ch in unicodedata.normalize("NFKC", x) if ch.isspace() or unicodedata.category(ch) not in ("Cf", "Cc"))
+    return re.sub(r"\s+", " ", x).strip().casefold()
+
+
 @F.pandas_udf(T.StringType())
 def screen_form(text: pd.Series) -> pd.Series:
-    """NFKC, invisible characters dropped, white space squeezed, case folded. Spark has no native NFKC or case folding."""
+    """folded() of each text. Spark has no native NFKC or case folding."""
+    return text.map(folded)
 
-    def one(x: str | None) -> str | None:
-        if x is None:
-            return None
-        x = "".join(ch for ch in unicodedata.normalize("NFKC", x) if ch.isspace() or unicodedata.category(ch) not in ("Cf", "Cc"))
-        return re.sub(r"\s+", " ", x).strip().casefold()
 
-    return text.map(one)
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def screen_forms(texts: pd.Series) -> pd.Series:
+    """folded() of each string of each array."""
+    return texts.map(lambda strings: [folded(x) for x in strings] if strings is not None else None)
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))

@@ -64,3 +64,53 @@ def forbidden_paths(schema: DataType, names: set[str], at: str = "") -> list[str
         out += [path] if field.name in names else []
         out += forbidden_paths(field.dataType, names, path)
     return out
+
+
+# How a search may have gone, with the route that was taken, and what that says of dense retrieval: (attempted, contributed), null for either.
+ROUTE_STATES = {
+    ("hybrid", "hybrid"): (True, True),
+    ("hybrid_no_dense_match", "hybrid"): (True, False),
+    ("lexical_route", "lexical"): (False, False),
+}
+REQUIRED_MODES = {"configured_mode": "hybrid", "active_mode": "hybrid"}
+
+
+def diagnostics_broken(df: DataFrame, removed: tuple[str, ...] = ()) -> DataFrame:
+    """Rows whose retrieval diagnostics contradict themselves, with broken: the names of the rules.
+
+    Columns: configured_mode, active_mode, dense_available, embedding_dimension, last_dense_error,
+    last_search_mode, query_route, dense_attempted, dense_contributed, route_reason, and
+    ambiguous_candidates, an array. removed: columns that must be gone.
+    """
+    route = F.concat_ws("|", "last_search_mode", "query_route")
+    allowed = F.array(*(F.lit("|".join(k)) for k in ROUTE_STATES))
+    state = F.concat_ws("|", route, F.col("dense_attempted").cast("string"), F.col("dense_contributed").cast("string"))
+    states = F.array(*(F.lit("|".join((*k, *(str(x).lower() for x in v)))) for k, v in ROUTE_STATES.items()))
+    return breaking(
+        df,
+        **{name: F.col(name) == value for name, value in REQUIRED_MODES.items()},
+        dense_available=F.col("dense_available"),
+        embedding_dimension=F.col("embedding_dimension") >= 1,
+        last_dense_error=F.col("last_dense_error").isNull(),
+        route=F.array_contains(allowed, route),
+        dense_state=F.array_contains(states, state),
+        route_reason=F.col("route_reason") != "",
+        ambiguous_candidates=F.col("ambiguous_candidates").isNotNull(),
+        **{f"removed_{c}": F.lit(False) for c in removed if c in df.columns},
+    )
+
+
+def case_totals(cases: DataFrame, group: str, case_id: str, expected: dict[str, int]) -> DataFrame:
+    """(group, expected, found) where the number of cases isn't what it has to be, groups that nobody expects (expected 0) too. A case without an id isn't one; one that is there twice counts once more, so it shows."""
+    spark = cases.sparkSession
+    wanted = spark.createDataFrame(sorted(expected.items()), f"`{group}` string, expected long")
+    found = cases.filter(F.coalesce(F.trim(case_id), F.lit("")) != "").groupBy(group).agg(F.count("*").alias("found"))
+    both = wanted.join(found, group, "full_outer").select(group, F.coalesce("expected", F.lit(0)).alias("expected"), F.coalesce("found", F.lit(0)).alias("found"))
+    return both.filter("expected <> found")
+
+
+def check_cases(cases: DataFrame, group: str, case_id: str, expected: dict[str, int]) -> None:
+    """Stop unless every group has exactly as many cases as expected, each with an id of its own."""
+    require(cases.filter(F.coalesce(F.trim(case_id), F.lit("")) == "").select(group, case_id), "cases have no id")
+    require(duplicate_keys(cases, [case_id]), "cases are there twice")
+    require(case_totals(cases, group, case_id, expected), "there are more or fewer cases than expected")

@@ -17,12 +17,20 @@ def read_json(spark: SparkSession, path: str, schema: StructType | str) -> DataF
     return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
 
 
-def read_jsonl(spark: SparkSession, path: str | list[str], schema: StructType | str) -> DataFrame:
-    """One object a line; blank lines are skipped, a line that isn't an object of the schema is an error."""
+class BadLine(ValueError):
+    """A line of a JSON lines file isn't an object."""
+
+
+def read_jsonl(spark: SparkSession, path: str | list[str], schema: StructType | str, numbered: bool = False) -> DataFrame:
+    """One object a line; blank lines are skipped, a line that isn't an object of the schema is an error. numbered: look for such lines first, so that the error tells file and line."""
+    if numbered:
+        first = bad_lines(spark, path).orderBy("file", "line").first()
+        if first is not None:
+            raise BadLine(f"{first['file']}:{first['line']}: not a JSON object: {first['value'][:80]!r}")
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
-def bad_lines(spark: SparkSession, path: str) -> DataFrame:
+def bad_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(file, line, value) of lines that aren't JSON objects, blank ones aside: whole-file reads, so lines can be numbered."""
     files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\n")).alias("line", "value"))
     return files.filter(F.trim("value") != "").filter(F.json_object_keys("value").isNull()).withColumn("line", F.col("line") + 1)
@@ -50,13 +58,37 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def replace_atomically(df: DataFrame, path: str, format: str = "parquet") -> None:
-    """Write beside path, then rename: readers see the old table or the new one, whole."""
-    spark, aside = df.sparkSession, f"{path}.{uuid.uuid4().hex}"
-    df.write.format(format).save(aside)
+    """Put a new table at path. It is written aside first; the old one is renamed aside, the new one renamed into place, and only then the old one deleted.
+
+    Between the two renames path is missing, but never half a table; if that is where a run dies,
+    the old table is whole beside path and recover() puts it back.
+    """
+    spark, mark = df.sparkSession, uuid.uuid4().hex
+    recover(spark, path)
+    df.write.format(format).save(f"{path}.new-{mark}")
+    at, fs = _fs(spark, path)
+    new, old = _fs(spark, f"{path}.new-{mark}")[0], _fs(spark, f"{path}.old-{mark}")[0]
+    had = fs.exists(at)
+    if had and not fs.rename(at, old):
+        raise OSError(f"{path} couldn't be set aside")
+    if not fs.rename(new, at):
+        if had:
+            fs.rename(old, at)
+        raise OSError(f"{path} couldn't be replaced")
+    if had:
+        fs.delete(old, True)
+
+
+def recover(spark: SparkSession, path: str) -> bool:
+    """If path is missing because a run died while replacing it, put the table that was there back. Returns whether it did."""
     at, fs = _fs(spark, path)
-    fs.delete(at, True)
-    if not fs.rename(_fs(spark, aside)[0], at):
-        raise OSError(f"{aside} couldn't become {path}")
+    if fs.exists(at):
+        return False
+    left = fs.globStatus(_fs(spark, f"{path}.old-*")[0]) or []
+    if not len(left):
+        return False
+    newest = max(left, key=lambda status: status.getModificationTime())
+    return bool(fs.rename(newest.getPath(), at))
 
 
 def digest(df: DataFrame) -> str:

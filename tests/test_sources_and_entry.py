@@ -101,3 +101,18 @@ def test_queries_match_their_sql(spark, name):
     assert len(a) == len(b)
     for x, y in zip(a, b, strict=True):
         assert x == pytest.approx(y) if all(isinstance(v, (int, float)) for v in x) else x == y
+
+
+def test_a_bad_line_is_named(spark, tmp_path):
+    (tmp_path / "x.jsonl").write_text('{"a": 1}\n\n[2]\n')
+    with pytest.raises(files.BadLine, match=r"x\.jsonl:3"):
+        files.read_jsonl(spark, str(tmp_path / "x.jsonl"), "a int", numbered=True)
+
+
+def test_a_table_is_recovered_after_a_broken_replacement(spark, tmp_path):
+    path = str(tmp_path / "t")
+    files.replace_atomically(spark.range(3), path)
+    files.replace_atomically(spark.range(5), path)
+    assert spark.read.parquet(path).count() == 5 and [p.name for p in tmp_path.iterdir() if not p.name.startswith(".")] == ["t"]
+    (tmp_path / "t").rename(tmp_path / "t.old-1")  # as if a run had died between the renames
+    assert files.recover(spark, path) and spark.read.parquet(path).count() == 5 and not files.recover(spark, path)
