@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.plans import base, interval_queries, lineage_queries, metric_queries, record_queries, retrieval_queries, review_queries  # noqa: F401  (importing registers the queries)
+from tessera.plans import base, interval_queries, language_queries, lineage_queries, metric_queries, record_queries, retrieval_queries, review_queries  # noqa: F401  (importing registers the queries)
 
 
 def queries() -> dict:
