@@ -253,3 +253,21 @@ def test_lineage_checks(spark):
 
 def test_squeeze(spark):
     assert spark.range(1).select(X.squeeze(F.lit(" a \n b "))).first()[0] == "a b"
+
+
+def test_two_accounts_of_the_opening(spark):
+    quiet = " 첫 소리는 크지 않게 시작하는 것이 좋습니다."
+    a, b = "처음 반주는 pp로 시작합니다." + quiet, "처음 반주는 f로 시작합니다." + quiet
+    rows = [("처음 셈여림은?", a, b, [("S1", "pp"), ("S2", "f")]), ("처음 셈여림은?", a, a, None), ("가사는?", a, b, None), ("처음 셈여림은?", a, b + " 판본이 다르다.", None), ("처음 셈여림은?", a, "아마 처음 반주는 f로 시작합니다." + quiet, None)]
+    for q, x, y, expected in rows:
+        df = spark.createDataFrame([(q, [("S1", "support", x), ("S2", "support", y)])], "q string, e array<struct<label:string,role:string,answer:string>>")
+        got = df.select(questions.opening_disagreement(F.col("q"), F.col("e"), F.lit(True))).first()[0]
+        assert (got and [tuple(r) for r in got]) == expected, (q, y)
+
+
+def test_translated_quotations(spark):
+    catalog = {"가": "One.", "나": "One. Two."}
+    texts = ["H\nOne. Two.\n\nOne.", "H\nOne.\nGeneral explanation: x", "H\nOne!", "free", "H\nOne.\nOne."]
+    df = spark.createDataFrame([(t, [("a", "가"), ("b", "나"), ("c", "다")]) for t in texts], "t string, e array<struct<id:string,text:string>>")
+    got = [tuple(r[0]) for r in df.select(questions.translated_quotation(F.col("t"), F.col("e"), catalog, "H\n")).collect()]
+    assert got == [(True, True, ["b", "a"], False, None), (True, True, ["a"], True, None), (True, False, [], False, "One!"), (False, None, None, None, None), (True, False, ["a"], False, "One.")]
