@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import cut
+from tessera.llm.shared import cut, release
 
 
 def connected(links: DataFrame, most_rounds: int = 50) -> DataFrame:
@@ -16,7 +16,7 @@ def connected(links: DataFrame, most_rounds: int = 50) -> DataFrame:
     on its component's smallest id. The sums of both ends tell whether a round changed anything.
     """
     edges = links.filter("a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).distinct()
-    before = None
+    before, last = None, None
     for _ in range(most_rounds):
         both = edges.select(F.col("v").alias("x"), F.col("u").alias("y")).unionByName(edges.select(F.col("u").alias("x"), F.col("v").alias("y")))
         low = both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("m"))
@@ -25,6 +25,9 @@ def connected(links: DataFrame, most_rounds: int = 50) -> DataFrame:
         hooked = large.join(low, large.v == low.x)
         small = hooked.filter("u <> m").select(F.col("u").alias("v"), F.col("m").alias("u")).unionByName(low.select(F.col("x").alias("v"), F.col("m").alias("u")))
         edges = cut(small.filter("v <> u").distinct(), "stars")
+        if last is not None:
+            release(last)
+        last = edges
         state = edges.agg(F.count("*"), F.sum(F.col("u").cast("decimal(38,0)")), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             break

@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import ctypes
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -97,19 +98,39 @@ def shipped(query):
 
 
 def shared_dir(spark: SparkSession) -> str:
-    return spark.conf.get("spark.checkpoint.dir", None) or FALLBACK_DIR
+    """The folder that driver and executors share. It may be unnamed where all run in one process only."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
+    return FALLBACK_DIR
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write df to the cluster's shared folder and read it back, so that a lost executor never makes Spark repeat what led to it.
 
-    The table is removed when the driver's Python ends.
+    The table lies in a folder of this application and goes by release(), or when the driver's
+    Python ends. If a driver is killed, the folder tells whose tables may be deleted.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/tessera-{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/tessera-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    vars(out)["_cut_path"] = path
+    if spark.sparkContext not in _contexts:
+        _contexts.append(spark.sparkContext)
+        atexit.register(_remove, spark, path.rpartition("/")[0])
+    return out
+
+
+_contexts: list = []
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables that cut() wrote and nothing will read again."""
+    for df in tables:
+        _remove(df.sparkSession, vars(df)["_cut_path"])
 
 
 def _remove(spark: SparkSession, path: str) -> None:
@@ -120,13 +141,13 @@ def _remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def counted_join(left: DataFrame, right: DataFrame, keys: list[str], total: int) -> DataFrame:
+def counted_join(left: DataFrame, right: DataFrame, keys: list[str], total: int, least: int = 1) -> DataFrame:
     """left joined with right, one row a key, whose __n says how many of left's total rows have the key; without __n.
 
-    Keys of at least a HOT-th of left's rows, HOT at most, are looked up by broadcast where the rows
-    are, so that none of them meets in one task. The others are joined.
+    Keys of at least a HOT-th of left's rows, HOT at most, and of least rows are looked up by broadcast
+    where the rows are, so that none of them meets in one task. The others are joined.
     """
-    most = total // HOT + 1
+    most = max(least, total // HOT + 1)
     hot = F.broadcast(right.filter(F.col("__n") >= most).drop("__n"))
     rare = right.filter(F.col("__n") < most).drop("__n")
     return left.join(hot, keys).unionByName(left.join(hot.select(*keys), keys, "left_anti").join(rare, keys))
