@@ -7,13 +7,16 @@ sets that have it among their first ones, each with its size and the shingle's p
 
 Two relations between sets spare most of the work:
 
-* Within a list, sets of unlike size, or with places so late that too little can follow, can't
-  link. Lists are cut into blocks by size, and a block skips those whose sizes or places rule
-  it out.
-* What a set links to follows, for the most part, from a highly similar set whose links are
-  known. In each block all sets are held against one centre, the set with the earliest place
-  (the fewest rare shingles); those that link to it form one component with it and need no
-  pairs among themselves. Only sets that are still in different components meet in pairs.
+* Position: a set of n shingles that meets a list at place p can have n - p in common at most, so
+  its partners' sizes end at (n - p)(1 + t) / t - n. Lists lie in blocks by size, and a set probes
+  the blocks from its own to that size alone and skips the others.
+* Similarity: what a set links to follows, for the most part, from a similar set whose answers are
+  known. In each list and coarse block all sets are held against one centre, the set with the
+  earliest place (the fewest rare shingles). Those that link to it form one component with it and
+  need no pairs among themselves. Of the others the differences from the centre are known, and by
+  the triangle inequality two sets differ by at least the difference and at most the sum of
+  theirs. So most pairs with a common centre are decided without comparing the sets; the rest
+  are verified.
 
 So copies cost one pair a set, and still no link between components is lost.
 """
@@ -25,22 +28,28 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.llm.components import connected
-from tessera.llm.shared import counted_join, cut, map_arrow
+from tessera.llm.shared import counted_join, cut, map_arrow, release
 from tessera.llm.vector import Chunk, chunks
 
 SHINGLE = 3
 THRESHOLD = (90, 100)
 #: Shingles' frequencies are estimated in 2**SKETCH_BITS counters, a fixed size whatever the input.
-SKETCH_BITS, BLOCK = 22, 1 << 16
+SKETCH_BITS, BLOCK, TURNS = 22, 1 << 16, 16
 #: Tables of pairs up to this many rows are sent to every executor, larger ones are joined.
-SMALL_ROWS = 500_000
+SMALL_ROWS = 200_000
 #: Counters of a set's shingles by hash, which bound what two sets have in common.
 BINS = 64
+#: Sizes in a block of an index list differ by at most this factor.
+BLOCK_RATIO = 1.02
+#: Sets that many others are held against travel to these, unless they are longer.
+LONG = 20_000
+#: A batch of sets that a worker hands over holds about so many shingles.
+ROWS_ITEMS = 200_000
 
 NODE = "__node long, __size long, __set binary, __bins binary, __tokens array<long>"
 
@@ -59,33 +68,42 @@ def sets_of(c: Chunk, size: int) -> tuple[np.ndarray, np.ndarray]:
 def sketch(docs: DataFrame, text_col: str, size: int, bits: int = SKETCH_BITS) -> np.ndarray:
     """Levels (0 to 255, logarithmic) of how many sets have a shingle of each of 2**bits buckets.
 
-    A task counts up to 255 in each bucket and hands its counters on in blocks, which are added up
-    as they come. The levels only set an order, so an estimate is as good as a count for right results.
+    A task counts up to 255 in each bucket and hands its counters on in blocks. These are added up as
+    they come, first in TURNS lots a block and then over the lots, so that no task reads what all
+    tasks wrote. The levels only set an order, so an estimate is as good as a count for right results.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count, some = np.zeros(1 << bits, np.int32), False
+        count, some, turn = np.zeros(1 << bits, np.int32), False, TaskContext.get().partitionId() % TURNS
         for batch in batches:
             for c in chunks(batch.column(0)):
                 some = True
                 np.add.at(count, (sets_of(c, size)[0] >> np.uint64(64 - bits)).astype(np.int64), 1)
         if some:
-            small = np.minimum(count, 255).astype(np.uint8).reshape(-1, min(BLOCK, len(count)))
+            small = np.minimum(count, 255).astype(np.uint16).reshape(-1, min(BLOCK, len(count)))
             for k, row in enumerate(small):
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([row.tobytes()], pa.binary())], ["block", "counts"])
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([turn], pa.int32()), pa.array([row.tobytes()], pa.binary())], ["block", "turn", "counts"])
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
+    def added(batches: Iterator[pa.RecordBatch]) -> dict[tuple[int, int], np.ndarray]:
+        total: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
-            for k, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                row = np.frombuffer(counts, np.uint8)
-                total[k] = total[k] + row if k in total else row.astype(np.int64)
-        for k, row in total.items():
+            for k, turn, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                row = np.frombuffer(counts, np.uint16).astype(np.int64)
+                total[k, turn] = total[k, turn] + row if (k, turn) in total else row
+        return total
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (k, _), row in added(batches).items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([0], pa.int32()), pa.array([np.minimum(row, 65535).astype(np.uint16).tobytes()], pa.binary())], ["block", "turn", "counts"])
+
+    def levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (k, _), row in added(batches).items():
             level = np.minimum(255, 4 * np.log2(1 + row)).astype(np.uint8)
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([level.tobytes()], pa.binary())], ["block", "counts"])
 
-    schema = "block int, counts binary"
-    rows = docs.select(text_col).transform(map_arrow, run, schema).repartition(8, "block").transform(map_arrow, add, schema).collect()
+    schema = "block int, turn int, counts binary"
+    lots = docs.select(text_col).transform(map_arrow, run, schema).repartition("block", "turn").transform(map_arrow, add, schema)
+    rows = lots.repartition("block").transform(map_arrow, levels, "block int, counts binary").collect()
     out = np.zeros(1 << bits, np.uint8)
     for r in rows:
         out[r["block"] * BLOCK : r["block"] * BLOCK + len(r["counts"])] = np.frombuffer(r["counts"], np.uint8)
@@ -146,14 +164,12 @@ def plausible(pairs: DataFrame, nodes: DataFrame, threshold: tuple[int, int]) ->
     return pairs.join(first, "a").join(second, "b").select("a", "b", "__n", "__m", "__x", "__y").transform(map_arrow, run, "a long, b long")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int, threshold: tuple[int, int]) -> DataFrame:
-    """Those of pairs (a, b) whose sets link. Sets are made anew from the texts that take part and meet at a."""
-    num, den = threshold
+def compared(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
+    """pairs (a, b) with common, n and m: what their sets have in common, and their sizes. Sets are made anew from the texts that take part and meet at a, those of frequent centres at b."""
     parts = pairs.select(F.col("b").alias("__node"), F.struct(F.col("a").alias("key"), F.col("b").alias("other")).alias("__part"))
     parts = parts.unionByName(pairs.select("a").distinct().select(F.col("a").alias("__node"), F.struct(F.col("a").alias("key"), F.lit(None).cast("long").alias("other")).alias("__part")))
     parts = cut(parts.groupBy("__node").agg(F.collect_list("__part").alias("__parts"), F.count("*").alias("__n")), "parts")
     total = parts.agg(F.sum("__n")).first()[0] or 0
-    parts = parts.drop("__n")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -163,17 +179,33 @@ def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, size
                 hashes = hashes.astype(np.int64)
                 for i in range(c.n):
                     own, wanted = hashes[at[i] : at[i + 1]], keys[c.lo + i]
-                    for lo in range(0, len(wanted), 256):
-                        some = wanted[lo : lo + 256]
+                    step = max(1, ROWS_ITEMS // max(1, len(own)))
+                    for lo in range(0, len(wanted), step):
+                        some = wanted[lo : lo + step]
                         items = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1) * len(own), pa.int32()), pa.array(np.tile(own, len(some))))
                         yield pa.RecordBatch.from_arrays([pa.array([x["key"] for x in some], pa.int64()), pa.array([x["other"] for x in some], pa.int64()), items], ["a", "b", "__items"])
 
-    some = docs.select(F.col(id_col).cast("long").alias("__node"), text_col).join(F.broadcast(parts) if total <= SMALL_ROWS else parts, "__node")
+    some = docs.select(F.col(id_col).cast("long").alias("__node"), text_col).join(F.broadcast(parts.drop("__n")) if total <= SMALL_ROWS else parts.drop("__n"), "__node")
     sets = cut(some.select(text_col, "__parts").transform(map_arrow, run, "a long, b long, __items array<long>"), "sets")
-    centres = sets.filter("b IS NULL").select("a", F.col("__items").alias("__other"))
+    rows = sets.filter("b IS NOT NULL")
+    often = rows.groupBy("a").agg(F.count("*").alias("__n"))
+    centres = sets.filter("b IS NULL").select("a", F.col("__items").alias("__other")).join(often, "a")
+    centres = centres.withColumn("__n", F.when(F.size("__other") <= LONG, F.col("__n")).otherwise(0))
     common = F.size(F.array_intersect("__items", "__other")).cast("long")
-    union = F.size("__items") + F.size("__other") - common
-    return sets.filter("b IS NOT NULL").join(centres, "a").filter((den * common >= num * union) & (common > 0)).select("a", "b").distinct()
+    out = cut(counted_join(rows, centres, ["a"], total, 50).select("a", "b", common.alias("common"), F.size("__other").cast("long").alias("n"), F.size("__items").cast("long").alias("m")).distinct(), "compared")
+    release(parts, sets)
+    return out
+
+
+def linked(threshold: tuple[int, int]) -> F.Column:
+    """Of common, n and m: whether the sets link."""
+    num, den = threshold
+    return (F.col("common") > 0) & (den * F.col("common") >= num * (F.col("n") + F.col("m") - F.col("common")))
+
+
+def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int, threshold: tuple[int, int]) -> DataFrame:
+    """Those of pairs (a, b) whose sets link."""
+    return compared(pairs, docs, id_col, text_col, size).filter(linked(threshold)).select("a", "b")
 
 
 def possible(n: str, p: str, m: str, q: str, threshold: tuple[int, int]) -> F.Column:
@@ -184,12 +216,26 @@ def possible(n: str, p: str, m: str, q: str, threshold: tuple[int, int]) -> F.Co
     return (den * F.least(n, m) >= num * F.greatest(n, m)) & ((num + den) * most >= num * (n + m))
 
 
+def size_block(size: F.Column) -> F.Column:
+    return F.floor(F.log(size.cast("double")) / float(np.log(BLOCK_RATIO))).cast("int")
+
+
+def by_centre(threshold: tuple[int, int], n: str, x: str, m: str, y: str) -> F.Column:
+    """Of sets of n and m shingles that differ from one centre in x and y shingles: whether they link, or null where these figures don't tell."""
+    num, den = threshold
+    n, x, m, y = (F.col(c) for c in (n, x, m, y))
+    room = (den - num) * (n + m)  # they link if they differ in no more than this over num + den
+    return F.when((num + den) * (x + y) <= room, True).when((num + den) * F.abs(x - y) > room, False)
+
+
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
     """docs' ids with n_shingles and component_id, one row per row.
 
     Sets link when den * intersection >= num * union. component_id is the smallest id that links
     lead to. Null, empty and blank texts have no shingles and link with nothing. Rows of one id
-    are one node. A row without an id has its size and no component.
+    are one node. A row without an id has its size and no component. Ties and repeated rows link as
+    equal sets do. An empty table gives an empty result. Other columns are left out, so their names
+    don't matter.
     """
     num, den = threshold
     levels = sketch(docs, text_col, size)
@@ -198,32 +244,45 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     same = known.groupBy("__set").agg(F.min("__node").alias("__low"), F.count("*").alias("__n")).filter("__n > 1")
     twins = counted_join(known.select("__node", "__set"), same, ["__set"], known.count()).filter("__node <> __low").select(F.col("__low").alias("a"), F.col("__node").alias("b"))
 
-    # index lists of two sets or more, in order of block and place, each row with its block's centre
-    lists = known.select("__node", F.col("__size").cast("int").alias("__size"), F.posexplode("__tokens").alias("__place", "__token")).repartition("__token")
-    lists = lists.withColumn("__block", F.floor(F.log(F.col("__size").cast("double")) / float(np.log(den / num))).cast("int"))
-    in_block = W.partitionBy("__token", "__block").orderBy("__place", "__node").rowsBetween(W.unboundedPreceding, W.currentRow)
-    lists = lists.withColumn("__centre", F.first(F.struct("__node", "__size", "__place")).over(in_block)).withColumn("__n", F.count("*").over(W.partitionBy("__token"))).filter("__n > 1").drop("__n")
-    lists = cut(lists, "lists")
-    stars = lists.select("__node", "__size", "__place", F.col("__centre.__node").alias("a"), F.col("__centre.__size").alias("__cs"), F.col("__centre.__place").alias("__cp"))
+    # index lists of two sets or more; counts first, so that a frequent shingle's list needn't meet in one task
+    rows = known.select("__node", F.col("__size").cast("int").alias("__size"), F.posexplode("__tokens").alias("__place", "__token"))
+    often = cut(rows.groupBy("__token").agg(F.count("*").alias("__n")).filter("__n > 1"), "often")
+    lists = counted_join(rows, often, ["__token"], known.agg(F.sum(F.size("__tokens"))).first()[0] or 0)
+    lists = cut(lists.withColumn("__group", F.floor(F.log(F.col("__size").cast("double")) / float(np.log(den / num))).cast("int")), "lists")
+    centres = lists.groupBy("__token", "__group").agg(F.min(F.struct("__place", "__node", "__size")).alias("__centre"), F.count("*").alias("__n"))
+    placed = cut(counted_join(lists, cut(centres, "centres"), ["__token", "__group"], lists.count()), "placed")
+    release(often, lists)
+    stars = placed.select("__node", "__size", "__place", F.col("__centre.__node").alias("a"), F.col("__centre.__size").alias("__cs"), F.col("__centre.__place").alias("__cp"))
     stars = stars.filter("__node <> a").filter(possible("__size", "__place", "__cs", "__cp", threshold)).select("a", F.col("__node").alias("b")).distinct()
-    stars = cut(plausible(stars, known, threshold), "pairs")
-    links = cut(verified(stars, docs, id_col, text_col, size, threshold).unionByName(twins), "links")
+    answers = compared(cut(plausible(stars, known, threshold), "pairs"), docs, id_col, text_col, size)
+    links = cut(answers.filter(linked(threshold)).select("a", "b").unionByName(twins), "links")
     first = cut(connected(links), "components")
 
     # what still may link: sets of different components that meet in a list
     first = first.select(F.col("id").alias("__node"), F.col("component").alias("__comp"))
-    placed = lists.drop("__centre").join(F.broadcast(first) if first.count() <= SMALL_ROWS else first, "__node", "left")
-    placed = cut(placed.withColumn("__comp", F.coalesce("__comp", "__node")), "placed")
-    mixed = placed.groupBy("__token").agg(F.min("__comp").alias("__a"), F.max("__comp").alias("__b")).filter("__a <> __b").select("__token")
-    rest = placed.join(mixed, "__token")
-    # a set meets those of its size or more, in its block and the next one
-    other = rest.select("__token", *(F.col(c).alias(f"{c}2") for c in ("__node", "__size", "__place", "__comp")), F.explode(F.array("__block", F.col("__block") - 1)).alias("__block"))
+    owned = placed.join(F.broadcast(first) if first.count() <= SMALL_ROWS else first, "__node", "left").withColumn("__comp", F.coalesce("__comp", "__node"))
+    owned = cut(owned.select("__token", "__node", "__size", "__place", F.col("__centre.__node").alias("__from"), "__comp"), "owned")
+    mixed = owned.groupBy("__token").agg(F.min("__comp").alias("__a"), F.max("__comp").alias("__b"), F.count("*").alias("__n")).filter("__a <> __b").select("__token", "__n")
+    rest = counted_join(owned, cut(mixed, "mixed"), ["__token"], owned.count())
+    several = known.groupBy("__node").agg((F.min("__set") != F.max("__set")).alias("__several")).filter("__several")  # ids of several sets: no figure is theirs alone
+    single = answers.join(several, F.col("a") == F.col("__node"), "left_anti")
+    apart = single.select(F.col("a").alias("__from"), F.col("b").alias("__node"), (F.col("n") + F.col("m") - 2 * F.col("common")).alias("__apart"))
+    rest = rest.join(apart, ["__from", "__node"], "left").join(several, "__node", "left")
+    own = F.when(F.col("__from") == F.col("__node"), 0).otherwise(F.col("__apart"))
+    rest = cut(rest.withColumn("__apart", F.when(F.col("__several").isNull(), own)).drop("__several"), "rest")
+    other = rest.select("__token", size_block(F.col("__size")).alias("__block"), *(F.col(c).alias(f"{c}2") for c in ("__node", "__size", "__place", "__comp", "__from", "__apart")))
+    reach = F.floor((F.col("__size") - F.col("__place")) * (num + den) / num) - F.col("__size")
+    probes = rest.withColumn("__reach", reach).filter("__reach >= __size").withColumn("__block", F.explode(F.sequence(size_block(F.col("__size")), size_block(F.col("__reach")))))
     later = (F.col("__size") < F.col("__size2")) | (F.col("__size") == F.col("__size2")) & (F.col("__node") < F.col("__node2"))
-    pairs = rest.join(other, ["__token", "__block"]).filter(later & (F.col("__comp") != F.col("__comp2"))).filter(possible("__size", "__place", "__size2", "__place2", threshold))
-    pairs = pairs.select(F.col("__node").alias("a"), F.col("__node2").alias("b")).distinct().join(stars, ["a", "b"], "left_anti").join(stars.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
-    pairs = cut(plausible(pairs, known, threshold), "pairs")
-    found = verified(pairs, docs, id_col, text_col, size, threshold)
+    met = probes.join(other, ["__token", "__block"]).filter(later & (F.col("__comp") != F.col("__comp2"))).filter(possible("__size", "__place", "__size2", "__place2", threshold))
+    told = F.when(F.col("__from") == F.col("__from2"), by_centre(threshold, "__size", "__apart", "__size2", "__apart2"))
+    met = met.select(F.col("__node").alias("a"), F.col("__node2").alias("b"), told.alias("told")).groupBy("a", "b").agg(F.max("told").alias("told"))
+    met = cut(met.filter("told IS NULL OR told"), "met")
+    done = answers.select("a", "b").unionByName(answers.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    pairs = cut(plausible(met.filter("told IS NULL").select("a", "b").join(done, ["a", "b"], "left_anti"), known, threshold), "pairs")
+    found = verified(pairs, docs, id_col, text_col, size, threshold).unionByName(met.filter("told").select("a", "b"))
     labels = connected(cut(links.unionByName(found), "links")).select(F.col("id").alias("__node"), "component")
+    release(placed, owned, rest)
     return nodes.join(labels, "__node", "left").select(F.col("__node").alias(id_col), F.col("__size").alias("n_shingles"), F.coalesce("component", "__node").alias("component_id"))
 
 
