@@ -29,7 +29,8 @@ FAMILIES = {
     "semitic": ("ar", "he", "mt"),
     "indo-aryan": ("hi", "bn", "mr", "ne", "ur", "pa", "gu"),
 }
-#: Learnt from at most so many documents of each language.
+#: Learnt from at most so many documents of each of at most so many languages.
+LANGUAGES = 200
 PER_LANGUAGE = 1200
 DIMENSIONS = 2048
 GRAMS = (2, 3, 4)
@@ -118,13 +119,15 @@ def fit(x: np.ndarray, lang: np.ndarray) -> Model:
     return Model(families, duels(sorted(families), family, x), {k: duels(v, lang, x) for k, v in families.items()})
 
 
-def train(docs: DataFrame, per_language: int = PER_LANGUAGE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Fit on about per_language documents of each language, picked by a hash of the id; whole texts.
+def train(docs: DataFrame, per_language: int = PER_LANGUAGE, languages: int = LANGUAGES, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
+    """Fit on about per_language documents of each of the languages most frequent values, picked by a hash of the id; whole texts.
 
-    Rows without language or text teach nothing. Without any row the model answers `und`.
+    Rows without language or text teach nothing. Without any row the model answers `und`. Rows that
+    share an id are picked together; the order of rows and other columns don't matter.
     """
     known = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = {r[0]: r[1] for r in known.groupBy(lang_col).count().collect()}
+    counted = known.groupBy(lang_col).agg(F.count("*").alias("n")).orderBy(F.desc("n"), lang_col).limit(languages)
+    counts = {r[0]: r[1] for r in counted.collect()}
     if not counts:
         return Model({}, [], {})
     share = F.lit(0.0)
@@ -132,6 +135,7 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, id_col: str = "doc_
         share = F.when(F.col(lang_col) == name, F.lit(min(1.0, per_language / n))).otherwise(share)
     picked = known.filter((F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("lid")), F.lit(1 << 30)) / float(1 << 30)) < share)
     sample = picked.select(text_col, lang_col).transform(map_arrow, _hashed, f"lang string, x binary").toPandas()
+    sample = sample.sort_values(["lang", "x"], ignore_index=True)
     if not len(sample):
         return Model({}, [], {})
     return fit(np.stack([np.frombuffer(v, np.float16) for v in sample["x"]]).astype(np.float32), sample["lang"].to_numpy(object))
@@ -145,7 +149,11 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, lang_pred, score) of every row; `und` and 0 for a null text or one without a letter."""
+    """(id, lang_pred, score) of every row; `und` and 0 for a null text or one without a letter.
+
+    A prediction depends on the text alone; tied duels go by summed margins. Very long texts are read
+    whole. An empty table gives an empty result. Other columns are left out.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
