@@ -217,6 +217,39 @@ def brute_components(rows, k, test):
     return {i: find(i) for i, _ in rows}
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_derived_answers_lose_no_link(spark, seed):
+    """Families whose members drift away from their centre, of sizes that make lists with many blocks, and ids with several texts."""
+    random = np.random.default_rng(seed)
+    rows = []
+    for family in range(3):
+        words = prose(100 * seed + family, 60 + 50 * family).split()
+        for i in range(45):
+            mine = list(words)
+            for _ in range(int(random.integers(0, 6))):
+                k = int(random.integers(0, len(mine)))
+                mine[k : k + int(random.integers(0, 2))] = [f"edit{random.integers(0, 25)}"] * int(random.integers(0, 2))
+            rows.append((family * 45 + i, " ".join(mine)))
+    rows += [(7, rows[60][1]), (50, rows[100][1])]
+    links = defaultdict(set)
+    for i, t in rows:
+        for j, u in rows:
+            x, y = shingles(t, 3), shingles(u, 3)
+            if x and y and 100 * len(x & y) >= 90 * len(x | y):
+                links[i].add(j)
+    expected = {}
+    for i, _ in rows:
+        seen, todo = set(), [i]
+        while todo:
+            k = todo.pop()
+            if k not in seen:
+                seen.add(k)
+                todo += links[k]
+        expected[i] = min(seen)
+    got = jaccard_join.components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert len(got) == len(rows) and {r["doc_id"]: r["component_id"] for r in got} == expected and len(set(expected.values())) > 3
+
+
 def test_join_matches_all_pairs(spark):
     base = [prose(s, 120) for s in range(4)]
     rows, random = [], np.random.default_rng(5)
@@ -348,6 +381,80 @@ def test_shared_passages_are_told_at_any_length_in_bytes(spark):
     assert all(r["n_removed"] == 0 for r in got.values())
 
 
+def registered(spark, folder, name):
+    from tessera.llm import registry
+
+    return registry.queries()[name](spark, str(folder))
+
+
+def test_held_out_rows_teach_nothing(spark, tmp_path):
+    """The registered classifiers: the crc32 rules, and no label of a held-out row, no lang, source or id in a score."""
+    import zlib
+
+    random = np.random.default_rng(3)
+    rows, labels = [], []
+    for i in range(160):
+        bad = i % 4 == 0
+        words = prose(i, 60, 300).split()
+        if bad:
+            words[int(random.integers(0, 60))] = "nincompoop"
+            words = [w + "###" if k % 3 == 0 else w for k, w in enumerate(words)]
+        rows.append((i, " ".join(words), "en" if i % 2 else "de", f"s{i % 3}", 1))
+        labels.append((i, int(not bad), int(bad)))
+    rest = lambda i, m: zlib.crc32(str(i).encode()) % m
+    outputs = {}
+    for kind in ("plain", "changed"):
+        folder = tmp_path / kind
+        changed = kind == "changed"
+        # held-out labels flipped, other columns and held-out languages replaced
+        df = [(i, t, ("xx" if rest(i, 4) == 2 else la) if changed else la, "s" if changed else s, n) for i, t, la, s, n in rows]
+        spark.createDataFrame(df, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
+        known = [(i, 1 - q if changed and rest(i, 4) == 2 else q, 1 - t if changed and rest(i, 5) == 0 else t) for i, q, t in labels]
+        spark.createDataFrame(known, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+        outputs[kind] = {n: {r["doc_id"]: r.asDict() for r in registered(spark, folder, n).collect()} for n in ("op1_string_kernel_toxicity", "op5_hierarchical_language_id", "op9_bradley_terry_quality")}
+    assert outputs["plain"] == outputs["changed"]
+    one, five, nine = outputs["plain"].values()
+    for i, _, _, _, _ in rows:
+        assert one[i]["held_out"] == (rest(i, 5) == 0) and five[i]["held_out"] == nine[i]["held_out"] == (rest(i, 4) == 2)
+        assert one[i]["predicted"] == int(one[i]["score"] >= 0.5) and nine[i]["predicted"] == int(nine[i]["score"] >= 0.7)
+    assert np.mean([one[i]["predicted"] == (i % 4 == 0) for i in one if one[i]["held_out"]]) > 0.9
+    assert np.mean([nine[i]["predicted"] == (i % 4 != 0) for i in nine if nine[i]["held_out"]]) > 0.9
+
+
+def test_very_long_texts_are_scored_whole(spark):
+    words = prose(5, 200000, 2000)
+    df = spark.createDataFrame([(i, prose(i, 50) + (" nincompoop" if i % 2 else "")) for i in range(60)] + [(100, words), (101, words + " you nincompoop")], "doc_id long, text string")
+    known = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    got = by_id(toxicity.score(df, toxicity.train(df, known)))
+    assert len(words) > 1_500_000 and (got[100]["predicted"], got[101]["predicted"]) == (0, 1)
+
+
+def test_a_landmark_of_four_letters_is_like_itself():
+    letters = "abcdefghijklmnopqrstuvwxyzñéêôçßäöü"
+    for a in letters:
+        for b in letters:
+            marks = toxicity.Landmarks([f"{a}{b}ko"])
+            words = np.zeros((1, toxicity.WIDTH), np.uint16)
+            words[0, :4] = toxicity.encode(f"{a}{b}ko")
+            assert marks.similarities(words)[0, 0] == pytest.approx(1.0), (a, b)
+
+
+def test_lines_of_a_long_document_are_dropped_in_linear_time(spark):
+    import time
+
+    text = "\n".join(f"line number {i}" for i in range(60000))
+    df = spark.createDataFrame([(1, text), (2, text + "\nits own last line")], "doc_id long, text string")
+    began = time.time()
+    got = by_id(line_dedup.drop_repeated_lines(df))
+    assert (got[1]["n_dropped"], got[2]["n_dropped"], got[2]["text"]) == (0, 60000, "its own last line") and time.time() - began < 60
+
+
+def test_lines_of_three_documents(spark):
+    df = spark.createDataFrame([(k, f"in all of them\nin the first two\nown line {k}" if k < 3 else "in all of them") for k in (1, 2, 3)] + [(2, "in all of them\nanother text")], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["text"]) for r in line_dedup.drop_repeated_lines(df, min_docs=3).collect())
+    assert got == [(1, "in all of them\nin the first two\nown line 1"), (2, "another text"), (2, "in the first two\nown line 2"), (3, "")]
+
+
 # byte-level BPE
 
 
