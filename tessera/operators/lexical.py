@@ -60,17 +60,22 @@ def score(docs: DataFrame, id_col: str, tokens: Column, query: list[str], condit
     return chosen.crossJoin(F.broadcast(stats)).withColumn("score", total).drop(*hidden, *stats.columns)
 
 
+#: Query terms up to this many (query, term) rows are sent to every executor; more of them are joined.
+SMALL_QUERIES = 200_000
+
+
 def score_queries(docs: DataFrame, id_col: str, tokens: Column, queries: DataFrame, query_id: str, query_tokens: Column, k1: float = K1, b: float = B) -> DataFrame:
     """(query id, id, score) of all documents that share a term, for a table of queries.
 
     Postings are cut to the queries' terms before they are grouped; a term's weight times how often
-    the query has it is summed per pair.
+    the query has it is summed per pair. While the queries' terms are few, counted first, they travel
+    and postings are shuffled by document only, so a frequent term's list never meets in one task.
     """
     wanted = queries.select(query_id, F.explode(query_tokens).alias("term")).groupBy(query_id, "term").agg(F.count("*").alias("__times"))
-    vocabulary = wanted.select("term").distinct()
+    travel = F.broadcast if wanted.count() <= SMALL_QUERIES else (lambda df: df)
     dl = docs.select(id_col, tokens.alias("__tokens")).withColumn("__dl", F.coalesce(F.size("__tokens"), F.lit(0)))
     stats = dl.agg(F.count("*").alias("__n"), F.avg("__dl").alias("__mean"))
-    postings = dl.select(id_col, "__dl", F.explode("__tokens").alias("term")).join(vocabulary, "term", "left_semi").groupBy(id_col, "__dl", "term").agg(F.count("*").alias("tf"))
+    postings = dl.select(id_col, "__dl", F.explode("__tokens").alias("term")).join(travel(wanted.select("term").distinct()), "term", "left_semi").groupBy(id_col, "__dl", "term").agg(F.count("*").alias("tf"))
     df = postings.groupBy("term").agg(F.count(F.when(F.col("tf") > 0, 1)).alias("df"))  # of the same columns as below, so that Spark shuffles the postings once
-    weighted = postings.join(df, "term").crossJoin(F.broadcast(stats)).select(id_col, "term", (idf(F.col("df"), F.col("__n")) * weight(F.col("tf"), F.col("__dl"), F.col("__mean"), k1, b)).alias("__w"))
-    return weighted.join(wanted, "term").groupBy(query_id, id_col).agg(F.sum(F.col("__w") * F.col("__times")).alias("score"))
+    weighted = postings.join(travel(df), "term").crossJoin(F.broadcast(stats)).select(id_col, "term", (idf(F.col("df"), F.col("__n")) * weight(F.col("tf"), F.col("__dl"), F.col("__mean"), k1, b)).alias("__w"))
+    return weighted.join(travel(wanted), "term").groupBy(query_id, id_col).agg(F.sum(F.col("__w") * F.col("__times")).alias("score"))

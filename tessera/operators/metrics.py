@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions.vectors import wilson
@@ -14,11 +15,21 @@ def percentile_linear(value: Column, p: float) -> Column:
 
 
 def percentile_lower_index(value: Column, p: float) -> Column:
-    """The value at place floor((n - 1) * p), from 0; nulls left out. Neither interpolated nor a nearest rank."""
+    """The value at place floor((n - 1) * p), from 0; nulls left out. Neither interpolated nor a nearest rank. A group's values meet in one row: for small groups; see lower_index()."""
     values = F.sort_array(F.collect_list(value))
     return F.when(F.size(values) > 0, F.element_at(values, F.floor((F.size(values) - 1) * F.lit(p)).cast("int") + 1))
 
 
+def lower_index(df: DataFrame, group: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """(group, name for each of shares): as percentile_lower_index(), for groups of any size. Equal values are counted first, and a group's distinct values are passed in order, none of them held."""
+    counted = df.filter(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("__n"))
+    order = W.partitionBy(*group).orderBy(value)
+    total = F.sum("__n").over(W.partitionBy(*group))
+    placed = counted.withColumn("__upto", F.sum("__n").over(order.rowsBetween(W.unboundedPreceding, W.currentRow))).withColumn("__all", total)
+    reached = lambda p: F.min(F.when(F.col("__upto") > F.floor((F.col("__all") - 1) * F.lit(p)), F.col(value)))
+    return placed.groupBy(*group).agg(*(reached(p).alias(name) for name, p in shares.items()))
+
+
 def percentile_nearest_rank(value: str, p: float) -> Column:
     """The value at place ceil(n * p), from 1."""
     return F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {value})")
@@ -106,7 +117,5 @@ def win_tie_loss(pairs: DataFrame) -> DataFrame:
 
 def authority_violations(ranked: DataFrame, group: list[str], rank: str, tier: str) -> DataFrame:
     """(group, violations): rows of a list that stand behind one of lower authority."""
-    from pyspark.sql import Window as W
-
     worse = F.lag(tier).over(W.partitionBy(*group).orderBy(rank)) > F.col(tier)
     return ranked.withColumn("__v", F.coalesce(worse, F.lit(False))).groupBy(*group).agg(F.sum(F.col("__v").cast("long")).alias("violations"))

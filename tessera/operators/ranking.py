@@ -38,6 +38,35 @@ def fused(df: DataFrame, group: list[str], lexical: str, dense: str, tie: str, k
     return ranked.withColumn("fused", first + second)
 
 
+def fused_top(df: DataFrame, lexical: str, dense: str, tie: str, k: int, rrf_k: int = RRF_K, lexical_weight: float = LEXICAL_WEIGHT, dense_weight: float = DENSE_WEIGHT) -> DataFrame:
+    """The first k rows of fused() for one query, without sorting all candidates.
+
+    Only rows near the top of either list can come first: what is below place r in both gets
+    (lexical_weight + dense_weight) / (rrf_k + r + 1) at most. So the first r of each list are
+    candidates, their ranks are counted over all rows, and if the k-th best doesn't beat that
+    bound, r grows. df is read several times; a table is best.
+    """
+    weight = lexical_weight + dense_weight
+    r = max(k, int(weight * (rrf_k + k) / max(lexical_weight, dense_weight)) - rrf_k + 1)
+    low, high = F.coalesce(lexical, F.lit(0.0)), F.coalesce(dense, F.lit(0.0))
+    n = df.count()
+    while True:
+        first = df.filter(F.col(lexical) > 0).orderBy(F.desc(lexical), tie).limit(r)
+        second = df.filter(F.col(dense).isNotNull()).orderBy(F.desc(dense), tie).limit(r)
+        candidates = df.sparkSession.createDataFrame(first.unionByName(second).dropDuplicates([tie]).collect(), df.schema)
+        own = candidates.select(F.col(tie).alias("__id"), low.alias("__l"), high.alias("__d"))
+        ahead = df.select(F.col(tie).alias("__other"), low.alias("__x"), high.alias("__y")).crossJoin(F.broadcast(own))
+        before = lambda x, y: ((F.col(x) > F.col(y)) | ((F.col(x) == F.col(y)) & (F.col("__other") < F.col("__id")))).cast("int")
+        ranks = ahead.groupBy("__id").agg((F.sum(before("__x", "__l")) + 1).cast("int").alias("lexical_rank"), (F.sum(before("__y", "__d")) + 1).cast("int").alias("dense_rank"))
+        first_part = F.when(low > 0, lexical_weight / (rrf_k + F.col("lexical_rank"))).otherwise(0.0)
+        second_part = F.when(F.col(dense).isNotNull(), dense_weight / (rrf_k + F.col("dense_rank"))).otherwise(0.0)
+        best = candidates.join(ranks, candidates[tie] == ranks["__id"]).drop("__id").withColumn("fused", first_part + second_part).orderBy(F.desc("fused"), tie).limit(k)
+        rows = best.collect()
+        if r >= n or len(rows) == k and rows[-1]["fused"] > weight / (rrf_k + r + 1):
+            return df.sparkSession.createDataFrame(rows, best.schema)
+        r *= 4
+
+
 def confident(df: DataFrame, group: list[str], score: str, tie: str, least: float = LEAST_SCORE, margin: float = LEAST_MARGIN) -> DataFrame:
     """The best row of each group, if it scores least and leads the second by margin; with the lead (null if alone)."""
     order = W.partitionBy(*group).orderBy(F.col(score).desc(), tie)

@@ -75,7 +75,7 @@ def percentile_linear(spark, sf_dir):
 
 @query("SELECT user_id, round(list_sort(list(value))[(floor((count(value) - 1) * 0.9) + 1)::BIGINT], 6) AS p90 FROM events WHERE value IS NOT NULL GROUP BY user_id")
 def percentile_lower_index(spark, sf_dir):
-    return Tables(spark, sf_dir).events.filter("value IS NOT NULL").groupBy("user_id").agg(SIX(metrics.percentile_lower_index(F.col("value"), 0.9)).alias("p90"))
+    return metrics.lower_index(Tables(spark, sf_dir).events, ["user_id"], "value", {"p90": 0.9}).withColumn("p90", SIX("p90"))
 
 
 @query("SELECT event_type, count(value) AS n, round(avg(value), 6) AS mean_value, round(quantile_cont(value, 0.5), 6) AS median_value, round(quantile_disc(value, 0.95), 6) AS p95_value, round(max(value), 6) AS max_value FROM events GROUP BY event_type")

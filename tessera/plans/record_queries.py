@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -11,19 +9,14 @@ from tessera import corpus, retrieve
 from tessera.functions import ranges as R
 from tessera.functions import text as X
 from tessera.operators import constraints, lineage, metrics, review, screening, selection
-from tessera.plans.base import Tables, query
-from tessera.session import scratch_dir
+from tessera.plans.base import Tables, query, scratch
 from tessera.sources import files
 
 
-def _scratch(spark, name: str) -> str:
-    return f"{scratch_dir(spark)}/tessera-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-
-
 @query("SELECT doc_id, lang, n_chars, sha256(text) AS digest FROM documents")
 def jsonl_scan(spark, sf_dir):
     """Documents written as JSON lines, with blank lines between, and read by their schema."""
-    docs, path = Tables(spark, sf_dir).documents, _scratch(spark, "lines")
+    docs, path = Tables(spark, sf_dir).documents, scratch(spark, "lines")
     docs.select(F.explode(F.array(F.to_json(F.struct(*docs.columns)), F.lit(""))).alias("value")).write.text(path)
     return files.read_jsonl(spark, path, "doc_id long, text string, lang string, n_chars long").select("doc_id", "lang", "n_chars", F.sha2("text", 256).alias("digest"))
 
@@ -31,7 +24,7 @@ def jsonl_scan(spark, sf_dir):
 @query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
 def json_array_scan(spark, sf_dir):
     """A JSON document that is one array of objects."""
-    nation, path = Tables(spark, sf_dir).nation, _scratch(spark, "array")
+    nation, path = Tables(spark, sf_dir).nation, scratch(spark, "array")
     nation.agg(F.to_json(F.sort_array(F.collect_list(F.struct("n_nationkey", "n_name", "n_regionkey")))).alias("value")).write.text(path)
     return files.read_json(spark, path, "n_nationkey long, n_name string, n_regionkey long")
 
@@ -39,7 +32,7 @@ def json_array_scan(spark, sf_dir):
 @query("SELECT conv_id, 2 * turn + 1 AS line FROM conversations WHERE turn % 7 = 3")
 def bad_json_lines(spark, sf_dir):
     """Lines that aren't objects, by their number: a file for each conversation, every seventh turn broken, a blank line behind each turn."""
-    c, path = Tables(spark, sf_dir).conversations, _scratch(spark, "broken")
+    c, path = Tables(spark, sf_dir).conversations, scratch(spark, "broken")
     body = F.when(F.col("turn") % 7 == 3, F.lit("[3]")).otherwise(F.to_json(F.struct("conv_id", "turn")))
     lines = c.groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", body.alias("body")))), lambda x: x["body"]), "\n\n").alias("value"))
     lines.repartition("conv_id").write.partitionBy("conv_id").option("maxRecordsPerFile", 1).text(path)
@@ -50,7 +43,7 @@ def bad_json_lines(spark, sf_dir):
 @query("SELECT n_nationkey, n_name FROM nation")
 def replaced_and_frozen(spark, sf_dir):
     """A table replaced as a whole, then frozen: writing the same rows again changes nothing."""
-    nation, path = Tables(spark, sf_dir).nation.select("n_nationkey", "n_name"), _scratch(spark, "sink")
+    nation, path = Tables(spark, sf_dir).nation.select("n_nationkey", "n_name"), scratch(spark, "sink")
     files.replace_atomically(nation.limit(3), f"{path}-a")
     files.replace_atomically(nation, f"{path}-a")
     kept = [files.freeze(spark.read.parquet(f"{path}-a"), f"{path}-b") for _ in range(2)]
@@ -61,7 +54,7 @@ def replaced_and_frozen(spark, sf_dir):
 @query("SELECT c_custkey, c_mktsegment FROM customer")
 def appended_once(spark, sf_dir):
     """Results appended in two parts under a lock; what is there already stays out."""
-    c, path = Tables(spark, sf_dir).customer.select("c_custkey", "c_mktsegment"), _scratch(spark, "log")
+    c, path = Tables(spark, sf_dir).customer.select("c_custkey", "c_mktsegment"), scratch(spark, "log")
     with files.OutputLock(spark, path):
         files.append_results(c.filter("c_custkey % 2 = 0"), path, ["c_custkey"])
         logged = files.read_jsonl(spark, path, c.schema)
@@ -90,7 +83,7 @@ RECORDS_SQL = """r AS (SELECT doc_id, doc_id % 5 AS k, list_extract(['expert_ann
 UNION ALL SELECT 'measure_status', status, count(*) FROM r GROUP BY ALL UNION ALL SELECT 'measure_scope', scope, count(*) FROM r GROUP BY ALL""")
 def corpus_build_stats(spark, sf_dir):
     """Lineages concatenated, checked against every rule, put in place and counted."""
-    records, path = _records(spark, sf_dir), _scratch(spark, "corpus")
+    records, path = _records(spark, sf_dir), scratch(spark, "corpus")
     lineages = [records.filter(F.col("evidence_type") == x) for x in ("expert_annotation", "web_database", "sumijo_feedback")]
     return corpus.stats(corpus.build(lineages, path))
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as X
 from tessera.operators import lexical, metrics, ranking, selection
-from tessera.plans.base import Tables, query
+from tessera.plans.base import Tables, query, scratch
 
 TERMS = ["the", "thion", "erand", "que", "the"]
 SIX = lambda c: F.round(c, 6)
@@ -119,18 +119,20 @@ fusion AS (SELECT *, round(CASE WHEN lexical > 0 THEN 0.35 / (60 + lexical_rank)
 
 
 def hybrid(spark, sf_dir):
-    """All documents with lexical and dense scores for a literal query and the vector 0, fused."""
+    """All documents with lexical and dense scores for a literal query and the vector 0, as a table."""
     t = Tables(spark, sf_dir)
     scored = lexical.score(t.documents.select("doc_id", "text"), "doc_id", X.tokens(F.col("text")), TERMS).select("doc_id", SIX("score").alias("lexical"))
     e = t.embeddings
     dense = ranking.cosine(e.filter("vec_id = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), e, "query_id", "vec_id", "q", "embedding")
-    both = scored.join(dense.select(F.col("vec_id").alias("doc_id"), SIX("score").alias("dense")), "doc_id", "left").withColumn("query", F.lit(0))
-    return ranking.fused(both, ["query"], "lexical", "dense", "doc_id").withColumn("fused", F.round("fused", 9))
+    both, path = scored.join(dense.select(F.col("vec_id").alias("doc_id"), SIX("score").alias("dense")), "doc_id", "left"), scratch(spark, "hybrid")
+    both.write.parquet(path)
+    return spark.read.schema(both.schema).parquet(path)
 
 
 @query(f"WITH {HYBRID_SQL} SELECT doc_id, lexical, dense, lexical_rank, dense_rank, fused FROM fusion WHERE fused > 0 ORDER BY fused DESC, doc_id LIMIT 10")
 def rrf_hybrid_topk(spark, sf_dir):
-    return hybrid(spark, sf_dir).filter("fused > 0").orderBy(F.desc("fused"), "doc_id").limit(10).select("doc_id", "lexical", "dense", "lexical_rank", "dense_rank", "fused")
+    best = ranking.fused_top(hybrid(spark, sf_dir), "lexical", "dense", "doc_id", 10).filter("fused > 0")
+    return best.select("doc_id", "lexical", "dense", "lexical_rank", "dense_rank", F.round("fused", 9).alias("fused"))
 
 
 @query(f"""

@@ -272,3 +272,33 @@ def test_case_totals(spark):
     constraints.check_cases(cases.filter("piece = 'p'"), "piece", "case_id", {"p": 2})
     with pytest.raises(constraints.Violated, match="twice"):
         constraints.check_cases(cases.unionByName(cases), "piece", "case_id", {"p": 2})
+
+
+@pytest.mark.parametrize(("n", "dense_share", "k"), [(400, 0.3, 5), (400, 0.01, 8), (30, 1.0, 10), (3, 0.0, 4)])
+def test_bounded_fusion_is_the_whole_one(spark, n, dense_share, k):
+    draw = random.Random(n)
+    rows = [(i, float(draw.randint(0, 12)) if draw.random() < 0.4 else 0.0, draw.randint(-20, 20) / 10 if draw.random() < dense_share else None) for i in range(n)]
+    df = spark.createDataFrame(rows, "id long, lexical double, dense double").withColumn("q", F.lit(0))
+    whole = ranking.fused(df, ["q"], "lexical", "dense", "id").orderBy(F.desc("fused"), "id").limit(k).collect()
+    whole = [r for r in whole if r["fused"] > 0]
+    got = [r for r in ranking.fused_top(df.drop("q"), "lexical", "dense", "id", k).collect() if r["fused"] > 0]
+    same = lambda rs: [(r["id"], r["lexical_rank"], r["dense_rank"], round(r["fused"], 12)) for r in rs]
+    assert same(got) == same(whole)
+
+
+def test_lower_index_for_large_groups(spark):
+    draw = random.Random(3)
+    rows = [(g, draw.randint(0, 50) / 2) for g in "abc" for _ in range(draw.randint(1, 60))] + [("d", None)]
+    got = {r["g"]: (r["x"], r["y"]) for r in metrics.lower_index(spark.createDataFrame(rows, "g string, v double"), ["g"], "v", {"x": 0.9, "y": 0.5}).collect()}
+    values = {g: sorted(v for h, v in rows if h == g and v is not None) for g in "abc"}
+    assert got == {g: (v[int((len(v) - 1) * 0.9)], v[int((len(v) - 1) * 0.5)]) for g, v in values.items()}
+
+
+def test_covered_looks_back_to_one_interval(spark):
+    draw = random.Random(4)
+    spans = lambda n, most: [(draw.choice("ab"), s := draw.randint(0, 60), s + draw.randint(0, most)) for _ in range(n)]
+    cover, wanted = spans(14, 6), [(k, *x) for k, x in enumerate(spans(60, 8))]
+    points = {g: {p for h, s, e in cover if h == g for p in range(s, e + 1)} for g in "abc"}
+    wanted.append((99, "c", 1, 2))
+    got = {r["k"]: r["covered"] for r in intervals.covered(spark.createDataFrame(wanted, "k int, g string, s int, e int"), spark.createDataFrame(cover, "g string, s int, e int"), ["g"], "s", "e", ["k"]).collect()}
+    assert got == {k: set(range(s, e + 1)) <= points[g] for k, g, s, e in wanted}
