@@ -326,6 +326,17 @@ def test_near_duplicates_are_verified(docs, empty):
     assert minhash.near_duplicates(docs).count() == docs.count() and minhash.near_duplicates(empty).count() == 0
 
 
+def test_bands_recall_pairs_at_the_threshold():
+    random, met, pairs = np.random.default_rng(12), 0, 400
+    for _ in range(pairs):
+        common = random.integers(0, 1 << 62, 160, np.uint64)
+        a, b = (np.concatenate([common, random.integers(0, 1 << 62, 20, np.uint64)]) for _ in range(2))  # 160 of 200: 0.8
+        hashes, at = np.concatenate([a, b]), np.array([0, 180, 360])
+        keys = minhash.band_keys(minhash.small(minhash.minima(hashes, at[:-1], at[1:])), minhash.BANDS)
+        met += bool((keys[0] == keys[1]).any())
+    assert met == pairs
+
+
 # suffix sorting
 
 
