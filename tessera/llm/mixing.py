@@ -4,8 +4,9 @@ Every copy of a document gets a virtual finish time: the words of its source up
 in shuffled order, divided by the source's target. All copies are range-sorted by that time
 and the mix is what comes before the total budget is used up.
 
-Running sums are taken in two steps, over buckets and then within a bucket, so neither a
-source with a third of all rows nor the global order ever meets in one task.
+Running sums are taken in two steps, over ranges and then within a range. There are as many
+ranges as the rows call for, so neither a source with a third of all rows nor the global order
+ever meets in one task, however many rows there are.
 """
 
 from __future__ import annotations
@@ -14,16 +15,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import n_words
+from tessera.llm.shared import cut, n_words
 
 WEIGHTS = (5, 2, 1)
 MAX_COPIES = 3
-#: Buckets of the shuffled order within a source, and of a unit of virtual time.
-ORDER_BUCKETS, TIME_BUCKETS = 1024, 2048
+#: All sources' shuffled orders are cut into as many slots as make so many rows each if there were one source; ranges of virtual time hold about so many.
+SLOT_ROWS, RANGE_ROWS = 1000, 20_000
+RANK_BITS = 60
 
 
 def shuffled_rank(doc_id: Column, seed: int) -> Column:
-    """60 random-looking bits that depend on the id and the seed alone."""
+    """RANK_BITS random-looking bits that depend on the id and the seed alone."""
     return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), doc_id.cast("string"))), 1, 15), 16, 10).cast("long")
 
 
@@ -46,22 +48,19 @@ def water_level(sources: DataFrame, max_copies: int) -> DataFrame:
     return capped.withColumn("target", F.coalesce(F.least("__cap", level * F.col("__weight")), F.lit(0.0)))
 
 
-def time_bucket(finish: Column) -> Column:
-    """TIME_BUCKETS to a unit of virtual time up to 2, then as many to each doubling: the mix is full near 1, and what comes late still is dealt out."""
-    late = 2 * TIME_BUCKETS + F.floor(F.log2(F.greatest(finish, F.lit(2.0)) / 2) * TIME_BUCKETS)
-    return F.when(finish <= 2, F.floor(finish * TIME_BUCKETS)).otherwise(late)
-
-
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_copies: int = MAX_COPIES, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """docs without the text, with size, source_size, target and taken.
 
     Sources in order of their code points, null last, weigh weights, repeating. A null or blank
-    text has size 0 and is never taken. Repeated rows count once each; rows with a null id sort
-    first. An empty table gives an empty result. Columns of the same names are replaced.
+    text has size 0 and is never taken. Repeated rows count once each; rows without an id are shuffled
+    by their text instead. An empty table gives an empty result. Columns of the same names are replaced.
     """
+    rows = docs.count()
+    bits = max(4, (rows // SLOT_ROWS).bit_length())
     kept = [F.col(c) for c in docs.columns if c not in (text_col, "size", "source_size", "target", "taken")]
     key = F.concat(F.when(F.col(source_col).isNull(), "1").otherwise("0"), F.coalesce(F.col(source_col), F.lit("")))
-    sized = docs.select(*kept, n_words(F.col(text_col)).alias("size"), key.alias("__key"), F.coalesce(shuffled_rank(F.col(id_col), seed), F.lit(0)).alias("__rank")).withColumn("__slot", F.col("__rank") % ORDER_BUCKETS)
+    sized = docs.select(*kept, n_words(F.col(text_col)).alias("size"), key.alias("__key"), shuffled_rank(F.coalesce(F.col(id_col).cast("string"), F.md5(F.coalesce(F.col(text_col), F.lit("")))), seed).alias("__rank"))
+    sized = cut(sized.withColumn("__slot", F.shiftright("__rank", RANK_BITS - bits)), "sized")
 
     slots = sized.groupBy("__key", "__slot").agg(F.sum("size").alias("__slot_size"))
     turn = (F.row_number().over(W.orderBy("__key")) - 1) % len(weights)
@@ -76,18 +75,20 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_copies: int = M
         queued.filter((F.col("size") > 0) & (F.col("target") > 0))
         .select("__key", "__slot", "__run", "__rank", "size", "source_size", "target", "__offset", "__total", id_col, F.explode(F.sequence(F.lit(1), F.lit(max_copies))).alias("__copy"))
         .withColumn("__finish", finish)
-        .withColumn("__time", time_bucket(F.col("__finish")))
     )
-    times = copies.groupBy("__time").agg(F.sum("size").alias("__time_size"))
-    times = times.select("__time", (F.sum("__time_size").over(W.orderBy("__time")) - F.col("__time_size")).alias("__earlier"))
-    order = W.partitionBy("__time").orderBy("__finish", "__key", "__run", "__copy").rowsBetween(W.unboundedPreceding, W.currentRow)
+    by_time = ["__finish", "__key", "__run", "__copy"]
+    ranges = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), max_copies * rows // RANGE_ROWS)
+    ranged = cut(copies.repartitionByRange(ranges, *by_time).withColumn("__range", F.spark_partition_id()), "queue")
+    times = ranged.groupBy("__range").agg(F.sum("size").alias("__range_size"))
+    times = times.select("__range", (F.sum("__range_size").over(W.orderBy("__range")) - F.col("__range_size")).alias("__earlier"))  # a row a range
+    order = W.partitionBy("__range").orderBy(*by_time).rowsBetween(W.unboundedPreceding, W.currentRow)
     total = F.col("__total")
     taken = (
-        copies.join(times, "__time")
+        ranged.join(times, "__range")
         .filter(F.col("__earlier") < total)
         .withColumn("__so_far", F.col("__earlier") + F.sum("size").over(order))
         .filter(F.col("__so_far") <= total)
-        .groupBy("__key", "__slot", "__run", F.col("__rank").alias("__rank"))
+        .groupBy("__key", "__slot", "__run", "__rank")
         .agg(F.sum("size").alias("taken"))
     )
     names = [c for c in docs.columns if c not in (text_col, "size", "source_size", "target", "taken")]
@@ -119,7 +120,7 @@ tgt AS (
   SELECT k, source_size, total, least(cap, (SELECT max(lv) FROM lev2) * w) AS target FROM lev2),
 run AS (
   SELECT s.*, t.source_size, t.target, t.total,
-         sum(size) OVER (PARTITION BY s.k ORDER BY h % 1024, h, doc_id, size ROWS UNBOUNDED PRECEDING) AS c
+         sum(size) OVER (PARTITION BY s.k ORDER BY h, doc_id, size ROWS UNBOUNDED PRECEDING) AS c
   FROM sized s JOIN tgt t ON s.k = t.k),
 copies AS (
   SELECT doc_id, k, size, total, c, e, ((e - 1) * source_size + c)::DOUBLE / target AS fin
