@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -87,33 +88,41 @@ def stratified_split(df: DataFrame, stratum: str, key: str, share: float, salt:
 
 
 def diverse_order(df: DataFrame, group: list[str], facets: str, score: str, second: str, key: str) -> DataFrame:
-    """df with position: each place goes to the row that adds most new facets; ties by score, second and key, all descending.
+    """df with position: each place goes to the row that adds most new facets; ties by score, second and key, all descending. Rows are known by group and key.
 
-    Each choice depends on those before it, so a group, one question's candidates, is ordered in one call.
+    Each choice depends on those before it, so a group, one question's candidates, is ordered in one
+    call. Only hashes of facets and what orders rows go there, and a facet takes four bytes a row.
     """
-    schema = T.StructType([*df.schema, T.StructField("position", T.IntegerType())])
+    fields = {f.name: f for f in df.schema}
+    schema = T.StructType([*(fields[c] for c in (*group, key)), T.StructField("position", T.IntegerType())])
+    hashed = F.array_distinct(F.transform(F.coalesce(facets, F.array().cast(fields[facets].dataType)), lambda x: F.xxhash64(x)))
+    slim = df.select(*group, F.col(key), F.col(score).alias("__score"), F.col(second).alias("__second"), hashed.alias("__facets"))
 
     def order(rows: pd.DataFrame) -> pd.DataFrame:
-        seen, out = set(), []
-        sets = [set(x) if x is not None else set() for x in rows[facets]]
-        values = list(zip(rows[score], rows[second], rows[key], strict=True))
+        values = list(zip(rows["__score"], rows["__second"], rows[key], strict=True))
         ranked = sorted(range(len(rows)), key=values.__getitem__, reverse=True)
+        sizes = rows["__facets"].map(len).to_numpy()
+        ends = np.cumsum(sizes)
+        flat = np.concatenate([np.asarray(x, np.int64) for x in rows["__facets"]]) if ends[-1] else np.zeros(0, np.int64)
+        names, numbers = np.unique(flat, return_inverse=True)
+        numbers, fresh, out = numbers.astype(np.int32), np.ones(len(names), bool), []
         # what a row adds never grows, so an older figure bounds it
-        heap = [(-len(sets[i]), place) for place, i in enumerate(ranked)]
+        heap = [(-int(sizes[i]), place) for place, i in enumerate(ranked)]
         heapq.heapify(heap)
         while heap:
             bound, place = heap[0]
             best = ranked[place]
-            sets[best] = sets[best] - seen
-            if -len(sets[best]) > bound:
-                heapq.heapreplace(heap, (-len(sets[best]), place))
+            own = numbers[ends[best] - sizes[best] : ends[best]]
+            adds = int(np.count_nonzero(fresh[own]))
+            if -adds > bound:
+                heapq.heapreplace(heap, (-adds, place))
                 continue
             heapq.heappop(heap)
-            seen |= sets[best]
+            fresh[own] = False
             out.append(best)
-        return rows.iloc[out].assign(position=range(1, len(out) + 1))
+        return rows.iloc[out][[*group, key]].assign(position=range(1, len(out) + 1))
 
-    return df.groupBy(*group).applyInPandas(order, schema)
+    return df.join(slim.groupBy(*group).applyInPandas(order, schema), [*group, key])
 
 
 def set_cover(df: DataFrame, group: list[str], covers: str, value: str, key: str, k: int) -> DataFrame:
