@@ -270,14 +270,18 @@ def question_validation(spark, sf_dir):
     return planted(spark, sf_dir).select("conv_id", "turn", screening.question_reason(F.col("t"), 400).alias("reason"))
 
 
-@query()
+# what NFKC, dropping invisible characters and case folding come to for the letters of these tables
+FORM_SQL = r"trim(regexp_replace(replace(lower(nfc_normalize(text)), 'ß', 'ss'), '\s+', ' ', 'g'))"
+
+
+@query(f"SELECT doc_id, sha256({FORM_SQL}) AS digest FROM documents")
 def text_normalize_nfkc(spark, sf_dir):
     return Tables(spark, sf_dir).documents.select("doc_id", F.sha2(X.screen_form(F.col("text")), 256).alias("digest"))
 
 
-@query()
+@query(f"""SELECT conv_id, turn, {" OR ".join(control_sql("form"))} AS rejected FROM (SELECT conv_id, turn, {FORM_SQL.replace("text", "t")} AS form FROM {planted_sql()})""")
 def screened_conversations(spark, sf_dir):
-    return screening.screened(Tables(spark, sf_dir).conversations, "text").select("conv_id", "turn", "rejected")
+    return screening.screened(planted(spark, sf_dir), "t").select("conv_id", "turn", "rejected")
 
 
 SQUEEZED = r"trim(regexp_replace(text, '[ \t\n\x0b\f\r]+', ' ', 'g'))"
