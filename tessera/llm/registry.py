@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe, compression, jaccard_join, language_id, line_dedup, minhash, mixing, quality_rank, suffix_dedup, toxicity
+from tessera.llm import bpe, compression, jaccard_join, language_id, line_dedup, merkle, minhash, mixing, quality_rank, suffix_dedup, toxicity
 from tessera.llm.shared import shipped
 
 
@@ -20,6 +20,7 @@ def queries() -> dict:
         "op8_set_relation_join": jaccard_join.op8_set_relation_join,
         "op9_bradley_terry_quality": quality_rank.op9_bradley_terry_quality,
         "op10_line_dedup": line_dedup.op10_line_dedup,
+        "op12_merkle_manifest": merkle.op12_merkle_manifest,
         "pipeline": corpus_pipeline.run,
     }
     return {name: shipped(query) for name, query in found.items()}
@@ -30,4 +31,5 @@ def oracle_sql() -> dict:
         "op3_weighted_fair_mix": mixing.SQL,
         "op8_set_relation_join": jaccard_join.SQL,
         "op10_line_dedup": line_dedup.SQL,
+        "op12_merkle_manifest": merkle.SQL,
     }
