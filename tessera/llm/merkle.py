@@ -95,7 +95,7 @@ def proofs(layers: list[DataFrame], above: DataFrame) -> DataFrame:
     """
     path = above.withColumn("__idx", F.lit(0).cast("long"))
     for nodes in reversed(layers[:-1]):
-        over = path.withColumnsRenamed({"__idx": "__block", "__path": "__above"})
+        over = path.drop("__n", "__digest").withColumnsRenamed({"__idx": "__block", "__path": "__above"})
         path = climb(nodes).join(over, ["__key", "__block"]).withColumn("__path", F.concat("__steps", "__above")).drop("__steps", "__above", "__block", "__top")
     return path if len(layers) > 1 else layers[0].join(above, "__key")
 
