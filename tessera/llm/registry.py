@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe, compression, jaccard_join, language_id, line_dedup, merkle, minhash, mixing, quality_rank, suffix_dedup, toxicity
+from tessera.llm import bpe, compression, jaccard_join, language_id, line_dedup, merkle, minhash, mixing, packing, quality_rank, suffix_dedup, toxicity
 from tessera.llm.shared import shipped
 
 
@@ -20,6 +20,7 @@ def queries() -> dict:
         "op8_set_relation_join": jaccard_join.op8_set_relation_join,
         "op9_bradley_terry_quality": quality_rank.op9_bradley_terry_quality,
         "op10_line_dedup": line_dedup.op10_line_dedup,
+        "op11_bounded_space_packing": packing.op11_bounded_space_packing,
         "op12_merkle_manifest": merkle.op12_merkle_manifest,
         "pipeline": corpus_pipeline.run,
     }
