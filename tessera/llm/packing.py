@@ -11,6 +11,7 @@ padding. So no task holds more than FAN_IN * OPEN windows, however many rows the
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from bisect import bisect_left, insort
@@ -27,16 +28,23 @@ from tessera.llm.shared import cut, emptiers, map_arrow
 
 LENGTH, OPEN, SLACK, FAN_IN, END_ID = 4096, 64, 16, 16, 2
 #: A worker keeps the ids of so many bytes of words at most, and is handed texts of about so many bytes at a time.
-KEPT_BYTES, CHUNK_BYTES, EMIT_ROWS = 48 << 20, 1 << 20, 4096
-ID_BYTES = 4
+KEPT_BYTES, CHUNK_BYTES = 96 << 20, 1 << 20
+ID_BYTES, LONG_WORD = 4, 1000
 #: A sequence's number: the round that emitted it, its task or group there, and a count.
 ROUND_BITS, GROUP_BITS = 56, 28
 
 
+def _parts(words: list[bytes], size: int = 2000) -> Iterator[list[bytes]]:
+    return (words[lo : lo + size] for lo in range(0, len(words), size))
+
+
 class WordIds(dict):
     """Ids of words (bytes without ASCII white space) as little-endian 32-bit words, made by the tokenizer once each.
 
-    Nothing that the tokenizer looks for crosses white space, so a text's ids are those of its words.
+    Nothing that the tokenizer looks for may cross white space, which it drops, so that a text's ids
+    are those of its words. New words go to the tokenizer many at a time. Words of ASCII letters are told
+    apart by the ids that end a word, where the vocabulary marks these; others stand with one of its
+    special tokens between them: it cuts its input there before anything else.
     """
 
     def __init__(self, tokenizer: str) -> None:
@@ -45,19 +53,52 @@ class WordIds(dict):
 
         super().__init__()
         self.tokenizer, self.held = Tokenizer.from_str(tokenizer), 0
+        said = json.loads(tokenizer)
+        suffix, vocabulary = said["model"].get("end_of_word_suffix"), said["model"]["vocab"]
+        self.ends = None
+        if suffix:
+            self.ends = np.zeros(max([*vocabulary.values(), *(t["id"] for t in said.get("added_tokens", []))]) + 1, bool)
+            self.ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
+        normalizer = said.get("normalizer") or {}
+        self.lowers = "Lowercase" in [n["type"] for n in normalizer.get("normalizers", [normalizer]) if n]
+        self.specials = [(t["content"].encode(), t["id"]) for t in said.get("added_tokens", []) if t["special"] and not (t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"])]
+
+    def words(self, text: bytes) -> list[bytes]:
+        """The words; lower-cased, where the tokenizer does so itself and no special token could come of it, so that fewer differ."""
+        return (text.lower() if self.lowers and b"<" not in text else text).split()
+
+    def learn(self, new: list[bytes]) -> None:
+        letters = [w for w in new if w.isalpha() and len(w) <= LONG_WORD] if self.ends is not None else []
+        for part in _parts(letters):  # one run of letters a word: its last id, and no other, ends a word
+            ids = self._ids(b" ".join(part))
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) == len(part):
+                data, starts = ids.tobytes(), np.append(0, ends[:-1])
+                self.update(zip(part, (data[a:b] for a, b in zip((starts * ID_BYTES).tolist(), (ends * ID_BYTES).tolist(), strict=True)), strict=True))
+        rest = [w for w in new if w not in self] if letters else new
+        mark, mark_id = self.specials[0] if self.specials else (None, None)
+        odd = [w for w in rest if mark is None or b"<" in w or len(w) > LONG_WORD]
+        for w in odd:
+            self[w] = self._ids(w).tobytes()
+        for part in _parts([w for w in rest if w not in self] if odd else rest):
+            ids = self._ids(mark.join(part))
+            ends = np.append(np.flatnonzero(ids == mark_id), len(ids)) * ID_BYTES
+            data, at = ids.tobytes(), 0
+            for word, end in zip(part, ends.tolist(), strict=True):
+                self[word] = data[at:end]
+                at = end + ID_BYTES
+
+    def _ids(self, text: bytes) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text.decode("utf-8", "replace")], add_special_tokens=False)[0].ids, "<u4")
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        words = [t.split() for t in texts]
-        new = list(set().union(*words).difference(self))
+        words = [self.words(t) for t in texts]
         if self.held > KEPT_BYTES:
             self.clear()
-            self.held, new = 0, list(set().union(*words))
-        for lo in range(0, len(new), 2000):
-            part = new[lo : lo + 2000]
-            found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
-            for word, ids in zip(part, found, strict=True):
-                self[word] = np.array(ids.ids, "<u4").tobytes()
-                self.held += 160 + len(word) + len(self[word])
+            self.held = 0
+        new = list(set().union(*words).difference(self))
+        self.learn(new)
+        self.held += 180 * len(new) + 2 * sum(map(len, new))
         return [b"".join(map(self.__getitem__, w)) for w in words]
 
 
