@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -34,6 +35,11 @@ ID_BYTES, LONG_WORD = 4, 1000
 ROUND_BITS, GROUP_BITS = 56, 28
 
 
+#: Words of Latin letters: ASCII and U+00C0 to U+00FF, whose lower case is one letter each. And marks that may follow one.
+LETTERS = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]){1,1000}").fullmatch
+MARKS = frozenset((b".", b",", b";", b":", b"!", b"?"))
+
+
 def _parts(words: list[bytes], size: int = 2000) -> Iterator[list[bytes]]:
     return (words[lo : lo + size] for lo in range(0, len(words), size))
 
@@ -42,7 +48,7 @@ class WordIds(dict):
     """Ids of words (bytes without ASCII white space) as little-endian 32-bit words, made by the tokenizer once each.
 
     Nothing that the tokenizer looks for may cross white space, which it drops, so that a text's ids
-    are those of its words. New words go to the tokenizer many at a time. Words of ASCII letters are told
+    are those of its words. New words go to the tokenizer many at a time. Words of Latin letters are told
     apart by the ids that end a word, where the vocabulary marks these; others stand with one of its
     special tokens between them: it cuts its input there before anything else.
     """
@@ -68,7 +74,7 @@ class WordIds(dict):
         return (text.lower() if self.lowers and b"<" not in text else text).split()
 
     def learn(self, new: list[bytes]) -> None:
-        letters = [w for w in new if w.isalpha() and len(w) <= LONG_WORD] if self.ends is not None else []
+        letters = list(filter(LETTERS, new)) if self.ends is not None else []
         for part in _parts(letters):  # one run of letters a word: its last id, and no other, ends a word
             ids = self._ids(b" ".join(part))
             ends = np.flatnonzero(self.ends[ids]) + 1
@@ -76,6 +82,10 @@ class WordIds(dict):
                 data, starts = ids.tobytes(), np.append(0, ends[:-1])
                 self.update(zip(part, (data[a:b] for a, b in zip((starts * ID_BYTES).tolist(), (ends * ID_BYTES).tolist(), strict=True)), strict=True))
         rest = [w for w in new if w not in self] if letters else new
+        for w in rest if letters else ():  # a mark behind letters is a run of its own
+            if w[-1:] in MARKS and w[:-1] in self and w[-1:] in self and LETTERS(w[:-1]):
+                self[w] = self[w[:-1]] + self[w[-1:]]
+        rest = [w for w in rest if w not in self] if letters else rest
         mark, mark_id = self.specials[0] if self.specials else (None, None)
         odd = [w for w in rest if mark is None or b"<" in w or len(w) > LONG_WORD]
         for w in odd:
