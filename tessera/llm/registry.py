@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe, compression, jaccard_join, language_id, line_dedup, merkle, minhash, mixing, packing, quality_rank, suffix_dedup, toxicity
+from tessera.llm import bpe, compression, jaccard_join, language_id, line_dedup, merkle, minhash, mixing, packing, quality_rank, ranked_search, suffix_dedup, toxicity
 from tessera.llm.shared import shipped
 
 
@@ -22,6 +22,7 @@ def queries() -> dict:
         "op10_line_dedup": line_dedup.op10_line_dedup,
         "op11_bounded_space_packing": packing.op11_bounded_space_packing,
         "op12_merkle_manifest": merkle.op12_merkle_manifest,
+        "op13_clustered_ranked_search": ranked_search.op13_clustered_ranked_search,
         "pipeline": corpus_pipeline.run,
     }
     return {name: shipped(query) for name, query in found.items()}
@@ -33,4 +34,5 @@ def oracle_sql() -> dict:
         "op8_set_relation_join": jaccard_join.SQL,
         "op10_line_dedup": line_dedup.SQL,
         "op12_merkle_manifest": merkle.SQL,
+        "op13_clustered_ranked_search": ranked_search.SQL,
     }
