@@ -18,6 +18,8 @@ import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import compress
+from operator import not_
 
 import numpy as np
 import pyarrow as pa
@@ -35,22 +37,25 @@ ID_BYTES, LONG_WORD = 4, 1000
 ROUND_BITS, GROUP_BITS = 56, 28
 
 
-#: Words of Latin letters: ASCII and U+00C0 to U+00FF, whose lower case is one letter each. And marks that may follow one.
-LETTERS = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]){1,1000}").fullmatch
-MARKS = frozenset((b".", b",", b";", b":", b"!", b"?"))
+#: A word of small Latin letters (ASCII and U+00DF to U+00FF), which no rule of this tokenizer changes or splits, and the run of ASCII marks behind it. Apostrophes and `<` may begin what isn't a run of marks.
+PLAIN = re.compile(rb"((?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf]){1,1000})([!-&(-/:;=>?@\[-`{-~]*)").fullmatch
 
 
 def _parts(words: list[bytes], size: int = 2000) -> Iterator[list[bytes]]:
     return (words[lo : lo + size] for lo in range(0, len(words), size))
 
 
+def _ids(tokenizer, text: bytes) -> np.ndarray:
+    return np.array(tokenizer.encode_batch_fast([text.decode("utf-8", "replace")], add_special_tokens=False)[0].ids, "<u4")
+
+
 class WordIds(dict):
     """Ids of words (bytes without ASCII white space) as little-endian 32-bit words, made by the tokenizer once each.
 
     Nothing that the tokenizer looks for may cross white space, which it drops, so that a text's ids
-    are those of its words. New words go to the tokenizer many at a time. Words of Latin letters are told
-    apart by the ids that end a word, where the vocabulary marks these; others stand with one of its
-    special tokens between them: it cuts its input there before anything else.
+    are those of its words. New words go to the tokenizer many at a time. Plain words are told apart by
+    the ids that end a word, where the vocabulary marks these, and need no more than its merges; others
+    stand with one of its special tokens between them: it cuts its input there before anything else.
     """
 
     def __init__(self, tokenizer: str) -> None:
@@ -60,13 +65,14 @@ class WordIds(dict):
         super().__init__()
         self.tokenizer, self.held = Tokenizer.from_str(tokenizer), 0
         said = json.loads(tokenizer)
-        suffix, vocabulary = said["model"].get("end_of_word_suffix"), said["model"]["vocab"]
-        self.ends = None
+        normalizer, suffix, vocabulary = said.get("normalizer") or {}, said["model"].get("end_of_word_suffix"), said["model"]["vocab"]
+        self.lowers = "Lowercase" in [n["type"] for n in normalizer.get("normalizers", [normalizer]) if n]
+        self.plain = None
         if suffix:
             self.ends = np.zeros(max([*vocabulary.values(), *(t["id"] for t in said.get("added_tokens", []))]) + 1, bool)
             self.ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
-        normalizer = said.get("normalizer") or {}
-        self.lowers = "Lowercase" in [n["type"] for n in normalizer.get("normalizers", [normalizer]) if n]
+            bytes_only = [{"type": "CharDelimiterSplit", "delimiter": " "}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": False, "use_regex": False}]
+            self.plain = Tokenizer.from_str(json.dumps(said | {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": bytes_only}}))
         self.specials = [(t["content"].encode(), t["id"]) for t in said.get("added_tokens", []) if t["special"] and not (t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"])]
 
     def words(self, text: bytes) -> list[bytes]:
@@ -74,42 +80,51 @@ class WordIds(dict):
         return (text.lower() if self.lowers and b"<" not in text else text).split()
 
     def learn(self, new: list[bytes]) -> None:
-        letters = list(filter(LETTERS, new)) if self.ends is not None else []
+        rest, letters, stopped = new, [], []
+        if self.plain is not None:
+            found = list(zip(new, map(PLAIN, new), strict=True))
+            letters = [w for w, m in found if m and not m[2]]
+            stopped = [(w, m[1], m[2]) for w, m in found if m and m[2]]
+            rest = [w for w, m in found if not m]
+            letters += {w for _, w, _ in stopped if w not in self}.difference(letters)
+            rest += {w for _, _, w in stopped if w not in self}.difference(rest)
         for part in _parts(letters):  # one run of letters a word: its last id, and no other, ends a word
-            ids = self._ids(b" ".join(part))
+            ids = _ids(self.plain, b" ".join(part))
             ends = np.flatnonzero(self.ends[ids]) + 1
-            if len(ends) == len(part):
-                data, starts = ids.tobytes(), np.append(0, ends[:-1])
-                self.update(zip(part, (data[a:b] for a, b in zip((starts * ID_BYTES).tolist(), (ends * ID_BYTES).tolist(), strict=True)), strict=True))
-        rest = [w for w in new if w not in self] if letters else new
-        for w in rest if letters else ():  # a mark behind letters is a run of its own
-            if w[-1:] in MARKS and w[:-1] in self and w[-1:] in self and LETTERS(w[:-1]):
-                self[w] = self[w[:-1]] + self[w[-1:]]
-        rest = [w for w in rest if w not in self] if letters else rest
+            if len(ends) != len(part):
+                rest += part
+                continue
+            data, ends = ids.tobytes(), (ends * ID_BYTES).tolist()
+            self.update(zip(part, (data[a:b] for a, b in zip([0, *ends], ends, strict=False)), strict=True))
         mark, mark_id = self.specials[0] if self.specials else (None, None)
         odd = [w for w in rest if mark is None or b"<" in w or len(w) > LONG_WORD]
         for w in odd:
-            self[w] = self._ids(w).tobytes()
+            self[w] = _ids(self.tokenizer, w).tobytes()
         for part in _parts([w for w in rest if w not in self] if odd else rest):
-            ids = self._ids(mark.join(part))
+            ids = _ids(self.tokenizer, mark.join(part))
             ends = np.append(np.flatnonzero(ids == mark_id), len(ids)) * ID_BYTES
             data, at = ids.tobytes(), 0
             for word, end in zip(part, ends.tolist(), strict=True):
                 self[word] = data[at:end]
                 at = end + ID_BYTES
-
-    def _ids(self, text: bytes) -> np.ndarray:
-        return np.array(self.tokenizer.encode_batch_fast([text.decode("utf-8", "replace")], add_special_tokens=False)[0].ids, "<u4")
+        for word, letters_, marks in stopped:
+            self[word] = self[letters_] + self[marks]
+        self.held += 180 * (len(new) + len(stopped)) + 2 * sum(map(len, new))
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        words = [self.words(t) for t in texts]
         if self.held > KEPT_BYTES:
             self.clear()
             self.held = 0
-        new = list(set().union(*words).difference(self))
-        self.learn(new)
-        self.held += 180 * len(new) + 2 * sum(map(len, new))
-        return [b"".join(map(self.__getitem__, w)) for w in words]
+        words, ends = [], [0]
+        for t in texts:
+            words += self.words(t)
+            ends.append(len(words))
+        ids = list(map(self.get, words))
+        missing = list(compress(range(len(words)), map(not_, ids)))
+        self.learn(list({words[i] for i in missing}))
+        for i in missing:
+            ids[i] = self[words[i]]
+        return [b"".join(ids[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
 _loaded: dict[int, WordIds] = {}
