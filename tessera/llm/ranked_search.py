@@ -159,8 +159,8 @@ def _tree(docs: DataFrame, text_col: str, wanted) -> Tree:
         yield pa.RecordBatch.from_arrays([pa.array([a.tobytes()], pa.binary()) for a in (tree.gains, tree.least, tree.feature)], ["gains", "least", "feature"])
 
     row = sample.select(text_col).transform(map_arrow, vectors, "terms binary").repartition(1).transform(map_arrow, fitted, "gains binary, least binary, feature binary").first()
-    least = np.frombuffer(row["least"])
-    return Tree(np.frombuffer(row["gains"], np.float32).reshape(len(least), -1), least, np.frombuffer(row["feature"], np.int64))
+    least, gains = np.frombuffer(row["least"]), np.frombuffer(row["gains"], np.float32)
+    return Tree(gains.reshape(len(least), len(gains) // max(1, len(least))), least, np.frombuffer(row["feature"], np.int64))
 
 
 @dataclass
