@@ -46,7 +46,7 @@ SEGMENT = 1 << 22
 #: Passages of so many words that documents share show in strings of so many words, one in each run of PASSAGE_WORDS.
 PASSAGE_WORDS, PASSAGE_CORE = 51, 26
 
-ROW = "__doc long, __text int"
+ROW = "__doc long, __text long"
 CELL = f"{ROW}, __core long, __span long, __at int, __low int, __high int"
 OPEN = f"{ROW}, __core long, __at int, __low int, __high int, __left binary, __right binary, __wanted boolean"
 
@@ -93,9 +93,9 @@ def cells_of(c: Chunk, length: int, spread: int, gram: int) -> dict[str, np.ndar
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(row key, text). A row is known by its id and a hash of its text, so that rows may share an id; a null id is an id."""
+    """(row key, text). A row is known by its id and 64 bits of a hash of its text, so that rows may share an id; a null id is an id."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("__doc"), F.hash(text).alias("__text"), text.alias("__body"))
+    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("__doc"), F.xxhash64(text).alias("__text"), text.alias("__body"))
 
 
 def cells(rows: DataFrame, length: int, spread: int, gram: int) -> DataFrame:
@@ -129,7 +129,7 @@ def fetch(rows: DataFrame, wanted: DataFrame, length: int, spread: int) -> DataF
                 doc, text = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
                 body = batch.column(2)[i].as_buffer().to_pybytes()
                 out = [(doc, text, x["__core"], x["__at"], x["__low"], x["__high"], body[x["__low"] : x["__at"]], body[x["__at"] + length - spread + 1 : x["__high"] + length], x["__wanted"]) for x in batch.column(3)[i].as_py()]
-                types = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.bool_())
+                types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.bool_())
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out, strict=True), types, strict=True)], names)
 
     return per_row(rows, wanted, ["__core", "__at", "__low", "__high", "__wanted"]).select("__doc", "__text", "__body", "__parts").transform(map_arrow, run, OPEN)
@@ -144,7 +144,7 @@ def narrower(open_cells: DataFrame, spread: int, width: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in OPEN.split(", ")]
-        types = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.bool_())
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.bool_())
         for batch in batches:
             for lo in range(0, batch.num_rows, 4096):
                 out = []
@@ -163,28 +163,39 @@ def narrower(open_cells: DataFrame, spread: int, width: int) -> DataFrame:
 
 
 def sorted_repeats(group: DataFrame, width: int) -> DataFrame:
-    """Repeated windows of wanted cells, by the suffix array of all strings that a task holds. Strings of one core are in one task; each ends in a symbol of its own."""
+    """Repeated windows of wanted cells, by the suffix arrays of some cores' strings at a time. Strings of one core come together, sorted by it, and each ends in a symbol of its own."""
+
+    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+        """Whole cores, which come one after the other, together until there are 3 * MOST strings."""
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            core = batch.column(2).to_numpy()
+            if sum(b.num_rows for b in held) >= 3 * MOST:
+                last = held[-1].column(2)[-1].as_py()
+                cut_at = int(np.argmax(core != last)) if (core != last).any() else len(core)
+                held.append(batch.slice(0, cut_at))
+                if cut_at < len(core):
+                    yield pa.Table.from_batches(held)
+                    held = [batch.slice(cut_at)]
+            else:
+                held.append(batch)
+        if held:
+            yield pa.Table.from_batches(held)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        table = pa.Table.from_batches(held)
-        core = table.column("__core").to_numpy()
-        order = np.argsort(core, kind="stable")
-        bounds = np.flatnonzero(np.append(True, core[order][1:] != core[order][:-1]))
-        bounds = np.append(bounds, len(order))
-        left, right = table.column("__left").to_pylist(), table.column("__right").to_pylist()
-        at, wanted = table.column("__at").to_numpy(), table.column("__wanted").to_numpy(zero_copy_only=False)
-        docs, texts = table.column("__doc").to_numpy(), table.column("__text").to_numpy()
-        lo = 0
-        while lo < len(bounds) - 1:
-            hi = int(max(lo + 1, np.searchsorted(bounds, bounds[lo] + 4 * MOST, "right") - 1))
-            members = order[bounds[lo] : bounds[hi]]
-            names = 257 + np.repeat(np.arange(hi - lo), np.diff(bounds[lo : hi + 1]))
+        for table in groups(batches):
+            core = table.column("__core").to_numpy()
+            members = np.arange(len(core))
+            names = 257 + np.cumsum(np.append(0, core[1:] != core[:-1]))
+            left, right = table.column("__left").to_pylist(), table.column("__right").to_pylist()
+            at, wanted = table.column("__at").to_numpy(), table.column("__wanted").to_numpy(zero_copy_only=False)
+            docs, texts = table.column("__doc").to_numpy(), table.column("__text").to_numpy()
+            first_end = int(names[-1]) + 1
             pieces, starts, place = [], [], 0
             for k, (i, name) in enumerate(zip(members, names, strict=True)):
-                piece = np.concatenate([np.frombuffer(left[i], np.uint8).astype(np.int64) + 1, [name], np.frombuffer(right[i], np.uint8).astype(np.int64) + 1, [257 + hi - lo + k]])
+                piece = np.concatenate([np.frombuffer(left[i], np.uint8).astype(np.int64) + 1, [name], np.frombuffer(right[i], np.uint8).astype(np.int64) + 1, [first_end + k]])
                 pieces.append(piece)
                 starts.append(place)
                 place += len(piece)
@@ -201,11 +212,10 @@ def sorted_repeats(group: DataFrame, width: int) -> DataFrame:
                     rows += [(docs[i], texts[i], at[i] - len(left[i]) + hit[a], at[i] - len(left[i]) + hit[b]) for a, b in zip(firsts, ends, strict=True)]
             if rows:
                 d, t, a, b = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(t, pa.int32()), pa.array(a, pa.int32()), pa.array(b, pa.int32())], ["__doc", "__text", "__low", "__high"])
-            lo = hi
+                yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(t, pa.int64()), pa.array(a, pa.int32()), pa.array(b, pa.int32())], ["__doc", "__text", "__low", "__high"])
 
     n = int(group.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, much work: not to be coalesced
-    return group.repartition(n, "__core").transform(map_arrow, run, f"{ROW}, __low int, __high int")
+    return group.select(*(x.split()[0] for x in OPEN.split(", "))).repartition(n, "__core").sortWithinPartitions("__core").transform(map_arrow, run, f"{ROW}, __low int, __high int")
 
 
 def repeated_windows(rows: DataFrame, length: int = LENGTH, spread: int = SPREAD, gram: int = GRAM, narrow: tuple[int, ...] = NARROW, most: int = MOST) -> DataFrame:
@@ -327,7 +337,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
 
     full = docs.select(F.col(id_col), *[F.col(c) for c in (text_col,)])
     full = full.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__body"))
-    full = full.withColumns({"__doc": F.coalesce(F.col("__id").cast("long"), F.lit(-(1 << 63))), "__text": F.hash("__body")})
+    full = full.withColumns({"__doc": F.coalesce(F.col("__id").cast("long"), F.lit(-(1 << 63))), "__text": F.xxhash64("__body")})
     joined = full.join(F.broadcast(lists) if total <= SMALL_RUNS else lists, ["__doc", "__text"], "left").select("__id", "__body", "__spans", "__shared")
     return joined.transform(map_arrow, run, f"`{id_col}` {kind}, n_bytes long, n_removed long, n_spans long, n_shared_passages long, kept binary")
 
