@@ -2,10 +2,11 @@
 
 Text that repeats itself, or is built from few characters, compresses better than prose of its
 length, and noise or ciphertext worse. The longer a text, the better it compresses and the less
-prose varies, so limits go by length: for each half doubling of the length, the median of all
-documents' ratios less or plus so many times their quartiles' distance from it, interpolated
-between lengths. The quartiles hardly heed the odd texts as long as these are fewer than a
-quarter. Lengths with too few documents to tell fall back on fixed bands.
+prose varies, so limits go by length. Fixed bands hold whatever the corpus is. Within them, for each
+half doubling of the length, the median of the ratios less or plus so many times their quartiles'
+distance from it, interpolated between lengths, tightens them. Only documents whose ratio is within the
+fixed band are learnt from, so a corpus full of noise neither widens limits nor moves them onto
+itself. What is learnt counts by how many documents it comes from, beside PRIOR for the band.
 """
 
 from __future__ import annotations
@@ -22,12 +23,12 @@ from tessera.llm.vector import IS_START, Chunk, chunks, shingle
 from tessera.llm.shared import cut, map_arrow
 
 LEVEL, CHUNK = 3, 4096
-#: (bytes, lowest ratio, highest ratio) of whole documents, raw size over compressed size, where there are fewer than FEWEST of a length.
+#: (bytes, lowest ratio, highest ratio) of whole documents, raw size over compressed size.
 BANDS = ((50, 0.60, 1.45), (200, 1.10, 1.80), (500, 1.25, 2.05), (1000, 1.35, 2.20), (2000, 1.45, 2.35), (4096, 1.50, 2.50), (16384, 1.50, 2.75), (131072, 1.50, 3.10))
 #: The same for full chunks; and the share of a document's bytes that may lie in chunks outside their limits.
 CHUNK_BAND, CHUNK_SHARE = (1.40, 2.90), 0.05
 #: Limits for each half doubling of the length: how many quartile distances (at least LEAST_SPREAD) the log of a ratio may lie below and above the median.
-STEPS, BELOW, ABOVE, LEAST_SPREAD, FEWEST = 2, 8.0, 4.0, 0.01, 30
+STEPS, BELOW, ABOVE, LEAST_SPREAD, PRIOR = 2, 8.0, 4.0, 0.01, 30
 #: Logs of ratios are counted in cells of this width, LOWEST up; lengths up to 2**LONGEST bytes.
 CELL, LOWEST, HIGHEST, LONGEST = 0.002, -2.0, 8.0, 40
 SYMBOLS = b"#*$%&|<>"
@@ -130,31 +131,33 @@ def quartiles(cells: np.ndarray, counts: np.ndarray) -> tuple[float, float, floa
     return tuple(LOWEST + CELL * float(cells[np.searchsorted(total, share * total[-1])] + 0.5) for share in (0.25, 0.5, 0.75))
 
 
-def learnt(counted: list, below: float, above: float) -> dict[int, tuple[float, float]]:
-    """{step: (lowest, highest ratio)} of the steps with FEWEST values. counted: (step, cell, n)."""
-    out = {}
+def learnt(counted: list, bands: dict[int, tuple[float, float]], below: float, above: float) -> dict[int, tuple[float, float]]:
+    """{step: (lowest, highest ratio)} for the steps of bands, never wider than these. counted: (step, cell, n)."""
+    out = dict(bands)
     for step in {r[0] for r in counted}:
         cells, counts = np.array(sorted((r[1], r[2]) for r in counted if r[0] == step)).T
-        if counts.sum() >= FEWEST:
-            q1, q2, q3 = quartiles(cells, counts)
-            spread = max(q2 - q1, q3 - q2, LEAST_SPREAD)
-            out[step] = (float(np.exp(q2 - below * spread)), float(np.exp(q2 + above * spread)))
+        q1, q2, q3 = quartiles(cells, counts)
+        spread, trust = max(q2 - q1, q3 - q2, LEAST_SPREAD), counts.sum() / (counts.sum() + PRIOR)
+        low, high = np.log(bands[step])
+        out[step] = (float(np.exp(max(low, low + trust * (q2 - below * spread - low)))), float(np.exp(min(high, high + trust * (q2 + above * spread - high)))))
     return out
 
 
 def limits(measured: DataFrame, bands=BANDS, chunk: int = CHUNK, chunk_band: tuple[float, float] = CHUNK_BAND, below: float = BELOW, above: float = ABOVE) -> tuple[list[tuple[float, float]], tuple[float, float]]:
-    """(lowest, highest) ratio for each step of the length, and for full chunks, from all documents that pass the base rule.
+    """(lowest, highest) ratio for each step of the length, and for full chunks, from all documents and chunks that pass the base rule and lie within the fixed bands.
 
     What comes to the driver are counts in cells of length and ratio, a fixed number of cells at most, whatever the input.
     """
+    low, high = band(2.0 ** ((np.arange(LONGEST * STEPS) + 0.5) / STEPS), bands)
+    fixed = {k: (float(low[k]), float(high[k])) for k in range(LONGEST * STEPS)} | {-1: chunk_band}
     cell = lambda r: F.floor((F.least(F.greatest(F.log(r), F.lit(LOWEST)), F.lit(HIGHEST)) - LOWEST) / CELL).cast("int")
+    within = lambda step, r: r.between(F.get(F.array(*map(F.lit, low.tolist())), step), F.get(F.array(*map(F.lit, high.tolist())), step))
     fit = measured.filter("NOT base_failed AND n_bytes > 0")
-    wholes = fit.select(length_step(F.col("n_bytes")).alias("step"), cell(F.col("ratio")).alias("cell"))
-    full = fit.select(F.explode("chunks").alias("c")).filter(F.col("c.size") == chunk).select(F.lit(-1).alias("step"), cell(F.col("c.ratio")).alias("cell"))
+    wholes = fit.withColumn("step", length_step(F.col("n_bytes"))).filter(within(F.col("step"), F.col("ratio"))).select("step", cell(F.col("ratio")).alias("cell"))
+    full = fit.select(F.explode("chunks").alias("c")).filter((F.col("c.size") == chunk) & F.col("c.ratio").between(*chunk_band)).select(F.lit(-1).alias("step"), cell(F.col("c.ratio")).alias("cell"))
     counted = [tuple(r) for r in wholes.unionByName(full).groupBy("step", "cell").agg(F.count("*").alias("n")).collect()]
-    found = learnt(counted, below, above)
-    low, high = band(2.0 ** ((np.arange(LONGEST * STEPS) + 0.5) / STEPS), bands)
-    return [found.get(k, (float(low[k]), float(high[k]))) for k in range(LONGEST * STEPS)], found.get(-1, chunk_band)
+    found = learnt(counted, fixed, below, above)
+    return [found[k] for k in range(LONGEST * STEPS)], found[-1]
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands=BANDS, level: int = LEVEL, chunk: int = CHUNK, chunk_band: tuple[float, float] = CHUNK_BAND, chunk_share: float = CHUNK_SHARE, below: float = BELOW, above: float = ABOVE) -> DataFrame:

@@ -102,14 +102,31 @@ def test_every_chunk_is_measured():
         assert place in (0, len(t))
 
 
-def test_limits_follow_the_documents():
+def test_limits_follow_the_documents_and_only_tighten():
     random = np.random.default_rng(6)
-    values = {3: random.normal(0.6, 0.05, 500), 5: random.normal(0.9, 0.02, 29)}
+    values = {3: random.normal(0.6, 0.02, 30_000), 5: random.normal(0.9, 0.02, 10)}
     counted = [(k, int(c), int(n)) for k, v in values.items() for c, n in zip(*np.unique(np.floor((v - compression.LOWEST) / compression.CELL), return_counts=True), strict=True)]
-    found = compression.learnt(counted, 8.0, 4.0)
+    wide = {k: (0.5, 9.0) for k in (3, 5, 7)}
+    found = compression.learnt(counted, wide, 8.0, 4.0)
     q1, q2, q3 = np.percentile(values[3], [25, 50, 75])
     spread = max(q2 - q1, q3 - q2)
-    assert list(found) == [3] and np.allclose(np.log(found[3]), [q2 - 8 * spread, q2 + 4 * spread], atol=0.03)
+    assert np.allclose(np.log(found[3]), [q2 - 8 * spread, q2 + 4 * spread], atol=0.03)
+    assert found[7] == wide[7] and 0.5 < found[5][0] < found[3][0] * 1.5 and found[3][1] < found[5][1] < 9.0
+    narrow = {k: (1.8, 1.85) for k in (3, 5)}
+    assert compression.learnt(counted, narrow, 8.0, 4.0)[3] == pytest.approx(narrow[3])
+
+
+@pytest.mark.parametrize("n", [40, 80, 160, 240])
+def test_noise_goes_whatever_its_share(spark, n):
+    """From a fifth of the corpus to three fifths."""
+    import base64
+
+    random = np.random.default_rng(8)
+    prose_rows = [(i, plain_prose(4, 400 + 5 * i)[: 600 + 40 * (i % 50)]) for i in range(160)]
+    noise = [(1000 + i, " ".join(base64.b64encode(random.bytes(9)).decode()[: int(random.integers(5, 12))] for _ in range(60 + i % 200))) for i in range(n)]
+    got = by_id(compression.judge(spark.createDataFrame(prose_rows + noise, "doc_id long, text string")))
+    assert not any(got[i]["kept"] for i, _ in noise) and not any(got[i]["base_failed"] for i, _ in noise)
+    assert sum(got[i]["kept"] for i, _ in prose_rows) >= 159
 
 
 def test_verdicts_match_a_loop(spark):
@@ -381,6 +398,18 @@ def test_repeats_on_awkward_tables(docs, empty):
     assert rows[0]["n_removed"] == rows[0]["n_bytes"] > 400 and rows[8]["n_removed"] == 0 and rows[2]["n_bytes"] == 0
 
 
+def test_rows_without_an_id_are_told_apart_where_short_hashes_agree(spark):
+    from pyspark.sql import functions as F
+
+    pool = spark.range(200_000).select(F.concat_ws(" ", *(F.md5(F.concat(F.col("id").cast("string"), F.lit(f"-{k}"))) for k in range(24))).alias("text"))
+    twins = pool.groupBy(F.hash("text").alias("h")).agg(F.collect_list("text").alias("texts")).filter(F.size("texts") > 1).first()["texts"][:2]
+    texts = [twins[0], twins[1][:450] + "#" + twins[1][450:], twins[1]]  # what is cut from the last must not be cut from the first
+    got = suffix_dedup.remove_repeats(spark.createDataFrame([(None, t) for t in texts], "doc_id long, text string")).collect()
+    expected = suffix_dedup.brute_force([t.encode() for t in texts])
+    assert sorted(r["n_removed"] for r in got) == sorted(sum(b - a for a, b in runs) for runs in expected)
+    assert next(r for r in got if bytes(r["kept"]).startswith(twins[0][:50].encode()))["n_removed"] == 0
+
+
 def test_shared_passages_are_told_at_any_length_in_bytes(spark):
     short = " ".join(f"w{i % 7}{i}" for i in range(51))  # fewer than 400 bytes
     texts = [prose(20 + i, 200, 4000) for i in range(8)]
