@@ -166,13 +166,13 @@ def sorted_repeats(group: DataFrame, width: int) -> DataFrame:
     """Repeated windows of wanted cells, by the suffix arrays of some cores' strings at a time. Strings of one core come together, sorted by it, and each ends in a symbol of its own."""
 
     def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-        """Whole cores, which come one after the other, together until there are 3 * MOST strings."""
+        """Whole cores, which come one after the other, together until there are MOST strings."""
         held: list[pa.RecordBatch] = []
         for batch in batches:
             if not batch.num_rows:
                 continue
             core = batch.column(2).to_numpy()
-            if sum(b.num_rows for b in held) >= 3 * MOST:
+            if sum(b.num_rows for b in held) >= MOST:
                 last = held[-1].column(2)[-1].as_py()
                 cut_at = int(np.argmax(core != last)) if (core != last).any() else len(core)
                 held.append(batch.slice(0, cut_at))
