@@ -268,6 +268,6 @@ def test_two_accounts_of_the_opening(spark):
 def test_translated_quotations(spark):
     catalog = {"가": "One.", "나": "One. Two."}
     texts = ["H\nOne. Two.\n\nOne.", "H\nOne.\nGeneral explanation: x", "H\nOne!", "free", "H\nOne.\nOne."]
-    df = spark.createDataFrame([(t, [("a", "가"), ("b", "나"), ("c", "다")]) for t in texts], "t string, e array<struct<id:string,text:string>>")
-    got = [tuple(r[0]) for r in df.select(questions.translated_quotation(F.col("t"), F.col("e"), catalog, "H\n")).collect()]
+    df = spark.createDataFrame([(t, [("a", catalog["가"]), ("b", catalog["나"]), ("c", None)]) for t in texts], "t string, e array<struct<id:string,translation:string>>")
+    got = [tuple(r[0]) for r in df.select(questions.translated_quotation(F.col("t"), F.col("e"), "H\n")).collect()]
     assert got == [(True, True, ["b", "a"], False, None), (True, True, ["a"], True, None), (True, False, [], False, "One!"), (False, None, None, None, None), (True, False, ["a"], False, "One.")]
