@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import atexit
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.session import scratch_dir
+from tessera.session import scratch  # noqa: F401  (queries take it from here)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -37,22 +35,3 @@ class Tables:
 
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
-
-
-_contexts: list = []
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A path of its own in the shared folder, under the application's, which goes when the driver's Python ends."""
-    folder = f"{scratch_dir(spark)}/tessera-{spark.sparkContext.applicationId}/queries"
-    if spark.sparkContext not in _contexts:
-        _contexts.append(spark.sparkContext)
-        atexit.register(_forget, spark, folder)
-    return f"{folder}/{name}-{uuid.uuid4().hex}"
-
-
-def _forget(spark: SparkSession, folder: str) -> None:
-    context = spark.sparkContext
-    if context._jsc is not None and not context._jsc.sc().isStopped():
-        at = context._jvm.org.apache.hadoop.fs.Path(folder)
-        at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)

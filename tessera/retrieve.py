@@ -157,9 +157,13 @@ def covering(candidates: DataFrame, groups: int, k: int) -> list | None:
     """
     firsts = candidates.withColumn("__n", F.row_number().over(W.partitionBy("covers").orderBy(*strict_order()))).filter("__n = 1").orderBy(*strict_order())
     rows = firsts.select("id", "covers", *MERITS).collect()
+    chosen = best_cover([sum(1 << i for i in r["covers"]) for r in rows], [[float(r[m]) for m in MERITS] for r in rows], groups, k)
+    return None if chosen is None else [rows[i]["id"] for i in chosen]
+
+
+def best_cover(masks: list[int], merits: list[list[float]], groups: int, k: int) -> tuple[int, ...] | None:
+    """Places of the best k rows at most whose masks reach all groups together, or null. Rows are in strict order, one a mask."""
     full = (1 << groups) - 1
-    masks = [sum(1 << i for i in r["covers"]) for r in rows]
-    merits = [[float(r[m]) for m in MERITS] for r in rows]
 
     def quality(chosen: tuple[int, ...]) -> tuple:
         sums = [sum(merits[i][m] for i in chosen) for m in range(len(MERITS))]
@@ -172,7 +176,7 @@ def covering(candidates: DataFrame, groups: int, k: int) -> list | None:
                 known, now = held.get(reached | mask), (*chosen, i)
                 if known is None or quality(now) > quality(known):
                     held[reached | mask] = now
-    return [rows[i]["id"] for i in held[full]] if full in held else None
+    return held.get(full)
 
 
 def broad_search(records: DataFrame, request: Request, asked: Asked) -> DataFrame:

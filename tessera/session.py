@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
@@ -36,3 +38,29 @@ def scratch_dir(spark: SparkSession) -> str:
     if named is None and spark.sparkContext.master.split("[")[0] != "local":
         raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
     return (named or "/tmp/checkpoints").rstrip("/")
+
+
+_contexts: list = []
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder, under the application's, which goes when the driver's Python ends."""
+    folder = f"{scratch_dir(spark)}/tessera-{spark.sparkContext.applicationId}/queries"
+    if spark.sparkContext not in _contexts:
+        _contexts.append(spark.sparkContext)
+        atexit.register(_forget, spark, folder)
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
+def _forget(spark: SparkSession, folder: str) -> None:
+    context = spark.sparkContext
+    if context._jsc is not None and not context._jsc.sc().isStopped():
+        at = context._jvm.org.apache.hadoop.fs.Path(folder)
+        at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder, so that it is computed once and a lost executor repeats nothing before it."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
