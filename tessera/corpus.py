@@ -27,8 +27,11 @@ def offenders(records: DataFrame) -> DataFrame:
     """Records that break a rule, with the rules' names."""
     ranges = F.coalesce("measure_range", F.array().cast(R.RANGES))
     order = F.forall(F.sequence(F.lit(1), F.greatest(F.size(ranges) - 1, F.lit(1))), lambda i: (F.size(ranges) < 2) | (F.get(ranges, i - 1)["end"] < F.get(ranges, i)["start"]))
+    named = {c: F.trim(c) != "" for c in ("edition", "measure_system") if c in records.columns}
+    placed = {f"{c}_of_ranges": (F.size(ranges) == 0) | F.coalesce(said, F.lit(False)) for c, said in named.items()}  # a range means something in one edition and counting only
     return constraints.breaking(
         records,
+        **placed,
         id=F.trim("id") != "",
         answer=F.trim("answer") != "",
         ranges=F.forall(ranges, lambda x: (x["start"] >= 1) & (x["end"] >= x["start"])) & order,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, StructType
 
@@ -114,3 +115,34 @@ def check_cases(cases: DataFrame, group: str, case_id: str, expected: dict[str,
     require(cases.filter(F.coalesce(F.trim(case_id), F.lit("")) == "").select(group, case_id), "cases have no id")
     require(duplicate_keys(cases, [case_id]), "cases are there twice")
     require(case_totals(cases, group, case_id, expected), "there are more or fewer cases than expected")
+
+
+def review_document(rows: DataFrame, document: str, position: str, item: str, source: str, note: str, needs_note: Column, prefix: Column, units: DataFrame) -> DataFrame:
+    """Breaches of a review document's rules as (document, item, broken), one row an item; units: the (document, source) pairs that have to be there.
+
+    order: sources don't descend along position; id: the item is the prefix, a dash and the item's running number
+    of two digits at least; note: items that need a note have one; unknown: the source is none of the units.
+    A unit without an item is a row with no item and broken missing.
+    """
+    here = W.partitionBy(document).orderBy(position, item)
+    numbered = rows.withColumn("__n", F.row_number().over(here)).withColumn("__before", F.lag(source).over(here))
+    known = units.select(document, F.col(source)).distinct().withColumn("__known", F.lit(True))
+    numbered = numbered.join(known, [document, source], "left")
+    number = F.when(F.col("__n") < 100, F.lpad(F.col("__n").cast("string"), 2, "0")).otherwise(F.col("__n").cast("string"))
+    found = breaking(
+        numbered, order=F.col("__before").isNull() | (F.col("__before") <= F.col(source)), id=F.col(item) == F.concat(prefix, F.lit("-"), number),
+        note=~needs_note | (F.trim(F.coalesce(F.col(note), F.lit(""))) != ""), unknown=F.col("__known").isNotNull(),
+    )
+    missing = known.join(rows.select(document, source).distinct(), [document, source], "left_anti")
+    return found.select(document, item, "broken").unionByName(missing.select(document, F.lit(None).cast(rows.schema[item].dataType).alias(item), F.array(F.lit("missing")).alias("broken")))
+
+
+def frozen_figures(rows: DataFrame, stated: DataFrame, group: list[str], value: str, n: str, mean: str, tolerance: float = 1e-9) -> DataFrame:
+    """(group, broken): groups whose rows don't give what a frozen summary states: their number, and the mean computed anew within tolerance. A group on one side only is missing or unexpected."""
+    anew = rows.groupBy(*group).agg(F.count("*").alias("__n"), F.avg(value).alias("__mean"))
+    both = stated.select(*group, F.col(n).alias("__stated_n"), F.col(mean).alias("__stated_mean")).join(anew, group, "full_outer")
+    close = F.abs(F.col("__mean") - F.col("__stated_mean")) <= tolerance
+    return breaking(
+        both, missing=F.col("__n").isNotNull(), unexpected=F.col("__stated_n").isNotNull(), rows=F.col("__n").isNull() | F.col("__stated_n").isNull() | (F.col("__n") == F.col("__stated_n")),
+        mean=F.col("__n").isNull() | F.col("__stated_n").isNull() | F.coalesce(close, F.col("__mean").isNull() & F.col("__stated_mean").isNull()),
+    ).select(*group, "broken")

@@ -22,7 +22,8 @@ def parents_per_child(children: DataFrame, parents: DataFrame, keys: dict[str, s
 
 def compare(left: DataFrame, right: DataFrame, key: list[str], content: list[str]) -> DataFrame:
     """(key, status): missing (only left), unexpected (only right), changed or same, by a hash of content."""
-    digest = F.sha2(F.concat_ws("\0", *(F.coalesce(F.col(c).cast("string"), F.lit("\1")) for c in content)), 256)
+    one = lambda c: F.coalesce(F.concat(F.length(F.col(c).cast("string")).cast("string"), F.lit(":"), F.col(c).cast("string")), F.lit("-"))  # noqa: E731  (null is like no text)
+    digest = F.sha2(F.concat(F.lit(""), *(one(c) for c in content)), 256)
     a = left.select(*key, digest.alias("__a"))
     b = right.select(*key, digest.alias("__b"))
     status = F.when(F.col("__b").isNull(), "missing").when(F.col("__a").isNull(), "unexpected").when(F.col("__a") != F.col("__b"), "changed").otherwise("same")
@@ -65,13 +66,21 @@ def change_partition(before: DataFrame, after: DataFrame, key: list[str], digest
 
 
 def resolve_overrides(overrides: DataFrame, records: DataFrame, override_id: str, record_id: str, wanted: str, ids: str) -> DataFrame:
-    """(override id, matches): how many records have all the ids that each override wants; 1 is sound. An override that wants none matches all."""
-    asked = overrides.select(override_id, F.array_distinct(wanted).alias("__w"))
-    pairs = asked.select(override_id, F.size("__w").alias("__n"), F.explode("__w").alias("__id"))
-    held = records.select(record_id, F.explode(F.array_distinct(ids)).alias("__id"))
-    full = pairs.join(held, "__id").groupBy(override_id, "__n", record_id).agg(F.count("*").alias("__c")).filter("__c = __n").groupBy(override_id).agg(F.count("*").alias("__m"))
+    """(override id, matches): how many records have all the ids that each override wants; 1 is sound. An override that wants none matches all, null ids count for nothing.
+
+    Equal sets are taken once on either side. A wanted set meets the records that hold its rarest id,
+    and no others, so an id that most records have brings nothing together unless a set wants no rarer one.
+    """
+    as_set = lambda c: F.array_sort(F.array_distinct(F.array_compact(F.coalesce(F.col(c), F.array()))))
+    asked = overrides.select(override_id, as_set(wanted).alias("__w"))
+    sets = records.groupBy(as_set(ids).alias("__ids")).agg(F.count("*").alias("__records"))
+    holders = sets.select("__ids", "__records", F.explode("__ids").alias("__id"))
+    spread = holders.groupBy("__id").agg(F.count("*").alias("__spread"))
+    members = asked.filter(F.size("__w") > 0).select("__w").distinct().select("__w", F.explode("__w").alias("__id"))
+    rarest = members.join(spread, "__id", "left").groupBy("__w").agg(F.min(F.struct(F.coalesce("__spread", F.lit(0)).alias("n"), "__id")).alias("x")).select("__w", "x.__id")
+    held = rarest.join(holders, "__id").filter(F.size(F.array_except("__w", "__ids")) == 0).groupBy("__w").agg(F.sum("__records").alias("__m"))
     everything = records.agg(F.count("*").alias("__all"))
-    return asked.join(full, override_id, "left").crossJoin(F.broadcast(everything)).select(override_id, F.when(F.size("__w") == 0, F.col("__all")).otherwise(F.coalesce("__m", F.lit(0))).alias("matches"))
+    return asked.join(held, "__w", "left").crossJoin(F.broadcast(everything)).select(override_id, F.when(F.size("__w") == 0, F.col("__all")).otherwise(F.coalesce("__m", F.lit(0))).alias("matches"))
 
 
 def last_by_key(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions.vectors import wilson
+from tessera.session import kept
 
 
 def percentile_linear(value: Column, p: float) -> Column:
-    """Interpolated between the two nearest values."""
+    """Interpolated between the two nearest values. A group's distinct values meet in one row: for small groups; see percentiles()."""
     return F.percentile(value, F.lit(p))
 
 
@@ -35,6 +38,67 @@ def percentile_nearest_rank(value: str, p: float) -> Column:
     return F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {value})")
 
 
+#: Buckets that a value's range is cut into in each round; and rows of a bucket that are few enough to be sorted in one task.
+CUTS, FEW = 1024, 100_000
+
+
+def at_places(df: DataFrame, group: list[str], value: str, places: DataFrame) -> DataFrame:
+    """places (group, place, from 0) with value: what stands at each place of its group's sorted values. No task holds a group.
+
+    In rounds, the range in which a place lies is cut into buckets, these are counted, and the place is
+    known within one of them. Buckets of FEW rows are sorted; one whose values are equal is their value.
+    """
+    own = df.filter(F.col(value).isNotNull()).select(*group, F.col(value).alias("__v"))
+    spans = own.groupBy(*group).agg(F.min("__v").alias("__lo"), F.max("__v").alias("__hi"), F.count("*").alias("__n"))
+    open_ = kept(places.select(*group, "place").distinct().withColumn("__at", F.col("place").cast("long")).join(spans, group), "places")
+    done, same = [], [*group, "__lo", "__hi"]
+
+    def rows(of: DataFrame) -> DataFrame:
+        return own.join(of.select(*same).distinct(), group).filter(F.col("__v").between(F.col("__lo"), F.col("__hi")))
+
+    while True:
+        done.append(open_.filter("__lo = __hi").select(*group, "place", F.col("__lo").alias("value")))
+        open_ = open_.filter("__lo < __hi")
+        largest = open_.agg(F.max("__n")).first()[0] or 0
+        if largest <= FEW:
+            break
+        cut = F.least(F.lit(CUTS - 1), F.floor((F.col("__v") - F.col("__lo")) / (F.col("__hi") - F.col("__lo")) * CUTS)).cast("int")
+        counted = rows(open_).groupBy(*same, cut.alias("__cut")).agg(F.count("*").alias("__n"), F.min("__v").alias("__low"), F.max("__v").alias("__high"))
+        counted = counted.withColumn("__before", F.sum("__n").over(W.partitionBy(*same).orderBy("__cut")) - F.col("__n"))
+        inside = open_.drop("__n").join(counted, same).filter((F.col("__before") <= F.col("__at")) & (F.col("__at") < F.col("__before") + F.col("__n")))
+        open_ = kept(inside.select(*group, "place", (F.col("__at") - F.col("__before")).alias("__at"), F.col("__low").alias("__lo"), F.col("__high").alias("__hi"), "__n"), "places")
+    ranked = rows(open_).withColumn("__at", (F.row_number().over(W.partitionBy(*same).orderBy("__v")) - 1).cast("long"))
+    done.append(open_.join(ranked, [*same, "__at"]).select(*group, "place", F.col("__v").alias("value")))
+    return reduce(DataFrame.unionByName, done)
+
+
+LINEAR, LOWER, NEAREST = "linear", "lower", "nearest"
+
+
+def percentiles(df: DataFrame, group: list[str], value: str, shares: dict[str, tuple[str, float]]) -> DataFrame:
+    """(group, name for each of shares): exact percentiles of groups of any size. A share is (kind, p).
+
+    linear: interpolated between the values around place (n - 1) * p; lower: the value at the place below it;
+    nearest: the value at place ceil(n * p), from 1. Groups without a value are left out.
+    """
+    own = df.filter(F.col(value).isNotNull())
+    sizes = own.groupBy(*group).agg(F.count("*").alias("__size"))
+    if (sizes.agg(F.max("__size")).first()[0] or 0) <= FEW:  # each group fits one task: the same figures by one aggregation
+        direct = {LINEAR: lambda p: percentile_linear(F.col(value), p), LOWER: lambda p: percentile_lower_index(F.col(value), p), NEAREST: lambda p: percentile_nearest_rank(value, p)}
+        return own.groupBy(*group).agg(*(direct[kind](p).cast("double").alias(name) for name, (kind, p) in shares.items()))
+    wanted = []
+    for name, (kind, p) in shares.items():
+        at = (F.col("__size") - 1) * F.lit(p)
+        ends = {LINEAR: (F.floor(at), F.ceil(at)), LOWER: (F.floor(at),) * 2, NEAREST: (F.greatest(F.ceil(F.col("__size") * F.lit(p)) - 1, F.lit(0)),) * 2}[kind]
+        wanted.append(F.struct(F.lit(name).alias("name"), *(e.cast("long").alias(c) for e, c in zip(ends, ("below", "above"), strict=True)), (at - F.floor(at) if kind == LINEAR else F.lit(0.0)).alias("part")))
+    wanted = kept(sizes.select(*group, F.explode(F.array(*wanted)).alias("x")).select(*group, "x.*"), "wanted")
+    places = wanted.select(*group, F.col("below").alias("place")).unionByName(wanted.select(*group, F.col("above").alias("place")))
+    found = kept(at_places(df, group, value, places), "found")
+    both = wanted.join(found.withColumnsRenamed({"place": "below", "value": "__a"}), [*group, "below"]).join(found.withColumnsRenamed({"place": "above", "value": "__b"}), [*group, "above"])
+    at = F.when(F.col("part") == 0, F.col("__a").cast("double")).otherwise((1 - F.col("part")) * F.col("__a") + F.col("part") * F.col("__b"))
+    return both.withColumn("__p", at).groupBy(*group).agg(*(F.max(F.when(F.col("name") == name, F.col("__p"))).alias(name) for name in shares))
+
+
 def rate(condition: Column, among: Column | None = None) -> Column:
     """The share of rows for which condition holds, of all or of those among; null for none."""
     hit = F.coalesce(condition, F.lit(False))
@@ -52,10 +116,9 @@ def conditional_mean(value: Column, useful: Column) -> Column:
 
 def two_level(df: DataFrame, group: list[str], case: str, value: str) -> DataFrame:
     """Repeats averaged per case, then the cases' distribution: cases, requests, mean, median, p95."""
-    cases = df.groupBy(*group, case).agg(F.avg(value).alias("__v"), F.count("*").alias("__n"))
-    return cases.groupBy(*group).agg(
-        F.count("*").alias("cases"), F.sum("__n").alias("requests"), F.avg("__v").alias("mean_value"), percentile_linear(F.col("__v"), 0.5).alias("median_value"), percentile_linear(F.col("__v"), 0.95).alias("p95_value")
-    )
+    cases = kept(df.groupBy(*group, case).agg(F.avg(value).alias("__v"), F.count("*").alias("__n")), "cases")
+    figures = cases.groupBy(*group).agg(F.count("*").alias("cases"), F.sum("__n").alias("requests"), F.avg("__v").alias("mean_value"))
+    return figures.join(percentiles(cases, group, "__v", {"median_value": (LINEAR, 0.5), "p95_value": (LINEAR, 0.95)}), group, "left")
 
 
 def latency(value: str) -> list[Column]:

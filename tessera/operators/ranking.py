@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tessera.functions.vectors import dot, unit
 
 RRF_K, LEXICAL_WEIGHT, DENSE_WEIGHT = 60, 0.35, 0.65
-LEAST_SCORE, LEAST_MARGIN, NEAR_TIE, SUPPLEMENT_MARGIN = 0.60, 0.04, 0.93, 0.05
+LEAST_SCORE, LEAST_MARGIN, NEAR_TIE, SUPPORTED_TIE, SUPPLEMENT_MARGIN = 0.60, 0.04, 0.93, 0.91, 0.05
 
 
 def cosine(queries: DataFrame, docs: DataFrame, query_id: str, id_col: str, query_vector: str, vector: str) -> DataFrame:
@@ -53,7 +53,9 @@ def fused_top(df: DataFrame, lexical: str, dense: str, tie: str, k: int, rrf_k:
     while True:
         first = df.filter(F.col(lexical) > 0).orderBy(F.desc(lexical), tie).limit(r)
         second = df.filter(F.col(dense).isNotNull()).orderBy(F.desc(dense), tie).limit(r)
-        candidates = df.sparkSession.createDataFrame(first.unionByName(second).dropDuplicates([tie]).collect(), df.schema)
+        found = first.withColumn("__list", F.lit(0)).unionByName(second.withColumn("__list", F.lit(1))).collect()
+        whole = all(sum(x["__list"] == k for x in found) < r for k in (0, 1))  # both lists are here
+        candidates = df.sparkSession.createDataFrame(list({x[tie]: x[:-1] for x in found}.values()), df.schema)
         own = candidates.select(F.col(tie).alias("__id"), low.alias("__l"), high.alias("__d"))
         ahead = df.select(F.col(tie).alias("__other"), low.alias("__x"), high.alias("__y")).crossJoin(F.broadcast(own))
         before = lambda x, y: ((F.col(x) > F.col(y)) | ((F.col(x) == F.col(y)) & (F.col("__other") < F.col("__id")))).cast("int")
@@ -62,7 +64,7 @@ def fused_top(df: DataFrame, lexical: str, dense: str, tie: str, k: int, rrf_k:
         second_part = F.when(F.col(dense).isNotNull(), dense_weight / (rrf_k + F.col("dense_rank"))).otherwise(0.0)
         best = candidates.join(ranks, candidates[tie] == ranks["__id"]).drop("__id").withColumn("fused", first_part + second_part).orderBy(F.desc("fused"), tie).limit(k)
         rows = best.collect()
-        if r >= n or len(rows) == k and rows[-1]["fused"] > weight / (rrf_k + r + 1):
+        if r >= n or whole or len(rows) == k and rows[-1]["fused"] > weight / (rrf_k + r + 1):
             return df.sparkSession.createDataFrame(rows, best.schema)
         r *= 4
 
@@ -74,9 +76,13 @@ def confident(df: DataFrame, group: list[str], score: str, tie: str, least: floa
     return ranked.filter((F.col("__rank") == 1) & (F.col(score) >= least) & (F.col("lead").isNull() | (F.col("lead") >= margin))).drop("__rank")
 
 
-def near_tie(df: DataFrame, group: list[str], score: str, share: float = NEAR_TIE) -> DataFrame:
-    """Rows within share of their group's best score."""
-    return df.withColumn("__best", F.max(score).over(W.partitionBy(*group))).filter(F.col(score) >= share * F.col("__best")).drop("__best")
+def near_tie(df: DataFrame, group: list[str], score: str, share: float = NEAR_TIE, supported: Column | None = None, supported_share: float = SUPPORTED_TIE) -> DataFrame:
+    """Rows within share of their group's best score, and within supported_share of it where words or concepts support them too."""
+    best = F.max(score).over(W.partitionBy(*group))
+    near = F.col(score) >= share * F.col("__best")
+    if supported is not None:
+        near = near | (F.coalesce(supported, F.lit(False)) & (F.col(score) >= supported_share * F.col("__best")))
+    return df.withColumn("__best", best).filter(near).drop("__best")
 
 
 def supplement(primary: DataFrame, secondary: DataFrame, group: list[str], score: str, margin: float = SUPPLEMENT_MARGIN) -> DataFrame:

@@ -70,7 +70,8 @@ def verdict_transition_matrix(spark, sf_dir):
 
 @query("SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY event_type")
 def percentile_linear(spark, sf_dir):
-    return Tables(spark, sf_dir).events.groupBy("event_type").agg(SIX(metrics.percentile_linear(F.col("value"), 0.5)).alias("p50"), SIX(metrics.percentile_linear(F.col("value"), 0.95)).alias("p95"))
+    out = metrics.percentiles(Tables(spark, sf_dir).events.select("event_type", "value"), ["event_type"], "value", {"p50": (metrics.LINEAR, 0.5), "p95": (metrics.LINEAR, 0.95)})
+    return out.withColumns({"p50": SIX("p50"), "p95": SIX("p95")})
 
 
 @query("SELECT user_id, round(list_sort(list(value))[(floor((count(value) - 1) * 0.9) + 1)::BIGINT], 6) AS p90 FROM events WHERE value IS NOT NULL GROUP BY user_id")

@@ -258,3 +258,42 @@ def default_scopes(spark, sf_dir):
     ranges = F.when(k == 0, F.array().cast(R.RANGES)).when(k == 1, F.array(one(3))).otherwise(F.array(one(3), one(9)))
     said = F.when((k == 2) & (F.col("o_custkey") % 2 == 1), "local").when((k == 2) & (F.col("o_custkey") % 4 == 0), "recurring").otherwise(R.default_scope(ranges))
     return Tables(spark, sf_dir).orders.select("o_orderkey", R.default_scope(ranges).alias("scope"), R.scope_is_consistent(R.checked(ranges), said).alias("consistent"))
+
+
+@query(f"""WITH {RECORDS_SQL}, m AS (SELECT *, CASE WHEN doc_id % 4 = 0 THEN NULL WHEN doc_id % 4 = 1 THEN ' ' ELSE 'first' END AS edition, CASE WHEN doc_id % 6 = 0 THEN '' ELSE 'bars' END AS counting FROM r)
+SELECT doc_id::VARCHAR AS id, array_to_string(list_filter([CASE WHEN coalesce(trim(edition), '') = '' THEN 'edition_of_ranges' END, CASE WHEN trim(counting) = '' THEN 'measure_system_of_ranges' END], lambda x: x IS NOT NULL), ',') AS broken
+FROM m WHERE k >= 2 AND (coalesce(trim(edition), '') = '' OR trim(counting) = '')""")
+def ranges_without_edition(spark, sf_dir):
+    """Records that select measures without naming the edition or how it counts them."""
+    i = F.col("id").cast("long")
+    marked = _records(spark, sf_dir).withColumn("edition", F.when(i % 4 == 0, F.lit(None)).when(i % 4 == 1, " ").otherwise("first")).withColumn("measure_system", F.when(i % 6 == 0, "").otherwise("bars"))
+    return corpus.offenders(marked).select("id", F.array_join("broken", ",").alias("broken"))
+
+
+@query("""WITH d AS (SELECT coalesce(lang, '-') AS document, doc_id, n_chars, source, CASE WHEN doc_id % 9 = 0 THEN NULL ELSE 'note' END AS note FROM documents),
+n AS (SELECT *, row_number() OVER w AS n, lag(source) OVER w AS before FROM d WINDOW w AS (PARTITION BY document ORDER BY source, doc_id)),
+i AS (SELECT *, document || '-' || CASE WHEN n < 100 THEN lpad(n::VARCHAR, 2, '0') ELSE n::VARCHAR END AS fine FROM n)
+SELECT document, CASE WHEN doc_id % 13 = 0 THEN fine || 'x' ELSE fine END AS item, array_to_string(list_filter([CASE WHEN doc_id % 13 = 0 THEN 'id' END, CASE WHEN doc_id % 9 = 0 AND n_chars % 2 = 0 THEN 'note' END, CASE WHEN source = 'src3' THEN 'unknown' END], lambda x: x IS NOT NULL), ',') AS broken
+FROM i WHERE doc_id % 13 = 0 OR (doc_id % 9 = 0 AND n_chars % 2 = 0) OR source = 'src3'
+UNION ALL SELECT DISTINCT document, NULL, 'missing' FROM d""")
+def review_document_breaches(spark, sf_dir):
+    """Documents of a language as a review document that was broken on purpose: wrong ids, notes left out, a source that isn't expected and one that has no item."""
+    d = Tables(spark, sf_dir).documents.select(F.coalesce("lang", F.lit("-")).alias("document"), "doc_id", "n_chars", "source", F.when(F.col("doc_id") % 9 != 0, "note").alias("note"))
+    n = F.row_number().over(W.partitionBy("document").orderBy("source", "doc_id"))
+    rows = d.withColumn("n", n).withColumn("number", F.when(F.col("n") < 100, F.lpad(F.col("n").cast("string"), 2, "0")).otherwise(F.col("n").cast("string")))
+    rows = rows.withColumn("item", F.concat("document", F.lit("-"), "number", F.when(F.col("doc_id") % 13 == 0, "x").otherwise("")))
+    units = d.filter("source <> 'src3'").select("document", "source").unionByName(d.select("document", F.lit("never").alias("source")))
+    found = constraints.review_document(rows, "document", "n", "item", "source", "note", F.col("n_chars") % 2 == 0, F.col("document"), units)
+    return found.select("document", "item", F.array_join("broken", ",").alias("broken"))
+
+
+@query("""WITH t AS (SELECT event_type, count(*) AS n, avg(value) AS m FROM events GROUP BY 1),
+p AS (SELECT *, row_number() OVER (ORDER BY event_type) AS r FROM t)
+SELECT event_type, CASE WHEN r = 1 THEN 'rows' WHEN r = 2 THEN 'mean' ELSE 'unexpected' END AS broken FROM p WHERE r <= 3 UNION ALL SELECT 'none of them', 'missing'""")
+def frozen_figures_anew(spark, sf_dir):
+    """A summary of the events that was changed afterwards: a number of rows, a mean, a group left out and one made up."""
+    events = Tables(spark, sf_dir).events.select("event_type", "value")
+    r = F.row_number().over(W.orderBy("event_type"))  # a row a type
+    stated = events.groupBy("event_type").agg(F.count("*").alias("n"), F.avg("value").alias("m")).withColumn("r", r)
+    stated = stated.select(F.when(F.col("r") == 3, "none of them").otherwise(F.col("event_type")).alias("event_type"), (F.col("n") + (F.col("r") == 1).cast("int")).alias("n"), (F.col("m") + F.when(F.col("r") == 2, 0.001).otherwise(0.0)).alias("m"))
+    return constraints.frozen_figures(events, stated, ["event_type"], "value", "n", "m", 1e-6).select("event_type", F.array_join("broken", ",").alias("broken"))

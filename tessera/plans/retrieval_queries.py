@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
-from tessera.operators import lexical, metrics, ranking, selection
+from tessera.operators import lexical, metrics, pivots, postings, ranking, selection
 from tessera.plans.base import Tables, query, scratch
 
 TERMS = ["the", "thion", "erand", "que", "the"]
@@ -66,9 +66,9 @@ s AS (SELECT item_id, doc_id, round(sum(times * ln(1 + (n - df + 0.5) / (df + 0.
       FROM q JOIN post USING (term) JOIN df USING (term), stats GROUP BY ALL)
 SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s QUALIFY rank <= 3""")
 def bm25_query_table(spark, sf_dir):
-    t = Tables(spark, sf_dir)
-    scored = lexical.score_queries(t.documents.select("doc_id", "text"), "doc_id", X.tokens(F.col("text")), t.benchmark, "item_id", X.tokens(F.col("text"))).withColumn("score", SIX("score"))
-    return ranking.top_k(scored, ["item_id"], [F.desc("score"), F.col("doc_id")], 3)
+    index = postings.of_table(spark, f"{sf_dir}/documents.parquet", "doc_id", "text", X.tokens)
+    best, _ = postings.search(index, Tables(spark, sf_dir).benchmark, "item_id", X.tokens(F.col("text")), 3, 6)
+    return best.withColumnRenamed("id", "doc_id")
 
 
 @query(f"""
@@ -100,6 +100,17 @@ def _cosine(spark, sf_dir):
     return scores.join(labels, "vec_id").join(F.broadcast(queries), "query_id")
 
 
+def _nearest(spark, sf_dir, k):
+    """Each query's k nearest vectors with rank; groups of vectors that can't be among them are left out."""
+    e = Tables(spark, sf_dir).embeddings
+    queries = e.filter(AS_QUERY).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    return pivots.nearest(queries, e, "query_id", "vec_id", "query_vector", "embedding", k)[0]
+
+
+def _labelled(spark, sf_dir, ranked):
+    labels = Tables(spark, sf_dir).embeddings.select("vec_id", "label")
+    return ranked.join(labels, "vec_id").join(labels.select(F.col("vec_id").alias("query_id"), F.col("label").alias("query_label")), "query_id")
+
 
 def by_score():
     return [F.desc("score"), F.asc("vec_id")]
@@ -107,7 +118,7 @@ def by_score():
 
 @query(f"WITH {UNIT_SQL} SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM c QUALIFY rank <= 5")
 def cosine_topk(spark, sf_dir):
-    return ranking.top_k(_cosine(spark, sf_dir), ["query_id"], by_score(), 5).select("query_id", "vec_id", "score", "rank")
+    return _nearest(spark, sf_dir, 5)
 
 
 HYBRID_SQL = f"""
@@ -148,6 +159,12 @@ def near_tie_band(spark, sf_dir):
     return ranking.near_tie(_cosine(spark, sf_dir), ["query_id"], "score").select("query_id", "vec_id", "score")
 
 
+@query(f"WITH {UNIT_SQL}, m AS (SELECT query_id, max(score) AS best FROM c GROUP BY query_id) SELECT query_id, vec_id, score FROM c JOIN m USING (query_id) WHERE score >= 0.93 * best OR (label = query_label AND score >= 0.6 * best)")
+def supported_tie_band(spark, sf_dir):
+    """Near ties, and those not so near that have the query's own label."""
+    return ranking.near_tie(_cosine(spark, sf_dir), ["query_id"], "score", supported=F.col("label") == F.col("query_label"), supported_share=0.6).select("query_id", "vec_id", "score")
+
+
 @query(f"""
 WITH {UNIT_SQL}, b AS (SELECT query_id, max(score) FILTER (WHERE label <> query_label) AS second, max(score) FILTER (WHERE label = query_label) AS first FROM c GROUP BY query_id)
 SELECT query_id, vec_id, score, rank FROM (
@@ -167,7 +184,7 @@ f AS (SELECT query_id, any_value(query_label) AS label, min(rank) FILTER (WHERE
 @query(f"""WITH {HITS_SQL} SELECT query_id, first_rank, round(coalesce(1.0 / first_rank, 0), 6) AS reciprocal_rank,
        coalesce(first_rank <= 1, false)::INT AS hit_1, coalesce(first_rank <= 3, false)::INT AS hit_3, coalesce(first_rank <= 10, false)::INT AS hit_10 FROM f""")
 def hit_mrr_by_label(spark, sf_dir):
-    ranked = ranking.top_k(_cosine(spark, sf_dir), ["query_id"], by_score(), 10)
+    ranked = _labelled(spark, sf_dir, _nearest(spark, sf_dir, 10))
     return ranking.rank_metrics(ranked, ["query_id"], F.col("label") == F.col("query_label"), "rank", (1, 3, 10)).withColumn("reciprocal_rank", SIX("reciprocal_rank"))
 
 
@@ -198,7 +215,7 @@ def budgeted_rank_conditions(spark, sf_dir):
 v AS (SELECT query_id, lag(tier) OVER (PARTITION BY query_id ORDER BY rank) > tier AS bad FROM r)
 SELECT query_id, count(*) FILTER (WHERE bad) AS violations FROM v GROUP BY query_id""")
 def authority_order_violations(spark, sf_dir):
-    ranked = ranking.top_k(_cosine(spark, sf_dir), ["query_id"], by_score(), 6).withColumn("tier", F.col("label") % 3)
+    ranked = _labelled(spark, sf_dir, _nearest(spark, sf_dir, 6)).withColumn("tier", F.col("label") % 3)
     return metrics.authority_violations(ranked, ["query_id"], "rank", "tier")
 
 

@@ -17,6 +17,7 @@ from tessera import guidance
 from tessera.functions import ranges as R
 from tessera.functions import text as X
 from tessera.operators import lexical, questions, ranking, screening, selection
+from tessera.session import kept
 
 ALIAS_WEIGHT, OVER_FETCH, CONTEXT_ROWS, MEANING_PLACES = 20.0, 24, 2, 6
 FINAL_LINEAGE, SEPARATE_LINEAGE, DIRECT_LINEAGE = "expert_annotation", "web_coaching", "sumijo_feedback"
@@ -242,8 +243,10 @@ def search_fused(records: DataFrame, request: Request, vectors: DataFrame, query
     text = lexical.score(records, "id", X.document_tokens(F.coalesce(F.col("retrieval_text"), F.col("answer"), F.lit(""))), terms, eligible(records, request)).withColumnRenamed("score", "text_score")
     q = spark.createDataFrame([(0, query_vector)], "q int, qv array<double>")
     dense = ranking.cosine(q, vectors, "q", "id", "qv", "vector").select("id", F.col("score").alias("dense_score"))
-    both = text.join(dense, "id", "left").withColumn("q", F.lit(0))
-    return ranking.top_k(ranking.fused(both, ["q"], "text_score", "dense_score", "id").filter("fused > 0"), ["q"], [F.desc("fused"), F.col("id")], request.top_k).drop("q")
+    if request.top_k < 1:
+        return text.join(dense, "id", "left").withColumn("rank", F.lit(0)).limit(0)
+    best = ranking.fused_top(kept(text.join(dense, "id", "left"), "fused"), "text_score", "dense_score", "id", request.top_k).filter("fused > 0")  # top_k rows
+    return best.withColumn("rank", F.row_number().over(W.orderBy(F.desc("fused"), "id")))
 
 
 def search_direct(records: DataFrame, request: Request, vectors: DataFrame, query_vector: list[float], least: float = ranking.LEAST_SCORE, margin: float = ranking.LEAST_MARGIN) -> DataFrame:
