@@ -6,12 +6,14 @@ import heapq
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions.text import hash_mod
+from tessera.session import kept
 
 # Authority of lineages, lower first, and scopes that only give context.
 AUTHORITY = {"sumijo_feedback": 0, "expert_annotation": 1, "web_coaching": 2, "web_database": 2}
@@ -87,42 +89,102 @@ def stratified_split(df: DataFrame, stratum: str, key: str, share: float, salt:
     return df.withColumn("__n", F.count("*").over(here)).withColumn("chosen", place <= F.round(F.col("__n") * share)).drop("__n")
 
 
+#: Candidates of a group that one round looks at; facets of all groups' candidates together, shared evenly, and what a group gets at least.
+CANDIDATES, CANDIDATE_FACETS, LEAST_FACETS = 20_000, 4_000_000, 1000
+#: Rows that add nothing are numbered in ranges of about so many.
+RANGE_ROWS = 500_000
+
+
 def diverse_order(df: DataFrame, group: list[str], facets: str, score: str, second: str, key: str) -> DataFrame:
     """df with position: each place goes to the row that adds most new facets; ties by score, second and key, all descending. Rows are known by group and key.
 
-    Each choice depends on those before it, so a group, one question's candidates, is ordered in one
-    call. Only hashes of facets and what orders rows go there, and a facet takes four bytes a row.
+    What a row adds never grows, so figures from before a round bound those after it. A round takes each
+    group's best candidates and places them one by one, as long as the best left beats every row that
+    isn't a candidate. Then all rows lose the facets placed since, where they are. A group of any size so
+    brings CANDIDATES rows and its share of CANDIDATE_FACETS at most to a task, and the facets placed in a
+    round, 8 bytes each, travel to all; rows that add nothing are only sorted.
     """
     fields = {f.name: f for f in df.schema}
-    schema = T.StructType([*(fields[c] for c in (*group, key)), T.StructField("position", T.IntegerType())])
-    hashed = F.array_distinct(F.transform(F.coalesce(facets, F.array().cast(fields[facets].dataType)), lambda x: F.xxhash64(x)))
-    slim = df.select(*group, F.col(key), F.col(score).alias("__score"), F.col(second).alias("__second"), hashed.alias("__facets"))
-
-    def order(rows: pd.DataFrame) -> pd.DataFrame:
-        values = list(zip(rows["__score"], rows["__second"], rows[key], strict=True))
-        ranked = sorted(range(len(rows)), key=values.__getitem__, reverse=True)
-        sizes = rows["__facets"].map(len).to_numpy()
+    kinds = {c: fields[c].dataType.simpleString() for c in (*group, key)}
+    names = F.array_sort(F.array_distinct(F.transform(F.coalesce(facets, F.array().cast(fields[facets].dataType)), lambda x: F.xxhash64(x))))
+    group_id = F.xxhash64(*group)
+    rows = kept(df.select(*group, F.col(key).alias("__key"), F.col(score).cast("double").alias("__score"), F.col(second).cast("double").alias("__second"), names.alias("__new"), group_id.alias("__group")), "rows")
+    merit = [F.size("__new").desc(), F.desc("__score"), F.desc("__second"), F.desc("__key")]
+    head, placed, offset = [*group, "__key"], [], 0
+    here = W.partitionBy("__group")
+
+    def place(table: pd.DataFrame) -> pd.DataFrame:
+        """Rows in order of merit; those that aren't candidates are cut off but for the first, which the others have to beat."""
+        bar = None if table["__last"].iloc[-1] else len(table) - 1
+        n = len(table) if bar is None else bar
+        sizes = table["__new"].map(len).to_numpy()
         ends = np.cumsum(sizes)
-        flat = np.concatenate([np.asarray(x, np.int64) for x in rows["__facets"]]) if ends[-1] else np.zeros(0, np.int64)
-        names, numbers = np.unique(flat, return_inverse=True)
-        numbers, fresh, out = numbers.astype(np.int32), np.ones(len(names), bool), []
-        # what a row adds never grows, so an older figure bounds it
-        heap = [(-int(sizes[i]), place) for place, i in enumerate(ranked)]
+        flat = np.concatenate([np.asarray(x, np.int64) for x in table["__new"]]) if ends[-1] else np.zeros(0, np.int64)
+        found, numbers = np.unique(flat, return_inverse=True)
+        fresh, out = np.ones(len(found), bool), []
+        tie = {i: r for r, i in enumerate(sorted(range(len(table)), key=lambda i: (table["__score"].iat[i], table["__second"].iat[i], table["__key"].iat[i]), reverse=True))}
+        heap = [(-int(sizes[i]), tie[i], i) for i in range(n)]
         heapq.heapify(heap)
+        limit = None if bar is None else (-int(sizes[bar]), tie[bar])
         while heap:
-            bound, place = heap[0]
-            best = ranked[place]
-            own = numbers[ends[best] - sizes[best] : ends[best]]
-            adds = int(np.count_nonzero(fresh[own]))
-            if -adds > bound:
-                heapq.heapreplace(heap, (-adds, place))
+            gain, order, i = heap[0]
+            own = numbers[ends[i] - sizes[i] : ends[i]]
+            adds = -int(np.count_nonzero(fresh[own]))
+            if adds > gain:
+                heapq.heapreplace(heap, (adds, order, i))
                 continue
+            if adds == 0 or (limit is not None and (adds, order) > limit):
+                break
             heapq.heappop(heap)
             fresh[own] = False
-            out.append(best)
-        return rows.iloc[out][[*group, key]].assign(position=range(1, len(out) + 1))
-
-    return df.join(slim.groupBy(*group).applyInPandas(order, schema), [*group, key])
+            out.append(i)
+        chosen = table.iloc[out]
+        return chosen[[*head, "__group"]].assign(__at=range(1, len(out) + 1), __new=list(chosen["__new"]))
+
+    def without(sent):
+        def run(batches):
+            for batch in batches:
+                table = batch.to_pandas()
+                out = []
+                for g, new in zip(table["__group"], table["__new"], strict=True):
+                    gone, new = sent.value.get(g), np.asarray(new, np.int64)
+                    out.append(new if gone is None or not len(new) else new[gone[np.minimum(np.searchsorted(gone, new), len(gone) - 1)] != new])
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.int64())) if name == "__new" else batch.column(i) for i, name in enumerate(batch.schema.names)], batch.schema.names)
+
+        return run
+
+    schema = ", ".join([*(f"{c} {kinds[c]}" for c in group), f"__key {kinds[key]}, __group long, __at int, __new array<long>"])
+    starts: dict[int, int] = {}
+    most = max(LEAST_FACETS, CANDIDATE_FACETS // max(1, rows.select("__group").distinct().count()))
+    while rows.filter(F.size("__new") > 0).head(1):
+        ranked = rows.filter(F.size("__new") > 0).withColumn("__n", F.row_number().over(here.orderBy(*merit))).filter(F.col("__n") <= CANDIDATES + 1)
+        upto = F.sum(F.size("__new")).over(here.orderBy("__n").rowsBetween(W.unboundedPreceding, W.currentRow))
+        some = ranked.withColumn("__upto", upto).withColumn("__in", (F.col("__n") == 1) | ((F.col("__n") <= CANDIDATES) & (F.col("__upto") <= most)))
+        edge = F.max(F.when(F.col("__in"), F.col("__n"))).over(here) + 1  # the first that is no candidate
+        some = some.withColumn("__edge", edge).withColumn("__last", F.max("__n").over(here) < F.col("__edge")).filter(F.col("__n") <= F.col("__edge"))
+        turn = kept(some.select(*head, "__group", "__score", "__second", "__new", "__n", "__last").groupBy("__group").applyInPandas(lambda t: place(t.sort_values("__n", ignore_index=True)), schema), "turn")
+        counts = {r["__group"]: r["n"] for r in turn.groupBy("__group").agg(F.count("*").alias("n")).collect()}  # a row a group
+        before = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in starts.items() for x in kv)), F.col("__group")), F.lit(0)) if starts else F.lit(0)
+        placed.append(turn.select(*head, (F.col("__at") + before).alias("position")))
+        starts = starts | {g: starts.get(g, 0) + n for g, n in counts.items()}
+        gone = turn.select("__group", F.explode("__new").alias("f")).distinct().sort("__group", "f").toArrow()
+        of, found = gone.column("__group").to_numpy(), gone.column("f").to_numpy()
+        ends = np.append(np.flatnonzero(of[1:] != of[:-1]) + 1, len(of)) if len(of) else np.zeros(0, np.int64)
+        sent = rows.sparkSession.sparkContext.broadcast({int(of[a]): found[a:b] for a, b in zip(np.append(0, ends[:-1]), ends, strict=True)})
+        left = rows.join(turn.select("__group", "__key"), ["__group", "__key"], "left_anti").select(*rows.columns)
+        rows = kept(left.mapInArrow(without(sent), rows.schema), "rows")
+    before = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in starts.items() for x in kv)), F.col("__group")), F.lit(0)) if starts else F.lit(0)
+    order = [F.asc("__group"), F.desc("__score"), F.desc("__second"), F.desc("__key")]
+    n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.count() // RANGE_ROWS)
+    ranged = kept(rows.drop("__new").repartitionByRange(n, *order).withColumn("__range", F.spark_partition_id()), "ranged")
+    sizes = ranged.groupBy("__group", "__range").agg(F.count("*").alias("__size"))
+    sizes = sizes.select("__group", "__range", (F.sum("__size").over(here.orderBy("__range")) - F.col("__size")).alias("__start"))
+    within = F.row_number().over(W.partitionBy("__group", "__range").orderBy(*order[1:]))
+    placed.append(ranged.withColumn("__within", within).join(sizes, ["__group", "__range"]).select(*head, (F.col("__start") + F.col("__within") + before).cast("int").alias("position")))
+    places = placed[0]
+    for more in placed[1:]:
+        places = places.unionByName(more)
+    return df.join(places.withColumnRenamed("__key", key), [*group, key])
 
 
 def set_cover(df: DataFrame, group: list[str], covers: str, value: str, key: str, k: int) -> DataFrame:

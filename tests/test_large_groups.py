@@ -52,3 +52,27 @@ def test_sets_meet_on_their_rarest_id(spark):
     held = [(i, some(6)) for i in range(80)] + [(200, None), (201, []), (202, [None])]
     got = {r["i"]: r["matches"] for r in lineage.resolve_overrides(spark.createDataFrame(asked, "i long, w array<string>"), spark.createDataFrame(held, "r long, ids array<string>"), "i", "r", "w", "ids").collect()}
     assert got == {i: sum(set(filter(None, w or ())) <= set(h or ()) for _, h in held) for i, w in asked}
+
+
+@pytest.mark.parametrize(("candidates", "facets"), [(20_000, 2_000_000), (3, 2_000_000), (50, 12)])
+def test_the_greedy_order_is_the_step_by_step_one(spark, monkeypatch, candidates, facets):
+    from tessera.operators import selection
+
+    monkeypatch.setattr(selection, "CANDIDATES", candidates)
+    monkeypatch.setattr(selection, "CANDIDATE_FACETS", facets)
+    monkeypatch.setattr(selection, "LEAST_FACETS", 4)
+    draw = random.Random(5)
+    rows = [(g, f"k{i:02}", sorted(draw.sample(range(25), draw.randint(0, 6))) if i % 9 else None, float(draw.randint(0, 3)), float(draw.randint(0, 2))) for g in "ab" for i in range(24)] + [("c", "k", [], 1.0, 1.0)]
+    wanted = {}
+    for g in "abc":
+        left, seen, n = [r for r in rows if r[0] == g], set(), 0
+        while left:
+            best = max(left, key=lambda r: (len(set(r[2] or ()) - seen), r[3], r[4], r[1]))
+            left.remove(best)
+            seen |= set(best[2] or ())
+            n += 1
+            wanted[g, best[1]] = n
+    df = spark.createDataFrame(rows, "g string, k string, f array<int>, s double, t double").repartition(3)
+    got = selection.diverse_order(df, ["g"], "f", "s", "t", "k")
+    assert {(r["g"], r["k"]): r["position"] for r in got.collect()} == wanted and got.columns == [*df.columns, "position"] or set(got.columns) == {*df.columns, "position"}
+    assert selection.diverse_order(df.limit(0), ["g"], "f", "s", "t", "k").count() == 0
