@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions.text import hash_mod
-from tessera.session import kept
+from tessera.session import kept, release
 
 # Authority of lineages, lower first, and scopes that only give context.
 AUTHORITY = {"sumijo_feedback": 0, "expert_annotation": 1, "web_coaching": 2, "web_database": 2}
@@ -109,7 +109,6 @@ def diverse_order(df: DataFrame, group: list[str], facets: str, score: str, seco
     names = F.array_sort(F.array_distinct(F.transform(F.coalesce(facets, F.array().cast(fields[facets].dataType)), lambda x: F.xxhash64(x))))
     group_id = F.xxhash64(*group)
     rows = kept(df.select(*group, F.col(key).alias("__key"), F.col(score).cast("double").alias("__score"), F.col(second).cast("double").alias("__second"), names.alias("__new"), group_id.alias("__group")), "rows")
-    merit = [F.size("__new").desc(), F.desc("__score"), F.desc("__second"), F.desc("__key")]
     head, placed, offset = [*group, "__key"], [], 0
     here = W.partitionBy("__group")
 
@@ -157,12 +156,16 @@ def diverse_order(df: DataFrame, group: list[str], facets: str, score: str, seco
     starts: dict[int, int] = {}
     most = max(LEAST_FACETS, CANDIDATE_FACETS // max(1, rows.select("__group").distinct().count()))
     while rows.filter(F.size("__new") > 0).head(1):
-        ranked = rows.filter(F.size("__new") > 0).withColumn("__n", F.row_number().over(here.orderBy(*merit))).filter(F.col("__n") <= CANDIDATES + 1)
-        upto = F.sum(F.size("__new")).over(here.orderBy("__n").rowsBetween(W.unboundedPreceding, W.currentRow))
+        # who the candidates are is settled without their facets, which then come from where the rows are
+        slim = rows.filter(F.size("__new") > 0).select("__group", "__key", "__score", "__second", F.size("__new").alias("__size"))
+        merit = [F.desc("__size"), F.desc("__score"), F.desc("__second"), F.desc("__key")]
+        ranked = slim.withColumn("__n", F.row_number().over(here.orderBy(*merit))).filter(F.col("__n") <= CANDIDATES + 1)
+        upto = F.sum("__size").over(here.orderBy("__n").rowsBetween(W.unboundedPreceding, W.currentRow))
         some = ranked.withColumn("__upto", upto).withColumn("__in", (F.col("__n") == 1) | ((F.col("__n") <= CANDIDATES) & (F.col("__upto") <= most)))
         edge = F.max(F.when(F.col("__in"), F.col("__n"))).over(here) + 1  # the first that is no candidate
         some = some.withColumn("__edge", edge).withColumn("__last", F.max("__n").over(here) < F.col("__edge")).filter(F.col("__n") <= F.col("__edge"))
-        turn = kept(some.select(*head, "__group", "__score", "__second", "__new", "__n", "__last").groupBy("__group").applyInPandas(lambda t: place(t.sort_values("__n", ignore_index=True)), schema), "turn")
+        some = rows.join(F.broadcast(some.select("__group", "__key", "__n", "__last")), ["__group", "__key"])  # as many rows as their facets at most
+        turn = kept(some.groupBy("__group").applyInPandas(lambda t: place(t.sort_values("__n", ignore_index=True)), schema), "turn")
         counts = {r["__group"]: r["n"] for r in turn.groupBy("__group").agg(F.count("*").alias("n")).collect()}  # a row a group
         before = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in starts.items() for x in kv)), F.col("__group")), F.lit(0)) if starts else F.lit(0)
         placed.append(turn.select(*head, (F.col("__at") + before).alias("position")))
@@ -171,8 +174,9 @@ def diverse_order(df: DataFrame, group: list[str], facets: str, score: str, seco
         of, found = gone.column("__group").to_numpy(), gone.column("f").to_numpy()
         ends = np.append(np.flatnonzero(of[1:] != of[:-1]) + 1, len(of)) if len(of) else np.zeros(0, np.int64)
         sent = rows.sparkSession.sparkContext.broadcast({int(of[a]): found[a:b] for a, b in zip(np.append(0, ends[:-1]), ends, strict=True)})
-        left = rows.join(turn.select("__group", "__key"), ["__group", "__key"], "left_anti").select(*rows.columns)
-        rows = kept(left.mapInArrow(without(sent), rows.schema), "rows")
+        left = rows.join(F.broadcast(turn.select("__group", "__key")), ["__group", "__key"], "left_anti").select(*rows.columns)
+        before_turn, rows = rows, kept(left.mapInArrow(without(sent), rows.schema), "rows")
+        release(before_turn)
     before = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in starts.items() for x in kv)), F.col("__group")), F.lit(0)) if starts else F.lit(0)
     order = [F.asc("__group"), F.desc("__score"), F.desc("__second"), F.desc("__key")]
     n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.count() // RANGE_ROWS)

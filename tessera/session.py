@@ -63,4 +63,11 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder, so that it is computed once and a lost executor repeats nothing before it."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    vars(out)["_kept_path"] = path
+    return out
+
+
+def release(table: DataFrame) -> None:
+    """Delete a table of kept() that nothing will read again."""
+    _forget(table.sparkSession, vars(table)["_kept_path"])
