@@ -115,12 +115,12 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/tessera-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    if spark.sparkContext not in _contexts:  # before the write, which may fail
+        _contexts.append(spark.sparkContext)
+        atexit.register(_remove, spark, path.rpartition("/")[0])
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     vars(out)["_cut_path"] = path
-    if spark.sparkContext not in _contexts:
-        _contexts.append(spark.sparkContext)
-        atexit.register(_remove, spark, path.rpartition("/")[0])
     return out
 
 
