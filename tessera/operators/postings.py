@@ -9,16 +9,19 @@ of a query's k best, and no others.
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.operators import lexical
-from tessera.session import kept
+from tessera.session import kept, release
 
-BLOCK, BUCKETS = 1024, 16
+BLOCK, BUCKETS = 1024, 64
 #: Most frequent terms are told apart by so many slots, a row each in the table that says where a slot's documents begin.
 SLOTS = 4096
 #: Blocks that a query visits before its k-th score is known.
@@ -55,18 +58,30 @@ def bucket(term: Column) -> Column:
 
 def store(docs: DataFrame, id_col: str, tokens: Column, path: str, k1: float = lexical.K1, b: float = lexical.B) -> Index:
     """Write the index of all docs under path. Documents without tokens count in n and the mean length; one row a document."""
-    held = docs.select(F.col(id_col).alias("id"), tokens.alias("t")).withColumn("dl", F.coalesce(F.size("t"), F.lit(0)))
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                counts = [Counter(t or ()) for t in part.column(1).to_pylist()]
+                lead = [max(((n, term) for term, n in c.items()), default=(0, None))[1] for c in counts]
+                columns = [pa.array([c.total() for c in counts], pa.int32()), pa.array(lead, pa.string()), pa.array([list(c) for c in counts], pa.list_(pa.string())), pa.array([list(c.values()) for c in counts], pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays([part.column(0), *columns], ["id", "dl", "lead", "terms", "tfs"])
+
+    held = docs.select(F.col(id_col).alias("id"), tokens.alias("t")).mapInArrow(counted, f"id {kind}, dl int, lead string, terms array<string>, tfs array<int>")
+    held = kept(held.withColumn("slot", F.pmod(F.xxhash64("lead"), F.lit(SLOTS))), "counted")
     n, mean = held.agg(F.count("*"), F.coalesce(F.avg("dl"), F.lit(0.0))).first()
-    tf = kept(held.select("id", "dl", F.explode("t").alias("term")).groupBy("id", "dl", "term").agg(F.count("*").cast("int").alias("tf")), "tf")
-    slots = tf.groupBy("id").agg(F.max(F.struct("tf", "term")).alias("x")).select("id", F.pmod(F.xxhash64("x.term"), F.lit(SLOTS)).alias("slot"))
-    slots = kept(slots, "slots")
-    sizes = slots.groupBy("slot").agg(F.count("*").alias("size"))
+    sizes = held.groupBy("slot").agg(F.count("*").alias("size"))
     starts = sizes.select("slot", "size", (F.sum("size").over(W.orderBy("slot")) - F.col("size")).alias("start"))  # SLOTS rows at most
-    blocks = slots.join(F.broadcast(starts), "slot").select("id", F.expr(f"(start + pmod(xxhash64(id), size)) div {BLOCK}").cast("int").alias("block"))
-    rows = tf.join(blocks, "id").select(bucket(F.col("term")).alias("bucket"), "term", "block", F.struct("id", "tf", "dl").alias("doc"), lexical.weight(F.col("tf"), F.col("dl"), F.lit(mean), k1, b).alias("w"))
-    lists = rows.groupBy("bucket", "term", "block").agg(F.max("w").alias("top"), F.collect_list("doc").alias("docs"))
-    lists.repartition("bucket").sortWithinPartitions("bucket", "term", "block").write.partitionBy("bucket").parquet(f"{path}/lists")
-    kind = docs.schema[id_col].dataType.simpleString()
+    placed = held.join(F.broadcast(starts), "slot").withColumn("block", F.expr(f"(start + pmod(xxhash64(id), size)) div {BLOCK}").cast("int"))
+    rows = placed.select("id", "dl", "block", F.explode(F.arrays_zip("terms", "tfs")).alias("x")).select(
+        bucket(F.col("x.terms")).alias("bucket"), F.col("x.terms").alias("term"), "block", F.struct("id", F.col("x.tfs").alias("tf"), "dl").alias("doc"), lexical.weight(F.col("x.tfs"), F.col("dl"), F.lit(mean), k1, b).alias("w")
+    )
+    # dealt by bucket, grouped and sorted in place: postings are shuffled once
+    lists = rows.repartition(BUCKETS, "bucket").groupBy("bucket", "term", "block").agg(F.max("w").alias("top"), F.collect_list("doc").alias("docs"))
+    lists.sortWithinPartitions("bucket", "term", "block").write.option("compression", "zstd").partitionBy("bucket").parquet(f"{path}/lists")
+    release(held)
     stored = docs.sparkSession.read.schema(_lists(kind)).parquet(f"{path}/lists")
     stored.groupBy("bucket", "term").agg(F.sum(F.size("docs")).alias("df")).write.parquet(f"{path}/terms")
     docs.sparkSession.createDataFrame([(n, mean, k1, b, kind)], "n long, mean double, k1 double, b double, kind string").write.parquet(f"{path}/figures")
