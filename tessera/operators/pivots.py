@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.operators.dense import ROWS, Leaders, apart, dealt, keys, matrix, units
 from tessera.session import kept
 
 #: Pivots are the square root of the vectors in number, so many at most.
@@ -29,18 +30,6 @@ FIRST = 4
 SLACK = 2e-6
 
 
-def units(vectors: np.ndarray) -> np.ndarray:
-    """Rows of length 1; a row of zeros stays so and has cosine 0 with everything."""
-    norm = np.linalg.norm(vectors, axis=1, keepdims=True)
-    return np.divide(vectors, norm, out=np.zeros_like(vectors), where=norm > 0)
-
-
-def matrix(column: pa.Array) -> np.ndarray:
-    """A column of equally long arrays as rows of doubles."""
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
-
-
 def grouped(docs: DataFrame, id_col: str, vector: str) -> tuple[DataFrame, np.ndarray]:
     """((id, group, near, vector) as a table, sorted by group in each file; the pivots). near is the cosine to the pivot. Vectors that are null are left out."""
     spark = docs.sparkSession
@@ -57,7 +46,7 @@ def grouped(docs: DataFrame, id_col: str, vector: str) -> tuple[DataFrame, np.nd
                 group = near.argmax(axis=1)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(group, pa.int32()), pa.array(near[np.arange(len(group)), group]), batch.column(1)], ["id", "group", "near", "vector"])
 
-    return kept(own.mapInArrow(assign, f"id {kind}, group int, near double, vector array<double>").sortWithinPartitions("group"), "grouped"), pivots.value
+    return kept(dealt(own).mapInArrow(assign, f"id {kind}, group int, near double, vector array<double>").sortWithinPartitions("group"), "grouped"), pivots.value
 
 
 def bounds(queries: np.ndarray, pivots: np.ndarray, least: np.ndarray, most: np.ndarray) -> np.ndarray:
@@ -117,35 +106,35 @@ def _best(df: DataFrame, k: int) -> DataFrame:
 
 
 def _visited(table: DataFrame, groups: np.ndarray, vectors: np.ndarray, names: list, visits: np.ndarray, kind: str, k: int, digits: int, itself: bool) -> DataFrame:
-    """(q, id, score): of the groups that each query visits, the k best of every batch."""
+    """(q, id, score): of the groups that each query visits, the k best of every task. A task holds k rows a query, however many vectors it passes."""
     spark = table.sparkSession
     own = table.schema["id"].dataType.simpleString()
-    sent = spark.sparkContext.broadcast((vectors, names, {int(g): np.flatnonzero(visits[:, i]) for i, g in enumerate(groups) if visits[:, i].any()}))
+    place = np.full(int(groups.max()) + 1, -1)
+    place[groups] = np.arange(len(groups))
+    sent = spark.sparkContext.broadcast((vectors, names, visits, place))
     schema = f"q {kind}, id {own}, score double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        queries, labels, of_group = sent.value
+        queries, names, visits, place = sent.value
+        labels, leaders = keys(pa.array(names)), Leaders(len(names), k)
         for batch in batches:
-            group = batch.column(1).to_numpy()
-            held = units(matrix(batch.column(2)))
-            ids, out = batch.column(0).to_pylist(), []
-            for g in np.unique(group):
-                mine = np.flatnonzero(group == g)
-                asked = of_group.get(int(g), ())
+            for lo in range(0, batch.num_rows, ROWS):  # rows are in the order of their group, so a block has few of them
+                part = batch.slice(lo, ROWS)
+                visited = visits[:, place[part.column(1).to_numpy()]]
+                asked, rows = np.flatnonzero(visited.any(axis=1)), np.flatnonzero(visited.any(axis=0))
                 if not len(asked):
                     continue
-                scores = np.round(queries[asked] @ held[mine].T, digits)
-                for j, q in enumerate(asked):
-                    some = scores[j]
-                    most = min(len(some), k + 1)  # its own id may be one of them
-                    at = np.flatnonzero(some >= np.partition(some, len(some) - most)[len(some) - most])
-                    out += [(labels[q], ids[mine[i]], float(some[i])) for i in at if itself or ids[mine[i]] != labels[q]]
-            if out:
-                yield pa.RecordBatch.from_pylist([{"q": a, "id": b, "score": c} for a, b, c in out], schema=pa.schema([("q", kinds[0]), ("id", kinds[1]), ("score", pa.float64())]))
+                scores = np.round(queries[asked] @ units(matrix(part.column(2)))[rows].T, digits) + 0.0
+                scores[~visited[np.ix_(asked, rows)]] = -np.inf
+                ids = keys(part.column(0))[rows]
+                leaders.offer(scores if itself else apart(scores, labels[asked], ids), ids, asked)
+        if leaders.held is not None:
+            q, s, i = leaders.held
+            yield pa.RecordBatch.from_arrays([pa.array(labels[q]).cast(kinds[0]), pa.array(i).cast(kinds[1]), pa.array(s)], ["q", "id", "score"])
 
     from pyspark.sql.pandas.types import to_arrow_type
     from pyspark.sql.types import _parse_datatype_string
 
     kinds = to_arrow_type(_parse_datatype_string(kind)), to_arrow_type(table.schema["id"].dataType)
-    wanted = sorted(sent.value[2])
+    wanted = [int(g) for g in groups[visits.any(axis=0)]]
     return table.filter(F.col("group").isin(wanted) if wanted else F.lit(False)).select("id", "group", "vector").mapInArrow(run, schema)
