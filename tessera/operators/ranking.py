@@ -103,4 +103,4 @@ def rank_metrics(ranked: DataFrame, group: list[str], relevant: Column, rank: st
 def budget_rank(pool: DataFrame, group: list[str], score: str, tie: str, budget: int, tier: Column | None = None) -> DataFrame:
     """The first budget rows by relevance, or by tier before relevance."""
     order = [F.col(score).desc(), F.col(tie).asc()]
-    return top_k(pool, group, [tier.asc(), *order] if tier is not None else order, budget)
+    return top_k(pool, group, [tier.asc_nulls_last(), *order] if tier is not None else order, budget)

@@ -43,6 +43,16 @@ def diagnostics(expected: DataFrame, retrieved: DataFrame, case: str, item: str,
     """Per case: expected items, those found, the first rank, its reciprocal to six places and hits; nulls where nothing is expected."""
     found = expected.select(case, item).join(retrieved.select(case, item, rank), [case, item], "left")
     per = found.groupBy(case).agg(F.count(item).alias("expected"), F.count(F.when(F.col(item).isNotNull(), F.col(rank))).alias("found"), F.min(rank).alias("first_rank"))
+    return _graded(per, cutoffs)
+
+
+def counted_diagnostics(cases: DataFrame, found: DataFrame, case: str, rank: str, cutoffs: tuple[int, ...] = (1, 3, 6)) -> DataFrame:
+    """diagnostics() where the expected items aren't listed: cases has (case, expected), their number; found has (case, rank) of those retrieved."""
+    hits = found.groupBy(case).agg(F.count(rank).alias("found"), F.min(rank).alias("first_rank"))
+    return _graded(cases.join(hits, case, "left").select(case, "expected", F.coalesce("found", F.lit(0)).alias("found"), "first_rank"), cutoffs)
+
+
+def _graded(per: DataFrame, cutoffs: tuple[int, ...]) -> DataFrame:
     some = F.col("expected") > 0
     hits = [F.when(some, F.coalesce(F.col("first_rank") <= k, F.lit(False))).alias(f"hit_{k}") for k in cutoffs]
     return per.select("*", F.when(some, F.round(F.coalesce(1.0 / F.col("first_rank"), F.lit(0.0)), 6)).alias("reciprocal_rank"), *hits)
@@ -50,10 +60,19 @@ def diagnostics(expected: DataFrame, retrieved: DataFrame, case: str, item: str,
 
 def coverage(expected: DataFrame, retrieved: DataFrame, case: str, item: str, group: str) -> DataFrame:
     """Per group and over all: cases, share with any and with all expected items, and share of items found."""
+    marked = expected.select(case, item, group).join(retrieved.select(case, item).distinct().withColumn("__hit", F.lit(1)), [case, item], "left")
+    return _covered(marked.groupBy(case, group).agg(F.count("*").alias("__n"), F.count("__hit").alias("__k")), group)
+
+
+def counted_coverage(cases: DataFrame, found: DataFrame, case: str, group: str) -> DataFrame:
+    """coverage() where the expected items aren't listed: cases has (case, group, expected), their number; found has a row for each one retrieved."""
+    hits = found.groupBy(case).agg(F.count("*").alias("__k"))
+    return _covered(cases.join(hits, case, "left").select(case, group, F.col("expected").alias("__n"), F.coalesce("__k", F.lit(0)).alias("__k")), group)
+
+
+def _covered(per: DataFrame, group: str) -> DataFrame:
     from tessera.operators.metrics import rolled_up
 
-    marked = expected.select(case, item, group).join(retrieved.select(case, item).distinct().withColumn("__hit", F.lit(1)), [case, item], "left")
-    per = marked.groupBy(case, group).agg(F.count("*").alias("__n"), F.count("__hit").alias("__k"))
     return rolled_up(per, group, [F.count("*").alias("cases"), F.avg((F.col("__k") > 0).cast("double")).alias("any_rate"), F.avg((F.col("__k") == F.col("__n")).cast("double")).alias("all_rate"), (F.sum("__k") / F.sum("__n")).alias("item_recall")])
 
 
