@@ -114,6 +114,20 @@ def conditional_mean(value: Column, useful: Column) -> Column:
     return F.avg(F.when(useful, value.cast("double")))
 
 
+def ordered_mean(df: DataFrame, group: list[str], value: str, order: str, out: str) -> DataFrame:
+    """(group, out): the mean of value, added up in the order of a column, so that it doesn't hang on how rows are dealt to tasks. Rows pass one by one; no group is held."""
+    own = df.filter(F.col(value).isNotNull())
+    sofar = F.sum(value).over(W.partitionBy(*group).orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow))
+    sums = own.withColumn("__sum", sofar).groupBy(*group).agg(F.max_by("__sum", order).alias("__sum"), F.count("*").alias("__n"))
+    return df.select(*group).distinct().join(sums, group, "left").select(*group, (F.col("__sum") / F.col("__n")).alias(out))
+
+
+def rounded(value: Column, digits: int) -> Column:
+    """To digits, halves away from 0, of the double times a power of ten; Spark's own round() goes by the shortest decimal that prints as the double."""
+    size = F.floor(F.abs(value) * 10.0**digits + 0.5) / 10.0**digits
+    return F.when(value < 0, -size).otherwise(size)
+
+
 def two_level(df: DataFrame, group: list[str], case: str, value: str) -> DataFrame:
     """Repeats averaged per case, then the cases' distribution: cases, requests, mean, median, p95."""
     cases = kept(df.groupBy(*group, case).agg(F.avg(value).alias("__v"), F.count("*").alias("__n")), "cases")

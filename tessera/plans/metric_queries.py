@@ -98,7 +98,7 @@ p AS (SELECT l.v AS a, r.v AS b, round(r.v, 1) - round(l.v, 1) AS d FROM l FULL
 
 def _pairs(spark, sf_dir):
     e = Tables(spark, sf_dir).events
-    side = lambda t: e.filter(F.col("event_type") == t).groupBy("user_id").agg(F.round(F.avg("value"), 1).alias("v"))
+    side = lambda t: metrics.ordered_mean(e.filter(F.col("event_type") == t), ["user_id"], "value", "event_id", "v").withColumn("v", metrics.rounded(F.col("v"), 1))
     return metrics.paired(side("click"), side("view"), ["user_id"], "v")
 
 
