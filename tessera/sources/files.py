@@ -30,10 +30,20 @@ def read_jsonl(spark: SparkSession, path: str | list[str], schema: StructType |
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
-def bad_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(file, line, value) of lines that aren't JSON objects, blank ones aside: whole-file reads, so lines can be numbered."""
+def numbered_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(file, line, value) of all lines, from 1: whole-file reads, so lines can be numbered."""
     files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\n")).alias("line", "value"))
-    return files.filter(F.trim("value") != "").filter(F.json_object_keys("value").isNull()).withColumn("line", F.col("line") + 1)
+    return files.withColumn("line", F.col("line") + 1)
+
+
+def not_objects(lines: DataFrame) -> DataFrame:
+    """Those of numbered_lines() that aren't JSON objects, blank ones aside."""
+    return lines.filter(F.trim("value") != "").filter(F.json_object_keys("value").isNull())
+
+
+def bad_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(file, line, value) of lines that aren't JSON objects, blank ones aside."""
+    return not_objects(numbered_lines(spark, path))
 
 
 def fingerprints(spark: SparkSession, paths: str | list[str]) -> DataFrame:
