@@ -28,3 +28,19 @@ def made_up(spark, n=300):
 
 def test_token_forms_are_looked_up_once_a_token(spark):
     assert plan(catalog.queries()["token_rules"](spark, DATA)).count("element_at(") <= 4
+
+
+def test_broad_questions_hold_no_word_against_each_term(spark):
+    assert "startswith(" not in plan(catalog.queries()["broad_question_rules"](spark, DATA)).lower()
+
+
+def test_terms_and_prefixes_are_those_of_plain_definitions(spark):
+    rows, df = made_up(spark)
+    got = df.select("k", guidance.asked_terms(F.col("q")).alias("t"), guidance.asked_facets(F.col("q")).alias("f"), questions.relations(F.col("w")).alias("r"), F.filter("w", lambda c: X.begins_either_way(c, guidance.ALL_TERMS)).alias("b")).collect()
+    either = lambda c, terms: any(c.startswith(t) or t.startswith(c) for t in terms)
+    for r in got:
+        q = rows[r["k"]][1]
+        assert r["t"] == [t for t in guidance.ALL_TERMS if t in q.lower()]
+        assert r["f"] == [name for name, terms in guidance.FACETS.items() if any(t in q.lower() for t in terms)]
+        assert r["r"] == [c for c in q.split(" ") if either(c, questions.RELATION_ROOTS)]
+        assert r["b"] == [c for c in q.split(" ") if either(c, guidance.ALL_TERMS)]
