@@ -26,7 +26,7 @@ def spoken(spark, sf_dir: str) -> DataFrame:
     docs = Tables(spark, sf_dir).documents.select("doc_id", F.posexplode(F.split(F.lower("text"), r"[.!?\n]+")).alias("k", "s"))
     word = lambda w: F.element_at(F.array(*map(F.lit, SPOKEN)), (F.length(w) * 7 + F.ascii(w)) % len(SPOKEN) + 1)
     words = F.regexp_extract_all("s", F.lit("[a-z]+"), F.lit(0))
-    return docs.filter(F.size(words) > 0).select("doc_id", "k", F.array_join(F.transform(words, word), " ").alias("q"))
+    return docs.filter(F.col("s").rlike("[a-z]")).select("doc_id", "k", F.array_join(F.transform(words, word), " ").alias("q"))
 
 
 def _list(values) -> str:
@@ -55,7 +55,7 @@ def _digest_sql(values: str) -> str:
 
 
 def _digest(values):
-    return F.md5(F.array_join(F.array_sort(F.array_distinct(values)), "|"))
+    return F.md5(F.array_join(F.sort_array(F.array_distinct(values)), "|"))
 
 
 STEM_SQL = "CASE " + " ".join(f"WHEN regexp_matches(t, '^[가-힣]{{2,}}{'?' if k == 0 else ''}(?:{e})$') THEN regexp_extract(t, '^([가-힣]{{2,}}{'?' if k == 0 else ''})(?:{e})$', 1)" for k, e in enumerate(X.STEM_ENDINGS)) + " ELSE t END"
@@ -87,9 +87,9 @@ SELECT doc_id, k::INT AS k, {_digest_sql('c')} AS concepts, len({RELATED_SQL})::
        len(list_filter({_list(guidance.ALL_TERMS)}, lambda t: contains(q, t)))::INT AS n_terms FROM c""")
 def concept_rules(spark, sf_dir):
     q, c = F.col("q"), F.col("c")
-    df = spoken(spark, sf_dir).withColumn("c", questions.concepts(q, endings=ENDINGS, scaffold=("그리고",)))
-    facets = F.array_join(F.transform(guidance.asked_facets(q), lambda f: F.concat(f, F.lit("|"))), "")
-    return df.select("doc_id", "k", _digest(c).alias("concepts"), F.size(questions.relations(c)).alias("n_relations"), questions.asked_relation(q, c).isNotNull().alias("asks_relation"), facets.alias("facets"), F.size(guidance.asked_terms(q)).alias("n_terms"))
+    df = spoken(spark, sf_dir).withColumn("c", questions.concepts(q, endings=ENDINGS, scaffold=("그리고",))).withColumn("t", guidance.asked_terms(q))
+    facets = F.array_join(F.transform(guidance.named_facets(F.col("t")), lambda f: F.concat(f, F.lit("|"))), "")
+    return df.select("doc_id", "k", _digest(c).alias("concepts"), F.size(questions.relations(c)).alias("n_relations"), questions.asked_relation(q, c).isNotNull().alias("asks_relation"), facets.alias("facets"), F.size("t").alias("n_terms"))
 
 
 SPAN = "([0-9]+)마디부터 ([0-9]+)마디"
@@ -124,7 +124,8 @@ SELECT doc_id, k::INT AS k, len(c) > 0 AND len(special) = 0 AND ({_named(guidanc
   AND NOT (whole AND len(facets) > 0 AND regexp_matches(q, '{guidance.ONE_SLOT}') AND len(list_filter(facets, lambda a: len(list_filter(facets, lambda b: NOT list_has_any(a, b))) > 0)) = 0) AS broad FROM f""")
 def broad_question_rules(spark, sf_dir):
     q = F.col("q")
-    return spoken(spark, sf_dir).select("doc_id", "k", guidance.asks_broadly(q, questions.concepts(q, endings=ENDINGS, scaffold=("그리고",))).alias("broad"))
+    df = spoken(spark, sf_dir).withColumn("c", questions.concepts(q, endings=ENDINGS, scaffold=("그리고",)))
+    return df.select("doc_id", "k", guidance.asks_broadly(q, F.col("c")).alias("broad"))
 
 
 def records_of(documents: DataFrame) -> DataFrame:

@@ -54,3 +54,8 @@ def test_texts_without_a_unit_run_no_pass(spark, monkeypatch):
 
     monkeypatch.setattr(questions, "_COMPILED", Never())
     assert questions.mentioned_ranges("3 to 4 그리고 첫 17") == []
+
+
+def test_concepts_hold_no_word_against_each_root_and_compile_no_pattern_a_text(spark):
+    shown = plan(catalog.queries()["concept_rules"](spark, DATA)).lower()
+    assert "exists(" not in shown
