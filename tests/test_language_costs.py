@@ -59,3 +59,19 @@ def test_texts_without_a_unit_run_no_pass(spark, monkeypatch):
 def test_concepts_hold_no_word_against_each_root_and_compile_no_pattern_a_text(spark):
     shown = plan(catalog.queries()["concept_rules"](spark, DATA)).lower()
     assert "exists(" not in shown
+
+
+def test_pieces_are_counted_without_a_shuffle_of_pieces(spark):
+    df = catalog.queries()["char_ngram_variants"](spark, DATA)
+    shown = df._jdf.queryExecution().executedPlan().toString()
+    assert shown.count("Exchange hashpartitioning") + shown.count("Exchange (") + shown.count("Exchange RoundRobin") == 1 and not re.search(r"hashpartitioning\(doc_id#\d+L?, gram", shown)
+
+
+def test_pieces_of_a_text_are_those_of_its_tokens(spark):
+    texts = ["", "ab abc 12 123x45é", "가나다라 가나 é1éa 나a", "\U0001d400abcd\U0001d401 ab-cde", "X", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    for r in df.select("k", X.token_grams(F.col("t"), (2, 3)).alias("g")).collect():
+        t = texts[r["k"]]
+        if t is not None:
+            tokens = re.findall(X.TOKEN, t.lower())
+            assert r["g"] == [w[i : i + n] for n in (2, 3) for w in tokens if len(w) > n for i in range(len(w) - n + 1)]
