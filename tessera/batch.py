@@ -2,8 +2,9 @@
 
 A request has request_id, question, ranges, piece, topic, top_k and anchors; a record is as in
 tessera.retrieve, whose rules apply. Requests meet the records that can answer them, and no others:
-a request with concepts meets the records that have its rarest one, a request without any those that
-share a token with it. Whatever a request decides by itself (covers, gates, ranks) is decided in a window
+a request with concepts meets the records that have its rarest ones, a request without any those that
+share a token with it. Of all records only terms, length and concepts are looked at; the rest is computed
+of those met. Whatever a request decides by itself (covers, gates, ranks) is decided in a window
 or group of its candidates' distinct covers.
 """
 
@@ -26,6 +27,7 @@ REQUEST = f"request_id string, question string, ranges {R.RANGES}, piece string,
 #: A table of so many rows at most, counted first, is sent to every task; a larger one is joined.
 SMALL = 20_000
 NEAR = 3  # a fuzzy match's lengths differ by no more
+SEEDS = 3  # a request meets the records that have so many of its rarest concepts, or all if it has fewer
 
 
 @dataclass(frozen=True)
@@ -58,16 +60,40 @@ def understood(requests: DataFrame, language: Language = Language()) -> DataFram
     return out.withColumn("broad", F.coalesce(broad, F.lit(False))).withColumn("named_terms", guidance.asked_terms(F.col("question"))).withColumn("named_facets", guidance.asked_facets(F.col("question")))
 
 
+def completed(records: DataFrame) -> DataFrame:
+    """records with the columns that they may lack."""
+    return records.withColumns({c: F.lit(None).cast(kind) for c, kind in (("retrieval_aliases", "array<string>"), ("retrieval_eligible", "boolean"), ("source_ids", "array<string>")) if c not in records.columns})
+
+
+def _ranking() -> Column:
+    return F.coalesce(F.col("retrieval_text"), F.col("answer"), F.lit(""))
+
+
+def _relevance() -> Column:
+    return F.coalesce(F.col("relevance_text"), F.col("answer"), F.lit(""))
+
+
+def _aliases(language: Language) -> Column:
+    return F.transform(_some("retrieval_aliases"), lambda a: language.concepts(a))
+
+
+def looked_at(records: DataFrame, language: Language = Language()) -> DataFrame:
+    """(id, __dl, __terms, __known) as a table: what requests look at of every record."""
+    out = records.select("id", _ranking().alias("__ranks"), _relevance().alias("__admits"))
+    out = out.select("id", "__ranks", "__admits", X.document_tokens(F.col("__ranks")).alias("__text"))
+    out = out.select("id", "__ranks", "__admits", F.size("__text").alias("__dl"), F.array_distinct("__text").alias("__terms"))
+    known = language.concepts(F.col("__admits"))
+    if questions.rules_are_hangul(language.forms, language.stop):  # then the concepts of a text without Hangul are its terms
+        known = F.when((F.col("__ranks") == F.col("__admits")) & ~X.has_hangul(F.col("__admits")), F.col("__terms")).otherwise(known)
+    return kept(out.select("id", "__dl", "__terms", known.alias("__known")), "records")
+
+
 def prepared(records: DataFrame, language: Language = Language()) -> DataFrame:
-    """records as a table with what every request looks at: tokens to rank and to admit by, concepts, and aliases' concepts."""
-    relevance = F.coalesce(F.col("relevance_text"), F.col("answer"), F.lit(""))
-    own = {c: F.lit(None).cast(kind) for c, kind in (("retrieval_aliases", "array<string>"), ("retrieval_eligible", "boolean"), ("source_ids", "array<string>")) if c not in records.columns}
-    out = records.withColumns(own).withColumn("__text", X.document_tokens(F.coalesce(F.col("retrieval_text"), F.col("answer"), F.lit(""))))
-    out = out.withColumns({
-        "__admits": F.array_distinct(X.document_tokens(relevance)), "__known": language.concepts(relevance), "__content": language.concepts(F.coalesce(F.col("answer"), F.lit(""))),
-        "__aliases": F.transform(_some("retrieval_aliases"), lambda a: language.concepts(a)),
+    """records, completed(), with what a request looks at of a record that it meets: tokens to rank and to admit by, concepts, and aliases' concepts."""
+    return records.withColumns({
+        "__text": X.document_tokens(_ranking()), "__admits": F.array_distinct(X.document_tokens(_relevance())), "__known": language.concepts(_relevance()),
+        "__content": language.concepts(F.coalesce(F.col("answer"), F.lit(""))), "__aliases": _aliases(language),
     })
-    return kept(out, "records")
 
 
 def _near_prefixes(word: Column) -> Column:
@@ -87,27 +113,28 @@ def matching_words(wanted: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return shorter.unionByName(longer).filter(X.concept_matches(F.col("wanted"), F.array("known"))).select("wanted", "known").distinct()
 
 
-def met(records: DataFrame, requests: DataFrame) -> DataFrame:
-    """(request_id, id): the records that can answer a request, before any of its rules is looked at."""
-    known = records.select("id", F.explode("__known").alias("known"))
+def met(records: DataFrame, looked: DataFrame, requests: DataFrame) -> DataFrame:
+    """(request_id, id): the records that can answer a request, before any of its rules is looked at. looked is looked_at(records)."""
+    known = looked.select("id", F.explode("__known").alias("known"))
     asked = kept(requests.filter(F.size("concepts") > 0).select("request_id", F.explode("concepts").alias("wanted")), "asked")
     words = asked.select("wanted").distinct()
     vocabulary = known.groupBy("known").agg(F.count("*").alias("__df"))
     pairs = kept(matching_words(words, vocabulary.select("known")).join(vocabulary, "known"), "words")
     costs = words.join(pairs.groupBy("wanted").agg(F.sum("__df").alias("__cost")), "wanted", "left").withColumn("__cost", F.coalesce("__cost", F.lit(0)))
-    rarest = asked.join(costs, "wanted").groupBy("request_id").agg(F.min(F.struct("__cost", "wanted")).alias("x")).select("request_id", "x.wanted")
-    seeds = rarest.join(pairs.select("wanted", "known"), "wanted").select("request_id", "known")
-    by_concept = known.join(_sent(kept(seeds, "seeds")), "known").select("request_id", "id")
+    rarest = asked.join(costs, "wanted").groupBy("request_id").agg(F.slice(F.sort_array(F.collect_list(F.struct("__cost", "wanted"))), 1, SEEDS).alias("x"))
+    rarest = rarest.select("request_id", F.size("x").alias("__n"), F.posexplode("x.wanted").alias("__place", "wanted"))
+    seeds = rarest.join(pairs.select("wanted", "known"), "wanted").select("request_id", "known", F.expr("shiftleft(1, __place)").alias("__has"), (F.expr("shiftleft(1, __n)") - 1).alias("__all"))
+    by_concept = known.join(_sent(kept(seeds, "seeds")), "known").groupBy("request_id", "id").agg(F.bit_or("__has").alias("__has"), F.first("__all").alias("__all")).filter("__has = __all").select("request_id", "id")
     tokens = requests.filter(F.size("concepts") == 0).select("request_id", F.explode(F.array_distinct(F.flatten("groups"))).alias("token"))
-    by_token = records.select("id", F.explode("__admits").alias("token")).join(_sent(kept(tokens, "tokens")), "token").select("request_id", "id")
+    by_token = records.select("id", F.explode(F.array_distinct(X.document_tokens(_relevance()))).alias("token")).join(_sent(kept(tokens, "tokens")), "token").select("request_id", "id")
     return by_concept.unionByName(by_token).distinct()
 
 
-def _weights(records: DataFrame, requests: DataFrame) -> DataFrame:
+def _weights(looked: DataFrame, requests: DataFrame) -> DataFrame:
     """(request_id, weights): the request's terms with their idf, over all records whatever the request's filters."""
     terms = kept(requests.select("request_id", F.explode(F.array_distinct(F.flatten("groups"))).alias("term")), "terms")
-    held = records.select(F.explode(F.array_distinct("__text")).alias("term")).join(_sent(terms.select("term").distinct()), "term", "left_semi")
-    n = records.count()
+    held = looked.select(F.explode("__terms").alias("term")).join(_sent(terms.select("term").distinct()), "term", "left_semi")
+    n = looked.count()
     df = held.groupBy("term").agg(F.count("*").alias("__df")).select("term", lexical.idf(F.col("__df"), F.lit(n)).alias("idf"))
     return terms.join(df, "term").groupBy("request_id").agg(F.sort_array(F.collect_list(F.struct("term", "idf"))).alias("weights"))
 
@@ -122,16 +149,19 @@ def _with_request(requests: DataFrame) -> DataFrame:
     return requests.withColumnsRenamed({"piece": "r_piece", "topic": "r_topic"}).drop("question", "anchors", "reason")
 
 
-def scored(records: DataFrame, requests: DataFrame) -> DataFrame:
-    """Candidates of each request with all scores and the groups that they cover; see retrieve.scored(). records are prepared(), requests understood()."""
-    mean = records.agg(F.avg(F.size("__text"))).first()[0] or 0.0
-    pairs = kept(met(records, requests), "met")
-    asked = _with_request(requests).join(_weights(records, requests), "request_id", "left")
-    rows = records.join(pairs, "id").join(asked, "request_id").filter(eligible())
+def scored(records: DataFrame, requests: DataFrame, language: Language = Language()) -> DataFrame:
+    """Candidates of each request with all scores and the groups that they cover; see retrieve.scored(). records are completed(), requests understood()."""
+    looked = looked_at(records, language)
+    mean = looked.agg(F.avg("__dl")).first()[0] or 0.0
+    pairs = kept(met(records, looked, requests), "met")
+    asked = _with_request(requests).join(_weights(looked, requests), "request_id", "left")
+    found = kept(prepared(records.join(_sent(pairs.select("id").distinct()), "id", "left_semi"), language), "found")
+    parts = max(records.sparkSession.sparkContext.defaultParallelism, pairs.count() // 2000)  # rows are few and dear, so their size says nothing
+    rows = found.join(pairs, "id").repartition(parts, "request_id", "id").join(asked, "request_id").filter(eligible())
     dl = F.size("__text")
 
     def gain(total: Column, w: Column) -> Column:
-        tf = F.size(F.filter("__text", lambda t: t == w["term"]))
+        tf = dl - F.size(F.array_remove("__text", w["term"]))  # no step a token
         return total + F.when(tf > 0, w["idf"] * lexical.weight(tf, dl, F.lit(mean))).otherwise(0.0)
 
     wanted, q = F.col("concepts"), F.col("ranges")
@@ -176,15 +206,16 @@ def covers(candidates: DataFrame) -> DataFrame:
     return slim.groupBy("request_id").applyInPandas(choose, f"request_id {kinds['request_id']}, id {kinds['id']}")
 
 
-def broad(records: DataFrame, requests: DataFrame) -> DataFrame:
-    """Answers to the requests for guidance in general: a balanced set each; see retrieve.broad_search()."""
+def broad(records: DataFrame, requests: DataFrame, language: Language = Language()) -> DataFrame:
+    """Answers to the requests for guidance in general: a balanced set each; see retrieve.broad_search(). Records of other pieces aren't read for guidance."""
     none = F.array().cast(R.RANGES)
     final = F.col("evidence_type") == retrieve.FINAL_LINEAGE
     pools = F.create_map(*(F.lit(x) for kv in guidance.POOLS.items() for x in kv))
-    found = records.filter(F.col("evidence_type").isin(*guidance.LINEAGES)).withColumn("__found", guidance.profile(F.col("answer"), F.col("measure_range"))).filter("__found.score > 0")
+    pieces = _sent(kept(requests.filter("broad").select("piece").distinct(), "pieces"))  # a broad request names its piece
+    found = records.filter(F.col("evidence_type").isin(*guidance.LINEAGES)).join(pieces, "piece", "left_semi").withColumn("__found", guidance.profile(F.col("answer"), F.col("measure_range"))).filter("__found.score > 0")
     found = found.withColumn("scope_match", R.scope_label(F.col("measure_range"), F.col("measure_status"), none)).withColumn("pool", F.element_at(pools, F.col("scope_match"))).filter("pool IS NOT NULL")
     asked = _with_request(requests.filter("broad"))
-    rows = found.join(asked, found["piece"] == asked["r_piece"]).filter(eligible())  # a broad request names its piece
+    rows = found.join(asked, found["piece"] == asked["r_piece"]).filter(eligible())
     tone = F.array(*map(F.lit, guidance.FACETS[guidance.TONE]))
     of_tone, other = F.array_intersect("named_terms", tone), F.array_except("named_terms", tone)
     serves = (F.size("named_terms") == 0) | ((F.size(of_tone) > 0) & F.array_contains(F.col("__found.facets"), guidance.TONE)) | F.arrays_overlap(other, F.col("__found.terms"))
@@ -195,7 +226,7 @@ def broad(records: DataFrame, requests: DataFrame) -> DataFrame:
         .withColumn("text_score", F.col("__found.score") + named)
         .withColumn("measure_score", R.scope_boost(F.col("measure_range"), F.col("measure_status"), F.col("measure_scope"), final, none))
         .withColumn("scope_priority", R.scope_priority(F.col("scope_match"), none))
-        .withColumn("alias_score", X.alias_score(F.col("concepts"), F.col("__aliases")))
+        .withColumn("alias_score", X.alias_score(F.col("concepts"), _aliases(language)))
         .withColumns({c: F.lit(1.0) for c in ("concept_coverage", "content_coverage")})
         .withColumn("relation_score", F.lit(0.0))
         .withColumn("score", F.col("text_score") + F.col("measure_score"))
@@ -206,17 +237,18 @@ def broad(records: DataFrame, requests: DataFrame) -> DataFrame:
 ANSWER = ("request_id", "id", "evidence_type", "answer", "measure_range", "scope_match", *retrieve.MERITS, "measure_score", "top_k", "rank")
 
 
-def search(records: DataFrame, requests: DataFrame) -> DataFrame:
+def search(records: DataFrame, requests: DataFrame, language: Language = Language()) -> DataFrame:
     """(request_id, id, ..., scores, rank): the best records of each request, or none rather than a weak match; see retrieve.search()."""
+    records = completed(records)
     plain = requests.filter("NOT broad AND top_k > 0").filter(F.size("groups") > 0)
-    found = kept(scored(records, plain), "candidates")
+    found = kept(scored(records, plain, language), "candidates")
     here = W.partitionBy("request_id")
     chosen = covers(found).withColumn("__picked", F.lit(1))
     rows = found.join(chosen, ["request_id", "id"], "left").withColumn("__picked", F.coalesce("__picked", F.lit(0))).withColumn("__covered", F.max("__picked").over(here))
     hit = F.when((F.size("ranges") > 0) & (F.col("scope_match") == "overlaps_query_range"), F.col("__picked"))  # null where not in the range
     rows = rows.withColumn("__hit", F.max(hit).over(here)).filter((F.col("__covered") == 1) & F.coalesce(F.col("__hit") == 1, F.lit(True)))
     ranked = rows.withColumn("rank", F.row_number().over(here.orderBy(F.desc("__picked"), *retrieve.strict_order()))).filter("rank <= top_k")
-    return ranked.select(*ANSWER).unionByName(broad(records, requests.filter("top_k > 0")).select(*ANSWER))
+    return ranked.select(*ANSWER).unionByName(broad(records, requests.filter("top_k > 0"), language).select(*ANSWER))
 
 
 def answer(records: DataFrame, requests: DataFrame, language: Language = Language()) -> tuple[DataFrame, DataFrame]:
@@ -225,7 +257,7 @@ def answer(records: DataFrame, requests: DataFrame, language: Language = Languag
     fine = asked.filter("reason IS NULL")
     main, _, direct = retrieve.split_lineages(records)
     wide = fine.withColumn("__k", F.col("top_k")).withColumn("top_k", F.greatest("top_k", F.lit(int(retrieve.OVER_FETCH))))
-    first, second = (search(prepared(df, language), wide.drop("__k")).withColumnRenamed("rank", "place") for df in (direct, main))
+    first, second = (search(df, wide.drop("__k"), language).withColumnRenamed("rank", "place") for df in (direct, main))
     tiers = [selection.scope_tier(F.col("scope_match")), selection.authority(F.col("evidence_type"))]
     merged = selection.merge_tiers(first.drop("top_k"), second.drop("top_k"), ["request_id"], "id", "place", tiers, (1 << 31) - 1)
     merged = merged.join(wide.select("request_id", "__k"), "request_id").filter(F.col("rank") <= F.col("__k"))
