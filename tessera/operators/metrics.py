@@ -115,11 +115,11 @@ def conditional_mean(value: Column, useful: Column) -> Column:
 
 
 def ordered_mean(df: DataFrame, group: list[str], value: str, order: str, out: str) -> DataFrame:
-    """(group, out): the mean of value, added up in the order of a column, so that it doesn't hang on how rows are dealt to tasks. Rows pass one by one; no group is held."""
-    own = df.filter(F.col(value).isNotNull())
-    sofar = F.sum(value).over(W.partitionBy(*group).orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow))
-    sums = own.withColumn("__sum", sofar).groupBy(*group).agg(F.max_by("__sum", order).alias("__sum"), F.count("*").alias("__n"))
-    return df.select(*group).distinct().join(sums, group, "left").select(*group, (F.col("__sum") / F.col("__n")).alias(out))
+    """(group, out): the mean of value, added up in the order of a column and, where that is the same, of value, so that it doesn't hang on how rows are dealt to tasks. Rows pass one by one; no group is held."""
+    placed = W.partitionBy(*group).orderBy(order, value)
+    sofar = df.withColumn("__place", F.row_number().over(placed)).withColumn("__sum", F.sum(value).over(placed.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    sums = sofar.groupBy(*group).agg(F.max_by("__sum", "__place").alias("__sum"), F.count(value).alias("__n"))
+    return sums.select(*group, F.when(F.col("__n") > 0, F.col("__sum") / F.col("__n")).alias(out))
 
 
 def rounded(value: Column, digits: int) -> Column:
